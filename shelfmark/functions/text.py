@@ -104,7 +104,7 @@ def derivation_lines(
     """Lines that name an origin, trimmed and cut for display."""
     pattern = r"(?i)\b(" + "|".join(phrases) + r")\b"
     lines = F.filter(F.split(text, r"\R"), lambda line: line.rlike(pattern))
-    return F.transform(lines, lambda line: F.substring(F.trim(line), 1, chars))
+    return F.transform(lines, lambda line: F.substring(F.regexp_replace(line, r"^\s+|\s+$", ""), 1, chars))
 
 
 def joined_title(words: Column, keep: int = 3) -> Column:
