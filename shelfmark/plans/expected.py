@@ -263,6 +263,15 @@ FROM pairs JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id
 {near_duplicates()}
 SELECT id_a, id_b, {rounded('score', 3)} AS score FROM (
   SELECT * FROM pairs ORDER BY score DESC, id_a, id_b LIMIT 20)"""
+    out["q21c_copies"] = f"""
+WITH {model('m', DOCS, tfidf.NEAR_DUPLICATES)},
+sig AS (SELECT id, string_agg(term || ':' || tf, '|' ORDER BY term) AS s FROM m_w GROUP BY id)
+SELECT id, rep FROM (SELECT id, min(id) OVER (PARTITION BY s) AS rep FROM sig) WHERE id <> rep"""
+    out["q21d_pair_total"] = f"""
+WITH {model('m', DOCS, tfidf.NEAR_DUPLICATES)}
+SELECT count(*) AS pairs FROM (
+  SELECT a.id, b.id FROM m_w a JOIN m_w b ON a.term = b.term AND a.id < b.id
+  GROUP BY a.id, b.id HAVING {rounded('sum(a.w * b.w)', 8)} > {w.NEAR_DUPLICATE})"""
     out["q22_hybrid_topn"] = f"{page_graph()} SELECT src, dst, {rounded('score', 6)} AS score FROM edges"
     out["q23_two_hop"] = f"{page_graph()} SELECT src, dst, {rounded('score', 6)} AS score FROM hops"
     out["q24_similar"] = f"""

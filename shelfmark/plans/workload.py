@@ -281,6 +281,20 @@ def q21b_near_dup_top(spark, sf):
     return top.select("id_a", "id_b", numeric.half_even(F.col("score"), 3).alias("score"))
 
 
+@query
+def q21c_copies(spark, sf):
+    vectors = document_model(spark, sf).vectors
+    members = similarity.fold_members(vectors, stage(similarity.fold_equal(vectors), "folded"))
+    return members.filter(F.col("id") != F.col("rep"))
+
+
+@query
+def q21d_pair_total(spark, sf):
+    vectors = document_model(spark, sf).vectors
+    pairs = similarity.similar_pairs(vectors, NEAR_DUPLICATE)
+    return similarity.pair_total(pairs, similarity.fold_equal(vectors))
+
+
 def page_graph(spark, sf) -> DataFrame:
     pages = table(spark, sf, "pages")
     address = tfidf.fit(
