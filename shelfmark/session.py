@@ -70,6 +70,6 @@ def widen(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(estimate.toString()) > cores * SMALL_BYTES_PER_CORE:
+    if int(str(estimate)) > cores * SMALL_BYTES_PER_CORE:
         return df
     return df.repartition(2 * cores, key)
