@@ -47,7 +47,8 @@ def q01_declared_type(spark, sf):
 def q02_top_publishers(spark, sf):
     top = stats.top_values(table(spark, sf, "orders"), "o_custkey")
     names = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return top.join(names, "o_custkey", "left").select(F.col("c_name").alias("publisher"), "o_custkey", "n")
+    named = metadata.label_top(top, names, "o_custkey")
+    return named.select(F.col("c_name").alias("publisher"), "o_custkey", "n")
 
 
 @query
@@ -55,7 +56,7 @@ def q03_top_downloads(spark, sf):
     totals = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("downloads"))
     top = stats.top_rows(totals, "downloads", "l_partkey", 20)
     types = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    return top.join(types, "l_partkey", "left")
+    return metadata.label_top(top, types, "l_partkey")
 
 
 @query
@@ -129,7 +130,7 @@ def q10_last_26(spark, sf):
 
 def labelled_documents(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    joined = metadata.attach(docs, table(spark, sf, "labels"), "doc_id", "n_chars")
+    joined = docs.join(table(spark, sf, "labels"), "doc_id", "left")
     return joined.withColumn("toxic", F.coalesce(F.col("toxic") == 1, F.lit(False)))
 
 
@@ -215,7 +216,7 @@ def q16_multi_flag(spark, sf):
 @query
 def q17_compact(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    joined = metadata.attach(docs, table(spark, sf, "labels"), "doc_id", "n_chars")
+    joined = docs.join(table(spark, sf, "labels"), "doc_id", "left")
     words = F.array("lang", F.lit("doc"), "source")
     return joined.select(
         F.col("doc_id").alias("n"),
@@ -448,7 +449,7 @@ def q34_mentions(spark, sf):
 
 @query
 def q34b_word_mentions(spark, sf):
-    """Supplier-style names inside conversations: whole words only."""
+    """The commonest words of the conversations, as whole words in documents."""
     words = table(spark, sf, "conversations").select(
         F.explode(text_functions.tokens(F.col("text"), pattern=r"[\p{L}]{5,}")).alias("name")
     )
@@ -529,7 +530,7 @@ def q39_last_wins(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
     last = metadata.last_wins(orders, "o_custkey", ["o_orderdate", "o_orderkey"])
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return metadata.attach(customers, last, "o_custkey", "c_name").select(
+    return customers.join(last, "o_custkey", "left").select(
         "c_name", "o_orderkey", F.col("o_orderpriority").alias("priority")
     )
 
