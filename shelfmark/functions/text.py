@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from collections.abc import Callable, Sequence
-from functools import lru_cache
 
-import pyspark
 from pyspark.sql import Column, functions as F
 
 from shelfmark.functions import fixed
@@ -17,19 +12,6 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 LETTER_RUN = r"[a-zA-Z]{4,}"
 
 
-@lru_cache(maxsize=None)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop words, from the resource its ``StopWordsRemover`` loads."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if jars:
-        with zipfile.ZipFile(jars[0]) as jar:
-            words = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-        return tuple(sorted({w.strip() for w in words if w.strip()}))
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(sorted(set(StopWordsRemover.loadDefaultStopWords("english"))))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once per row, even where ``body`` uses it in a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -73,12 +55,12 @@ def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
 
 def clean_markdown(text: Column) -> Column:
     """Markdown punctuation becomes spaces."""
-    return F.regexp_replace(text, r"[#*`\[\](){}|>]", " ")
+    return F.regexp_replace(text, fixed.MARKDOWN, " ")
 
 
 def plain_prose(text: Column) -> Column:
     """Tags, URLs, markdown links and emphasis marks become spaces."""
-    return F.regexp_replace(text, r"<[^>]+>|https?://\S+|\[.*?\]\(.*?\)|#+|[|`*_]", " ")
+    return F.regexp_replace(text, fixed.NOT_PROSE, " ")
 
 
 def naming_words(description: Column, body: Column, body_chars: int | None = None) -> Column:

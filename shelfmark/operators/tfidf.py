@@ -7,7 +7,7 @@ once when the kept terms of a document are gathered.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,22 +25,22 @@ class Vocabulary:
     max_features: int | None = None
     min_df: int = 1
     ngrams: tuple[int, int] = (1, 1)
-    stop_words: tuple[str, ...] = field(default_factory=text_functions.english_stop_words)
+    stop_words: tuple[str, ...] = fixed.ENGLISH_STOP_WORDS
     pattern: str = text_functions.WORD
 
 
 NEAR_DUPLICATES = Vocabulary(max_features=3000, ngrams=(1, 2))
 SPECIFIC = Vocabulary(
     max_features=3000, min_df=2, ngrams=(1, 2),
-    stop_words=text_functions.english_stop_words() + fixed.DOMAIN_STOP_WORDS,
+    stop_words=fixed.ENGLISH_STOP_WORDS + fixed.DOMAIN_STOP_WORDS,
 )
 PROSE = Vocabulary(
     max_features=4000, min_df=2, ngrams=(1, 2),
-    stop_words=text_functions.english_stop_words() + fixed.DOMAIN_STOP_WORDS,
+    stop_words=fixed.ENGLISH_STOP_WORDS + fixed.DOMAIN_STOP_WORDS,
 )
 CLUSTER_WORDS = Vocabulary(
     max_features=8000, min_df=5, pattern=text_functions.LETTER_RUN,
-    stop_words=text_functions.english_stop_words() + fixed.CLUSTER_STOP_WORDS,
+    stop_words=fixed.ENGLISH_STOP_WORDS + fixed.CLUSTER_STOP_WORDS,
 )
 
 

@@ -58,7 +58,7 @@ labelled AS (
   SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, coalesce(l.toxic = 1, false) AS toxic
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
-PLAIN = r"""regexp_replace(%s, '<[^>]+>|https?://\S+|\[.*?\]\(.*?\)|#+|[|`*_]', ' ', 'g')"""
+PLAIN = f"regexp_replace(%s, '{fixed.NOT_PROSE}', ' ', 'g')"
 
 
 def trajectory(condition: str) -> str:

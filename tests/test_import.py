@@ -1,0 +1,38 @@
+"""The driver's entry module is importable with pyspark from its zip and without a session."""
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pyspark
+import pytest
+
+from shelfmark.functions import fixed
+
+REPO = Path(__file__).resolve().parents[1]
+CODE = """
+import pyspark, __spark_entry__ as entry
+assert ".zip" in pyspark.__file__, pyspark.__file__
+assert set(entry.oracle_sql()) <= set(entry.queries())
+print(len(entry.queries()))
+"""
+
+
+def test_import_from_zip_without_session():
+    lib = Path(pyspark.__file__).parent / "python" / "lib"
+    zips = sorted(lib.glob("*.zip"))
+    if not zips:
+        pytest.skip("this pyspark has no zip files")
+    path = os.pathsep.join([*map(str, zips), str(REPO)])
+    run = subprocess.run(
+        [sys.executable, "-c", CODE], env=os.environ | {"PYTHONPATH": path}, capture_output=True, text=True, timeout=120
+    )
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert int(run.stdout.split()[-1]) > 50
+
+
+def test_stop_words_are_spark_ml_s(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    assert set(fixed.ENGLISH_STOP_WORDS) == set(StopWordsRemover.loadDefaultStopWords("english"))
