@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import license_scan, url_filter
+from shelfmark.llm import (
+    bpe_stream, html_density, license_scan, line_dedup, ngram_join, quality, simhash, token_counts, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +27,33 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/pages.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op1_text_density(spark, sf):
+    found = html_density.extract(pages(spark, sf).select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op2_simhash(spark, sf):
+    return simhash.edited(documents(spark, sf))
+
+
+@query
+def op6_fertility(spark, sf):
+    measured = quality.measures(documents(spark, sf).select("doc_id", "text", "lang"), tokenizer("piece_bpe_32k.model"))
+    return measured.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "band",
+    )
+
+
 @query
 def op4_license_scan(spark, sf):
     return license_scan.licenses(documents(spark, sf))
@@ -105,3 +134,67 @@ fits AS (
 SELECT page_id, h AS host, p AS path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN fits ON parts.r = fits.r AND place = 1
 """
+
+
+@query
+def op7_stream_bpe(spark, sf):
+    return bpe_stream.encode_documents(documents(spark, sf), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op9_token_counts(spark, sf):
+    counted = token_counts.token_counts(documents(spark, sf), tokenizer("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query
+def op3_line_dedup(spark, sf):
+    kept = line_dedup.dedup(documents(spark, sf).select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+SQL["op3_line_dedup"] = """
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+keyed AS (
+  SELECT doc_id, r, lines, list_transform(lines, lambda l: translate(
+    trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM split),
+heavy AS (
+  SELECT key FROM (SELECT DISTINCT r, unnest(keys) AS key FROM keyed) WHERE length(key) >= 1
+  GROUP BY key HAVING count(*) >= 10),
+each AS (SELECT doc_id, r, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line, unnest(keys) AS key FROM keyed),
+told AS (SELECT e.*, h.key IS NOT NULL AS dropped FROM each e LEFT JOIN heavy h ON e.key = h.key)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM (
+  SELECT doc_id, r, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+  FROM told GROUP BY doc_id, r)
+"""
+
+
+@query
+def op10_ngram_jaccard(spark, sf):
+    return ngram_join.linked(documents(spark, sf), words_each=4, threshold=(85, 100))
+
+
+SQL["op10_ngram_jaccard"] = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+grams AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 3), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+met AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM grams x JOIN grams y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r),
+links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach(r, q) AS (SELECT a, b FROM links UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.q = links.a),
+least AS (SELECT reach.r, min(doc_id) AS m FROM reach JOIN worded ON worded.r = q GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM worded LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)
+"""
