@@ -1,5 +1,67 @@
-"""placeholder"""
+"""Documents through five corpus operators: quality, lines, near-duplicates, mix, tokens.
+
+Each stage reads what its predecessor wrote to the shared folder, works on all of it, and but for
+the last returns the columns of ``documents``. ``n_chars`` follows the text where a stage changes
+it. ORACLE_SQL is None: the first stage measures a public vocabulary's tokens, which SQL cannot.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from shelfmark.llm import bpe_stream, line_dedup, mixing, ngram_join, quality
+from shelfmark.llm.queries import domain, tokenizer
+from shelfmark.session import stage
+
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+# Parameters of the mix: weights of the languages, equal ones elsewhere; the share of all tokens.
+WEIGHTS = {"lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+SHARE = 0.75
+SEED = 23
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs, tokenizer("piece_bpe_32k.model"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten of them or more have."""
+    told = line_dedup.dedup(docs)
+    length = F.char_length("text").cast("long")
+    return told.withColumn("n_chars", F.when(F.col("n_dropped") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words, a similarity of 0.8."""
+    return ngram_join.one_of_each(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A mix of three quarters of the tokens by the target weights, each document once at most."""
+    placed = docs.withColumn("domain", domain(F.col("source")))
+    mixed = mixing.mix(placed, ["domain", "lang", "source"], WEIGHTS, SHARE, 1, SEED)
+    return mixing.repeated(mixed).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each document, as digests of its ids and of their decoded text."""
+    return bpe_stream.encode_documents(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", repeated_lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixed_sources),
+    ("BPE encoding and decoding", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each written and read again but the last."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

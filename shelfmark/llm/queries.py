@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.llm import (
-    bpe_stream, html_density, license_scan, line_dedup, ngram_join, quality, simhash, token_counts, url_filter,
+    bpe_stream, html_density, license_scan, line_dedup, mixing, ngram_join, quality, simhash, token_counts, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,86 @@ least AS (SELECT reach.r, min(doc_id) AS m FROM reach JOIN worded ON worded.r =
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
 FROM worded LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)
 """
+
+
+# Target mix of the query: parameters.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+MIX_SHARE = 0.75
+MIX_EPOCHS = 2
+MIX_SEED = 17
+
+
+def domain(source):
+    """Four domains of sources, by the number in a source's name; none without a number."""
+    number = F.regexp_extract(source, r"(\d+)", 1)
+    return F.when(number != "", F.concat(F.lit("d"), F.pmod(number.cast("long"), F.lit(4)).cast("string")))
+
+
+@query
+def op8_mix_sources(spark, sf):
+    docs = documents(spark, sf).withColumn("domain", domain(F.col("source")))
+    mixed = mixing.mix(docs, ["domain", "lang", "source"], MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return mixed.select("doc_id", "domain", "lang", "source", "mix_tokens", "mix_budget", "mix_times")
+
+
+def _case(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{v}' THEN {w}" for v, w in MIX_WEIGHTS[column].items()) + " ELSE 1 END"
+
+
+def _shared(name: str, nodes: str, parent: str) -> str:
+    """CTEs that fill up the children in ``nodes`` (keys, capacity, weight, parent_budget, own)."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"{by} ORDER BY CASE WHEN weight > 0 THEN capacity / weight END NULLS LAST, own"
+    return f"""
+{name}_placed AS (
+  SELECT *, row_number() OVER ({order}) AS place,
+    parent_budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+    sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM ({nodes})),
+{name}_marked AS (
+  SELECT *, min(place) FILTER (capacity::HUGEINT * weights > weight::HUGEINT * greatest(remaining, 0)) OVER ({by}) AS opened
+  FROM {name}_placed),
+{name}_known AS (
+  SELECT *, (max(remaining) FILTER (place = opened) OVER ({by}))::HUGEINT AS rest,
+    (max(weights) FILTER (place = opened) OVER ({by}))::HUGEINT AS every FROM {name}_marked),
+{name} AS (
+  SELECT * EXCLUDE (parent_budget), CASE WHEN opened IS NULL OR place < opened THEN capacity
+    WHEN every > 0 THEN greatest(least(
+      (rest * (every - weights + weight)) // every - (rest * (every - weights)) // every, capacity), 0)
+    ELSE 0 END AS budget FROM {name}_known)"""
+
+
+_TOP = f"""SELECT domain, domain AS own, sum(capacity) AS capacity, {_case("domain")} AS weight,
+  (SELECT floor({MIX_SHARE} * sum(tokens))::HUGEINT FROM leaves) AS parent_budget FROM leaves GROUP BY domain"""
+_MIDDLE = f"""SELECT l.domain, lang, lang AS own, sum(l.capacity) AS capacity, {_case("lang")} AS weight,
+  any_value(budget) AS parent_budget FROM leaves l JOIN top t ON l.domain IS NOT DISTINCT FROM t.domain
+  GROUP BY l.domain, lang"""
+_BOTTOM = """SELECT l.domain, l.lang, source, source AS own, sum(l.capacity) AS capacity, 1 AS weight,
+  any_value(budget) AS parent_budget FROM leaves l JOIN middle m
+  ON l.domain IS NOT DISTINCT FROM m.domain AND l.lang IS NOT DISTINCT FROM m.lang
+  GROUP BY l.domain, l.lang, source"""
+
+SQL["op8_mix_sources"] = rf"""
+WITH docs AS (
+  SELECT doc_id, lang, source, coalesce(doc_id::VARCHAR, '') AS named, row_number() OVER () AS r,
+    CASE WHEN regexp_matches(source, '\d') THEN 'd' || (regexp_extract(source, '\d+')::BIGINT % 4) END AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens, {MIX_EPOCHS} * sum(tokens)::HUGEINT AS capacity
+           FROM docs GROUP BY ALL),
+{_shared("top", _TOP, "").strip()},
+{_shared("middle", _MIDDLE, "domain").strip()},
+{_shared("bottom", _BOTTOM, "domain, lang").strip()},
+told AS (
+  SELECT d.*, budget, CASE WHEN l.tokens > 0 THEN budget // l.tokens ELSE {MIX_EPOCHS} END AS whole,
+         CASE WHEN l.tokens > 0 THEN budget % l.tokens ELSE 0 END AS rest
+  FROM docs d JOIN bottom b ON d.domain IS NOT DISTINCT FROM b.domain AND d.lang IS NOT DISTINCT FROM b.lang
+    AND d.source IS NOT DISTINCT FROM b.source
+  JOIN leaves l ON d.domain IS NOT DISTINCT FROM l.domain AND d.lang IS NOT DISTINCT FROM l.lang
+    AND d.source IS NOT DISTINCT FROM l.source),
+ordered AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source
+    ORDER BY md5('{MIX_SEED}:' || whole || ':' || named) || ':' || named) AS upto FROM told)
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS mix_tokens, budget::BIGINT AS mix_budget,
+  (whole + CASE WHEN whole < {MIX_EPOCHS} AND upto <= rest THEN 1 ELSE 0 END)::INTEGER AS mix_times
+FROM ordered
+"""
