@@ -6,30 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# Keys outside the 1,024 most frequent hold less than 1/1,024 of the rows each, so only
-# these can unbalance a shuffle. The list is broadcast: its size is fixed by this bound.
-MAX_HOT_KEYS = 1024
-MAX_SALTS = 4096
+from shelfmark.session import stage
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and the number of slices each is cut into."""
-    slices = F.least(F.ceil(F.col("_rows") / rows_per_task), F.lit(MAX_SALTS)).cast("int")
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, slices.alias("_slices"))
-    )
+    """Every key with more than ``rows_per_task`` rows and the number of slices it is cut into.
+
+    There are at most the rows divided by ``rows_per_task``. The list is written once, so that
+    the optimizer knows its size: it is broadcast while that is small, and joined by shuffle, with
+    skewed partitions split at run time, when it is not.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_task)
+    slices = F.ceil(F.col("_rows") / rows_per_task).cast("int")
+    return stage(counted.select(*keys, slices.alias("_slices")), "hot-keys")
 
 
 def _with_slices(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach the slice count, matching null keys too."""
     renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_slices")
     match = [df[k].eqNullSafe(renamed[f"_hot_{k}"]) for k in keys]
-    joined = df.join(F.broadcast(renamed), match, "left")
+    joined = df.join(renamed, match, "left")
     return joined.drop(*[f"_hot_{k}" for k in keys])
 
 
@@ -50,6 +46,8 @@ def spread_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
+    if condition is not None and how != "inner":
+        raise ValueError("a condition is for inner joins")
     hot = hot_keys(left, keys, rows_per_task)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     dealt = _with_slices(left, hot, keys).withColumn(
@@ -82,7 +80,8 @@ def block_join(
         return hot_keys(df, [key], rows_per_block).withColumnRenamed("_slices", name)
 
     grid = numbered(left, "_l").join(numbered(right, "_r"), key, "full_outer")
-    grid = F.broadcast(grid.select(key, F.coalesce("_l", F.lit(1)).alias("_l"), F.coalesce("_r", F.lit(1)).alias("_r")))
+    grid = grid.select(key, F.coalesce("_l", F.lit(1)).alias("_l"), F.coalesce("_r", F.lit(1)).alias("_r"))
+    grid = stage(grid, "grid")
     one = F.lit(1)
     rows, columns = F.coalesce("_l", one), F.coalesce("_r", one)
 

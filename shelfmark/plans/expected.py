@@ -77,7 +77,8 @@ SELECT k.l_suppkey, coalesce(n, 0) AS points,
 FROM (SELECT DISTINCT l_suppkey FROM weekly) k LEFT JOIN m USING (l_suppkey)"""
 
 
-def near_duplicates() -> str:
+def near_duplicates(threshold: float = w.NEAR_DUPLICATE) -> str:
+    """Pairs of distinct texts, and every copy with the first of its kind."""
     return f"""
 WITH {model('m', DOCS, tfidf.NEAR_DUPLICATES)},
 sig AS (SELECT id, string_agg(term || ':' || tf, '|' ORDER BY term) AS s FROM m_w GROUP BY id),
@@ -88,7 +89,12 @@ scored AS (
   FROM v a JOIN v b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
 pairs AS (
   SELECT id_a, id_b, score, x.copies AS copies_a, y.copies AS copies_b
-  FROM scored JOIN rep x ON x.id = id_a JOIN rep y ON y.id = id_b WHERE score > {w.NEAR_DUPLICATE})"""
+  FROM scored JOIN rep x ON x.id = id_a JOIN rep y ON y.id = id_b WHERE score > {threshold}
+  UNION ALL
+  SELECT first, id, score, 1, 1
+  FROM (SELECT id, min(id) OVER (PARTITION BY s) AS first FROM sig)
+  JOIN (SELECT id AS own, {rounded('sum(w * w)', 8)} AS score FROM m_w GROUP BY id) ON own = id
+  WHERE id <> first AND score > {threshold})"""
 
 
 def page_graph() -> str:
@@ -125,7 +131,7 @@ counted AS (
 pool AS (
   SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY docs DESC, word) <= 40),
 named AS (
-  SELECT cluster, word, docs, row_number() OVER (PARTITION BY cluster ORDER BY docs DESC, word) AS rank
+  SELECT cluster, word, docs, CAST(row_number() OVER (PARTITION BY cluster ORDER BY docs DESC, word) AS INTEGER) AS rank
   FROM pool JOIN sizes USING (cluster)
   WHERE docs >= greatest(2, CAST(floor(members * 0.07) AS INTEGER)) AND regexp_matches(word, '^[a-z]+$')
   QUALIFY rank <= 8)"""
@@ -259,6 +265,9 @@ WITH {model('m', DOCS, tfidf.NEAR_DUPLICATES)} SELECT id, term, {rounded('w', 6)
 {near_duplicates()}
 SELECT id_a, id_b, {rounded('score', 3)} AS score, copies_a, copies_b, a.n_chars AS chars_a, b.n_chars AS chars_b
 FROM pairs JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b"""
+    out["q21e_near_dup_published"] = f"""
+{near_duplicates(fixed.NEAR_DUPLICATE_THRESHOLD)}
+SELECT id_a, id_b, {rounded('score', 3)} AS score, copies_a, copies_b FROM pairs"""
     out["q21b_near_dup_top"] = f"""
 {near_duplicates()}
 SELECT id_a, id_b, {rounded('score', 3)} AS score FROM (
@@ -279,7 +288,7 @@ SELECT count(*) AS pairs FROM (
 best AS (
   SELECT src, dst, least(max(score), 1.0) AS score FROM (
     SELECT src, dst, score FROM edges UNION ALL SELECT src, dst, score FROM hops) GROUP BY 1, 2)
-SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank, {rounded('score', 3)} AS score
+SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INTEGER) AS rank, {rounded('score', 3)} AS score
 FROM best WHERE score > {fixed.NEIGHBOUR_THRESHOLD} QUALIFY rank <= {fixed.NEIGHBOURS}"""
     out["q25_assign"] = f"""
 WITH axes AS (
@@ -329,7 +338,7 @@ WITH {BRANDS},
 best AS (SELECT p_brand, pattern, total FROM shaped WHERE pattern IN ('contested', 'blockbuster')
          ORDER BY total DESC, p_brand LIMIT 6)
 SELECT p_brand, p_partkey, p_name, downloads, pattern, total,
-       row_number() OVER (PARTITION BY p_brand ORDER BY downloads DESC NULLS LAST, p_partkey) AS rank
+       CAST(row_number() OVER (PARTITION BY p_brand ORDER BY downloads DESC NULLS LAST, p_partkey) AS INTEGER) AS rank
 FROM members JOIN best USING (p_brand) QUALIFY rank <= 8"""
     out["q32b_top_terms"] = f"""
 WITH {model('m', DOCS, tfidf.NEAR_DUPLICATES)},
@@ -399,9 +408,29 @@ WITH toks AS (
   FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) >= 3)),
 counted AS (SELECT lang, word, count(*) AS n FROM toks GROUP BY 1, 2),
 top AS (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM counted QUALIFY rank <= 120)
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS INTEGER) AS rank FROM counted QUALIFY rank <= 120)
 SELECT lang, word, n, rank, {rounded('n / max(n) OVER (PARTITION BY lang)', 6)} AS weight FROM top"""
     out["q44_scale"] = f"""
 SELECT event_id, {rounded('2.0 * (value - lo) / (hi - lo + 1e-9) - 1.0', 8)} AS value
 FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)"""
+    out["q45_landed_documents"] = """
+SELECT CASE WHEN ok THEN s_suppkey::VARCHAR END AS name,
+       CASE WHEN ok THEN s_name || ' body of ' || s_name ELSE ' ' END AS text,
+       CASE WHEN ok THEN 'kw,' || s_nationkey END AS keywords,
+       CASE WHEN ok THEN s_nationkey END::INTEGER AS versions_count, NOT ok AS corrupt
+FROM (SELECT *, s_suppkey % 10 <> 0 AS ok FROM supplier)"""
+    out["q45b_landed_arrays"] = """
+SELECT 'seg ' || c_mktsegment AS name, max_by(c_name, c_custkey) AS description,
+       DATE '1970-01-01' + max(c_custkey)::INTEGER AS date
+FROM customer GROUP BY c_mktsegment"""
+    out["q46_landed_downloads"] = """
+WITH daily AS (
+  SELECT l_suppkey, l_shipdate::DATE AS day, floor(sum(l_quantity))::BIGINT AS d FROM lineitem GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY day) AS rn FROM daily),
+weekly AS (
+  SELECT l_suppkey, (rn - 1) // 7 AS bucket, sum(d)::BIGINT AS downloads FROM placed GROUP BY 1, 2),
+series AS (SELECT l_suppkey, list(downloads ORDER BY bucket) AS v FROM weekly GROUP BY 1)
+SELECT s_suppkey::VARCHAR AS name, s_name, v[-1] AS downloads_last_week, coalesce(len(v), 0)::INTEGER AS weeks,
+       coalesce(array_to_string(v[-4:], ','), '') AS last_weeks
+FROM supplier LEFT JOIN series ON l_suppkey = s_suppkey"""
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfmark.functions import catalogue, fixed, numeric, text as text_functions
 from shelfmark.operators import clusters, graph, layout, metadata, similarity, stats, tfidf, trends
 from shelfmark.session import fresh_path, stage, widen
+from shelfmark.plans import catalogue as catalogue_plan
 from shelfmark.sources import readers, schemas, writers
 from shelfmark.streaming import landing
 
@@ -266,7 +267,7 @@ def q20_tfidf_terms(spark, sf):
 
 @query
 def q21_near_dup(spark, sf):
-    pairs = similarity.similar_pairs(document_model(spark, sf).vectors, NEAR_DUPLICATE)
+    pairs = similarity.near_pairs(document_model(spark, sf).vectors, NEAR_DUPLICATE)
     sizes = table(spark, sf, "documents").select("doc_id", "n_chars")
     return (
         pairs.join(sizes.toDF("id_a", "chars_a"), "id_a")
@@ -277,11 +278,18 @@ def q21_near_dup(spark, sf):
 
 @query
 def q21b_near_dup_top(spark, sf):
-    pairs = similarity.similar_pairs(document_model(spark, sf).vectors, NEAR_DUPLICATE)
+    pairs = similarity.near_pairs(document_model(spark, sf).vectors, NEAR_DUPLICATE)
     top = pairs.orderBy(F.desc("score"), "id_a", "id_b").limit(20)
     return top.select("id_a", "id_b", numeric.half_even(F.col("score"), 3).alias("score"))
 
 
+@query
+def q21e_near_dup_published(spark, sf):
+    """The published threshold."""
+    pairs = similarity.near_pairs(document_model(spark, sf).vectors, fixed.NEAR_DUPLICATE_THRESHOLD)
+    return pairs.withColumn("score", numeric.half_even(F.col("score"), 3))
+
+
 @query
 def q21c_copies(spark, sf):
     vectors = document_model(spark, sf).vectors
@@ -586,6 +594,61 @@ def q40c_registry(spark, sf):
     )
 
 
+@query
+def q45_landed_documents(spark, sf):
+    """One JSON document a file, a malformed one among them, read and compacted."""
+    name = F.col("s_suppkey").cast("string")
+    body = F.to_json(F.struct(
+        name.alias("name"), F.col("s_name").alias("description"), F.concat(F.lit("body of "), F.col("s_name")).alias("readme"),
+        F.array(F.lit("kw"), F.col("s_nationkey").cast("string")).alias("keywords"), F.lit("1.0").alias("latest_version"),
+        F.col("s_nationkey").alias("versions_count"),
+    ))
+    # every tenth document is cut off
+    landed = table(spark, sf, "supplier").select(
+        name.alias("file"), F.when(F.col("s_suppkey") % 10 == 0, F.lit('{"name": ')).otherwise(body).alias("value")
+    )
+    path = fresh_path(spark, "documents")
+    landed.write.partitionBy("file").text(path)
+    parsed = readers.read_documents(spark, path, schemas.PACKAGE, keep_corrupt=True)
+    packages = readers.compact(parsed, fresh_path(spark, "packages"))
+    return packages.select(
+        "name", text_functions.compose(F.col("description"), F.col("readme")).alias("text"),
+        F.array_join("keywords", ",").alias("keywords"), "versions_count",
+        F.col(readers.CORRUPT).isNotNull().alias("corrupt"),
+    )
+
+
+@query
+def q45b_landed_arrays(spark, sf):
+    """Listing files that hold an array each; a name that is in several keeps its latest row."""
+    entry = F.struct(
+        F.concat(F.lit("seg "), F.col("c_mktsegment")).alias("name"), F.col("c_name").alias("description"),
+        F.timestamp_seconds(F.col("c_custkey") * 86400).alias("date"), F.lit("1").alias("version"),
+    )
+    files = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list(entry).alias("rows"))
+    path = fresh_path(spark, "listing")
+    files.select("c_nationkey", F.to_json("rows").alias("value")).write.partitionBy("c_nationkey").text(path)
+    return readers.read_listing(spark, path).select("name", "description", F.col("date").cast("date").alias("date"))
+
+
+@query
+def q46_landed_downloads(spark, sf):
+    """Daily files to weekly series, joined to the package rows."""
+    daily = table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").cast("string").alias("name"), F.col("l_shipdate").cast("date").alias("day")
+    ).agg(F.sum("l_quantity").cast("bigint").alias("downloads"))
+    path = fresh_path(spark, "downloads")
+    writers.write_json(daily, path)
+    weekly = catalogue_plan.weekly_downloads(readers.read_downloads(spark, path))
+    packages = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), "s_name")
+    known = readers.with_downloads(packages, weekly)
+    tail = catalogue.tail_values(F.transform("download_trend", lambda p: p["downloads"]), 4)
+    return known.select(
+        "name", "s_name", "downloads_last_week", F.size("download_trend").alias("weeks"),
+        F.array_join(tail.cast("array<string>"), ",").alias("last_weeks"),
+    )
+
+
 @query
 def q41_stream_weekly(spark, sf):
     schema = table(spark, sf, "events").schema

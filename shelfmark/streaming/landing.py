@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def landed(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", format: str = "parquet") -> DataFrame:
@@ -13,13 +14,21 @@ def landed(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet",
 def weekly_windows(
     stream: DataFrame, moment: str, by: str, value: str, start: str = "0 days", delay: str = "1 day"
 ) -> DataFrame:
-    """Totals per seven-day window and group; a window is emitted once the watermark passes it."""
-    timed = stream.withColumn("_at", F.col(moment).cast("timestamp")).withWatermark("_at", delay)
+    """Totals per seven-day window and group; a window is emitted once the watermark passes it.
+
+    A moment without a time zone is taken as UTC, and windows start on UTC days, whatever the
+    session's time zone is.
+    """
+    at = F.col(moment).cast("timestamp")
+    if isinstance(stream.schema[moment].dataType, TimestampNTZType):
+        at = F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{moment}`)"))
+    timed = stream.withColumn("_at", at).withWatermark("_at", delay)
     window = F.window("_at", "7 days", startTime=start)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("w.start") / 86400).cast("int"))
     return (
         timed.groupBy(window.alias("w"), by)
         .agg(F.sum(value).alias("total"), F.count("*").alias("n"))
-        .select(F.to_date("w.start").alias("week_start"), by, "total", "n")
+        .select(day.alias("week_start"), by, "total", "n")
     )
 
 

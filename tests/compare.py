@@ -45,13 +45,29 @@ def rows_of(names, rows):
     )
 
 
+# how DuckDB's type names read in Spark
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "DATE": "date",
+    "HUGEINT": "decimal(38,0)", "FLOAT": "float", "SMALLINT": "smallint", "TIMESTAMP": "timestamp_ntz",
+}
+
+
+def type_differences(df, relation) -> list[str]:
+    """Columns whose type differs; nested types are left to the comparison of values."""
+    mine = dict(df.dtypes)
+    theirs = {n: TYPES.get(str(t), "") for n, t in zip(relation.columns, relation.types)}
+    return [f"{n}: {mine[n]} != {t}" for n, t in theirs.items() if t and n in mine and mine[n] != t]
+
+
 def differences(spark, db, sf_dir: str, name: str) -> list[str]:
     """Why a query and its SQL disagree; empty when they agree."""
     df = contract.queries()[name](spark, sf_dir)
-    cursor = db.execute(contract.oracle_sql()[name])
-    names = [d[0] for d in cursor.description]
+    cursor = db.sql(contract.oracle_sql()[name])
+    names = cursor.columns
     if sorted(names) != sorted(df.columns):
         return [f"columns {sorted(df.columns)} != {sorted(names)}"]
+    if wrong := type_differences(df, cursor):
+        return wrong
     mine = rows_of(df.columns, df.collect())
     theirs = rows_of(names, cursor.fetchall())
     if len(mine) != len(theirs):
