@@ -34,8 +34,11 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 CHUNK = 1 << 16  # characters of a text that are looked at together
 CACHED_WORDS = 200_000  # words whose ids are remembered at a time
@@ -437,8 +440,6 @@ def read_source(path: str) -> str:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row; ``path`` is a tokenizer file on the driver."""
-    import pyarrow as pa
-
     source = docs.sparkSession.sparkContext.broadcast(read_source(path))
     kind = docs.schema[id_col].dataType
 
@@ -458,10 +459,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 def encode_rows(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """Every row with its columns and the ids of its text as an array."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import ArrayType, IntegerType
-    import pandas as pd
-
     source = docs.sparkSession.sparkContext.broadcast(read_source(path))
 
     @F.pandas_udf(ArrayType(IntegerType()))
@@ -486,9 +483,6 @@ def encode_rows(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
 def decode_rows(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """Every row with its columns and the text of its ids; null ids are null text."""
-    from pyspark.sql import functions as F
-    import pandas as pd
-
     source = tokens.sparkSession.sparkContext.broadcast(read_source(path))
 
     @F.pandas_udf("string")

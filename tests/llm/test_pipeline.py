@@ -1,0 +1,81 @@
+"""The pipeline on small tables, and empty tables everywhere."""
+
+import hashlib
+
+import pytest
+import tokenizers
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from shelfmark.llm import queries, quality
+from tests.llm import data
+from tests.llm.test_groups import plain_components, plain_dedup
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("empty"))
+    data.frame(spark, []).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES) + ["pipeline"])
+def test_empty_tables(spark, empty_dir, name):
+    assert contract.queries()[name](spark, empty_dir).collect() == []
+
+
+def test_all_ten_are_registered():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
+    assert numbers == list(range(1, 11)) and {"pipeline", *queries.QUERIES} <= set(contract.queries())
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    given = [tuple(r) for r in docs.collect()]
+    steps = dict(corpus_pipeline.STAGES)
+
+    good = steps["quality rules"](spark, docs, sf_dir).cache()
+    assert good.columns == columns
+    measured = quality.measures(docs, queries.tokenizer("piece_bpe_32k.model")).filter("kept")
+    kept = {r[0] for r in measured.select("row.doc_id").collect()}
+    assert sorted(map(tuple, good.collect())) == sorted(r for r in given if r[0] in kept)
+
+    rows = [tuple(r) for r in good.collect()]
+    lines = steps["line dedup"](spark, good, sf_dir).cache()
+    assert lines.columns == columns
+    wanted = {i: t for i, t, *_ in plain_dedup(rows, 10)}
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == wanted
+
+    rows = sorted(map(tuple, lines.collect()))
+    single = steps["n-gram Jaccard join"](spark, lines, sf_dir).cache()
+    assert single.columns == columns
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(i for i, _, c in plain_components(rows, 5, 80, 100) if i == c)
+
+    mixed = steps["mixing sources to target weights"](spark, single, sf_dir).cache()
+    assert mixed.columns == columns
+    tokens = lambda df: sum(len((r["text"] or "").split()) for r in df.collect())
+    assert 0.5 * tokens(single) < tokens(mixed) <= corpus_pipeline.SHARE * tokens(single)
+
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    for r in steps["BPE encoding and decoding"](spark, mixed, sf_dir).join(mixed, "doc_id").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_run_is_the_stages(spark, sf_dir):
+    found = corpus_pipeline.run(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, sf_dir).cache()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_odd_rows_pass(spark):
+    docs = data.frame(spark)
+    for _, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, "").cache()
+    assert docs.filter(F.col("n_tokens") > 0).count() > 0
