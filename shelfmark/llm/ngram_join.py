@@ -10,9 +10,10 @@ meet by their hash; a group that shares one is linked through one member, not in
 *Large sets*: inverted lists are scanned. Before that, two counts discard sets that cannot be
 linked, so that lists are made for few sets only: of the first shingles in hash order a linked set
 shares a known number with some other set; of all its shingles it shares the threshold. Lists hold
-each set's rarest shingles, as many as any linked pair must meet in. The members of a list are
-compared with one member, in a few rounds with another one each time; what is then in one
-component needs no comparing any more, and only members of different components are paired.
+each set's rarest shingles, as many as any linked pair must meet in, with their places, which bound
+what two sets can share. The members of a list are compared with the one whose shingles are the
+most common; what is then in one component needs no comparing any more, and only members of
+different components are paired.
 
 The *boundary* is the size with the least cost, from the number of sets of each small size: the
 subsets to enumerate below it against the list entries to scan above. A pair that lies across the
@@ -44,7 +45,6 @@ from shelfmark.session import stage
 CACHED = 250_000
 LARGEST_SMALL = 36  # sets above are never enumerated
 SLACK = 5  # per cent of a set's size that the first count asks for
-STAR_ROUNDS = 3
 BROADCAST_ROWS = 500_000  # of a key and nothing else
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -226,78 +226,78 @@ def small_links(small: DataFrame, t: Threshold) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
+    """The pairs (a, b, ...) whose sets are linked."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(shared * t.b >= (F.col("n_a") + F.col("n_b") - shared) * t.a).select("a", "b")
+    union = F.size("set_a") + F.size("set_b") - shared
+    return both.filter(shared * t.b >= union * t.a).drop("set_a", "set_b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge: the smallest node that it is connected to.
 
     Alternates between linking all larger neighbours and all smaller ones to the smallest, until
-    every node is linked to its root; the number of rounds grows with the logarithm of the nodes.
+    nothing changes: every node is then linked to its root. The number of rounds grows with the
+    logarithm of the nodes.
     """
-    links = stage(edges.select("a", "b").filter("a <> b").distinct(), "links")
-    before = None
+    links = stage(edges.select("a", "b").filter("a <> b"), "links")
+    state = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        larger = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        larger = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
         # now every edge has its smaller end first
         low = larger.groupBy("b").agg(F.min("a").alias("m"))
-        smaller = larger.join(low, "b")
-        linked = smaller.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(
-            smaller.select(F.col("m").alias("a"), "b")
-        ).filter("a <> b").distinct()
-        links = stage(linked, "links")
-        # done when the smaller ends are roots and every other node has one edge
-        state = links.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("b")
-        ).first()
-        if tuple(state) == before or not state[0]:
+        smaller = larger.join(low, "b").select(
+            F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")
+        )
+        links = stage(smaller.select("e.a", "e.b").filter("a <> b").distinct(), "links")
+        before, state = state, tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == before or not state[0]:
             break
-        before = tuple(state)
-    roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return roots.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    own = F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("root")), F.struct(F.col("a").alias("node"), F.col("a").alias("root")))
+    return links.select(F.explode(own).alias("e")).select("e.node", "e.root").distinct()
 
 
-def join_lists(lists: DataFrame, sets: DataFrame, edges: DataFrame, t: Threshold) -> DataFrame:
-    """(node, root) of the components that the given links and those found in lists make.
+def join_lists(lists: DataFrame, sets: DataFrame, t: Threshold) -> list[DataFrame]:
+    """Links (a, b) that connect what linked sets in common lists connect.
 
-    ``lists`` has (token, node, n), ``sets`` (node, n, shingles). Each turn compares the members of
-    a list that is not yet one component with one of them; the last compares all members of
-    different components.
+    ``lists`` has (token, node, n, left, weight): the size of the node's set, how many of its
+    shared shingles are not before this one in the common order, and how central it is; ``sets``
+    has (node, shingles). Two sets share at most the lesser ``left`` of their first common list, so
+    other pairs need no look. First the members of each list are compared with its most central one;
+    then members that are still in different components with each other. Links of the second kind
+    are between components' roots.
     """
-    near = (F.col("n_a") * t.b >= F.col("n_b") * t.a) & (F.col("n_b") * t.b >= F.col("n_a") * t.a)
-    roots = stage(components(edges), "roots")
-    for turn in range(STAR_ROUNDS + 1):
-        placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        hubs = placed.groupBy("token").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"),
-            F.min_by(F.struct("node", "n", "root"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("hub"),
-        ).filter("low < high").select("token", "hub")
-        lists = stage(placed.drop("root").join(hubs, "token", "left_semi"), "lists")
-        if lists.isEmpty():
-            break
-        members = placed.join(hubs, "token")
-        right = members.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "hub")
-        if turn < STAR_ROUNDS:
-            pairs = right.select(
-                F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.root").alias("root_a"),
-                "b", "n_b", "root_b",
-            ).filter((F.col("root_a") != F.col("root_b")) & near)
-        else:
-            left = members.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-            apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near
-            pairs = left.join(right.drop("hub"), "token").filter(apart)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(pairs, sets, t)
-        known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        roots = stage(components(known.unionByName(new)), "roots")
-    return roots
+    near = (
+        (F.col("n_a") * t.b >= F.col("n_b") * t.a)
+        & (F.col("n_b") * t.b >= F.col("n_a") * t.a)
+        & (F.least("left_a", "left_b") * (t.a + t.b) >= (F.col("n_a") + F.col("n_b")) * t.a)
+    )
+
+    def side(name: str) -> list:
+        return [F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "left", "root")]
+
+    hubs = lists.groupBy("token").agg(
+        F.max_by(F.struct("node", "n", "left"), F.struct("weight", "node")).alias("hub")
+    )
+    starred = lists.join(hubs, "token").select(
+        F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.left").alias("left_a"),
+        F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"),
+    )
+    stars = stage(verified(starred.filter((F.col("a") != F.col("b")) & near).select("a", "b").distinct(), sets, t), "links")
+
+    roots = components(stars)
+    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    members = stage(placed.join(open_lists.select("token"), "token", "left_semi"), "members")
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near
+    pairs = members.select("token", *side("a")).join(members.select("token", *side("b")), "token").filter(apart)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "root_a", "root_b").distinct()
+    rest = verified(pairs, sets, t).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    return [stars, stage(rest, "links")]
 
 
 def linked(
@@ -345,12 +345,23 @@ def linked(
         .agg(F.collect_list(F.struct("df", "token")).alias("common"))
         .filter(F.size("common") >= t.least_column(size))
     )
+    # the rarest first, one order for all sets
     rarest = (F.size("common") - t.least_column(size) + 1).cast("int")
-    lists = common.select("node", "n", F.explode(F.slice(F.sort_array("common"), F.lit(1), rarest)).alias("entry"))
-    lists = stage(lists.select(F.col("entry.token").alias("token"), "node", "n").distinct(), "lists")
+    weight = F.aggregate("common", F.lit(0).cast("long"), lambda sum_, e: sum_ + e["df"]) / size
+    ordered = common.select("node", "n", F.sort_array("common").alias("common"), weight.alias("weight"))
+    lists = ordered.select(
+        "node", "n", "weight", F.size("common").alias("m"), F.posexplode(F.slice("common", F.lit(1), rarest)).alias("place", "entry")
+    )
+    lists = stage(
+        lists.select(F.col("entry.token").alias("token"), "node", "n", (F.col("m") - F.col("place")).alias("left"), "weight"),
+        "lists",
+    )
     held = lists.select("node").distinct()
     kept_sets = stage(sets.join(held, "node", "left_semi").dropDuplicates(["node"]), "kept-sets")
-    roots = join_lists(lists, kept_sets, small, t)
+    edges = small
+    for links in join_lists(lists, kept_sets, t):
+        edges = edges.unionByName(links)
+    roots = components(edges)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     by_set = named.join(least, "root").select("digest", "component_id")
