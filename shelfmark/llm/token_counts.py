@@ -8,7 +8,8 @@ of pieces. Pieces are counted once for each distinct pre-token, not once for eac
    sends each distinct one once, with its postings (row of the block, frequency), to the bucket
    that its hash names: one shuffle row per block and bucket.
 2. A bucket counts the pieces of each distinct pre-token once, joins them to the postings and
-   returns one partial sum per document. A native sum by document adds them up.
+   returns, for each block, one partial sum per document. A second shuffle by block brings these
+   together; a block's sums are added up while they stream by.
 
 A pre-token that is in a large part of a block's rows is dealt by its hash and the block's, so
 that its postings spread over all buckets. Blocks and the tables of a bucket are bounded in
@@ -24,8 +25,11 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -34,6 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from shelfmark.llm.bpe_stream import byte_letters, read_source
 
 BLOCK_CHARS = 8_000_000
+BLOCK_ROWS = 30_000
 CACHED = 300_000
 # Fixed value: the split that byte-level pre-tokenisers of this kind use.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,32 +98,30 @@ def _pieces(source: str) -> Pieces:
     return Pieces(source)
 
 
+def default_buckets(partitions: int) -> int:
+    """128 for each started thousand of shuffle partitions: enough tasks, few partial sums."""
+    return 128 * -(-partitions // 1024)
+
+
 def token_counts(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None
 ) -> DataFrame:
-    """(id, n_bytes, n_tokens) of every row; ``path`` is a tokenizer file on the driver.
-
-    ``buckets`` is by default four for each shuffle partition, so that it grows with the cluster's
-    setting for the input.
-    """
-    import numpy as np
-    import pyarrow as pa
-
+    """(id, n_bytes, n_tokens) of every row; ``path`` is a tokenizer file on the driver."""
     spark = docs.sparkSession
     source = spark.sparkContext.broadcast(read_source(path))
     if buckets is None:
-        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = default_buckets(int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = to_arrow_type(docs.schema[id_col].dataType)
 
-    postings = pa.schema([
-        ("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.string())), ("word", pa.list_(pa.int32())),
-        ("freq", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("known", pa.list_(pa.int64())),
-        ("bytes", pa.list_(pa.int64())), ("ids", pa.list_(id_type)),
+    posting_schema = pa.schema([
+        ("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("lengths", pa.list_(pa.int32())),
+        ("found_in", pa.list_(pa.int32())), ("place", pa.list_(pa.int16())), ("freq", pa.list_(pa.int32())),
+        ("known", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64())), ("ids", pa.list_(id_type)),
     ])
 
-    def block_rows(block: int, texts: list[str], ids: list):
-        """Shuffle rows of one block: one that needs no counting, and one for each bucket."""
+    def block_rows(block: int, texts: list[str], ids: list) -> pa.RecordBatch:
+        """Shuffle rows of one block: one of what needs no counting, and one for each bucket."""
         pieces = _pieces(source.value)
         code: dict[str, int] = {}
         single = pieces.single
@@ -140,29 +143,36 @@ def token_counts(
                     freqs.append(n)
             known.append(at_once)
             sizes.append(len(text.encode("utf-8", "surrogatepass")))
-        out = [(block % buckets, block, None, None, None, None, known, sizes, ids)]
+        out = [(block % buckets, block, None, None, None, None, None, known, sizes, ids)]
         if code:
-            words = list(code)
-            of = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
-            codes, rows, freqs = np.array(codes), np.array(rows), np.array(freqs)
-            wide = np.bincount(codes, minlength=len(words)) * 4 > len(texts)
+            words = [w.encode("utf-8", "surrogatepass") for w in code]
+            of = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+            codes, rows, freqs = np.array(codes), np.array(rows, np.int16), np.array(freqs, np.int32)
+            in_docs = np.bincount(codes, minlength=len(words))
+            wide = in_docs * 4 > len(texts)
             of[wide] += block * 2654435761 % (1 << 31)
             bucket = of % buckets
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            local = np.empty(len(words), np.int64)
-            local[order] = np.arange(len(words)) - ends[bucket[order]]
-            by = bucket[codes]
-            posting = np.argsort(by, kind="stable")
-            posted = np.searchsorted(by[posting], np.arange(buckets + 1))
-            for b in np.unique(bucket).tolist():
-                mine = posting[posted[b] : posted[b + 1]]
-                told = [words[i] for i in order[ends[b] : ends[b + 1]].tolist()]
-                out.append((b, block, told, local[codes[mine]], freqs[mine], rows[mine], None, None, None))
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            posting = np.argsort(rank[codes], kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            in_docs = in_docs[order]
+            posted = np.concatenate([[0], np.cumsum(in_docs)])
+            lengths = np.fromiter(map(len, words), np.int32, len(words))[order]
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                first, last = edges[b], edges[b + 1]
+                mine = posting[posted[first] : posted[last]]
+                told = zlib.compress(b"".join([words[i] for i in order[first:last].tolist()]), 1)
+                out.append(
+                    (b, block, told, lengths[first:last], in_docs[first:last], rows[mine], freqs[mine], None, None, None)
+                )
         columns = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, postings)], schema=postings)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, posting_schema)], schema=posting_schema
+        )
 
-    def to_postings(batches):
+    def to_postings(batches) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         texts, ids, chars = [], [], 0
         for batch in batches:
@@ -170,44 +180,76 @@ def token_counts(
                 texts.append(text.as_py() or "")
                 ids.append(key)
                 chars += len(texts[-1])
-                if chars >= BLOCK_CHARS:
+                if chars >= BLOCK_CHARS or len(texts) >= BLOCK_ROWS:
                     yield block_rows(block, texts, ids)
                     texts, ids, chars, block = [], [], 0, block + 1
         if texts:
             yield block_rows(block, texts, ids)
 
-    sums = pa.schema([
-        ("block", pa.int64()), ("place", pa.int32()), ("n", pa.int64()), ("bytes", pa.int64()), ("id", id_type)
+    sum_schema = pa.schema([
+        ("block", pa.int64()), ("place", pa.list_(pa.int16())), ("n", pa.list_(pa.int64())),
+        ("bytes", pa.list_(pa.int64())), ("ids", pa.list_(id_type)),
     ])
 
-    def to_sums(batches):
+    def to_sums(batches) -> Iterator[pa.RecordBatch]:
+        """Count the bucket's words, join them to their postings, and sum by document."""
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                at = {n: batch.column(n)[row] for n in batch.schema.names}
+                block = at["block"].as_py()
+                if not at["words"].is_valid:
+                    out.append((block, None, at["known"].values.to_numpy(), at["bytes"].values.to_numpy(), at["ids"].as_py()))
+                    continue
+                text = zlib.decompress(at["words"].as_py())
+                ends = np.cumsum(at["lengths"].values.to_numpy()).tolist()
+                words = [text[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *ends], ends)]
+                pieces = np.array(_pieces(source.value).many(words), np.int64)
+                each = np.repeat(pieces, at["found_in"].values.to_numpy()) * at["freq"].values.to_numpy()
+                places, at_place = np.unique(at["place"].values.to_numpy(), return_inverse=True)
+                out.append((block, places, np.bincount(at_place, each).astype(np.int64), None, None))
+            if out:
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(columns, sum_schema)], schema=sum_schema
+                )
+
+    def to_documents(batches) -> Iterator[pa.RecordBatch]:
+        """Add up the sums of one block after another: its rows stand together."""
+        block, total, ids, sizes = None, None, None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, id_type), pa.array(sizes, pa.int64()), pa.array(total[: len(ids)], pa.int64())],
+                ["id", "n_bytes", "n_tokens"],
+            )
+
         for batch in batches:
             for row in range(batch.num_rows):
-                block, at = batch.column(1)[row].as_py(), {n: batch.column(n)[row] for n in batch.schema.names}
-                if at["words"].is_valid:
-                    pieces = np.array(_pieces(source.value).many(at["words"].as_py()), np.int64)
-                    places = at["place"].values.to_numpy(zero_copy_only=False)
-                    each = pieces[at["word"].values.to_numpy()] * at["freq"].values.to_numpy()
-                    total = np.bincount(places, each).astype(np.int64)
-                    found = np.unique(places)
-                    columns = [pa.array(found, pa.int32()), pa.array(total[found])]
-                    columns += [pa.nulls(len(found), f.type) for f in (sums.field("bytes"), sums.field("id"))]
+                at = {n: batch.column(n)[row] for n in batch.schema.names}
+                if at["block"].as_py() != block:
+                    if block is not None:
+                        yield told()
+                    block, total = at["block"].as_py(), np.zeros(BLOCK_ROWS, np.int64)
+                n = at["n"].values.to_numpy()
+                if at["place"].is_valid:
+                    total[at["place"].values.to_numpy()] += n
                 else:
-                    known = at["known"].values
-                    columns = [pa.array(range(len(known)), pa.int32()), known, at["bytes"].values, at["ids"].values]
-                first = pa.array(np.full(len(columns[0]), block), pa.int64())
-                yield pa.RecordBatch.from_arrays([first, *columns], schema=sums)
+                    total[: len(n)] += n
+                    ids, sizes = at["ids"].as_py(), at["bytes"].values.to_numpy()
+        if block is not None:
+            yield told()
 
     pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     posted = pair.mapInArrow(
         to_postings,
-        "bucket int, block long, words array<string>, word array<int>, freq array<int>, place array<int>, "
-        f"known array<long>, bytes array<long>, ids array<{kind}>",
+        "bucket int, block long, words binary, lengths array<int>, found_in array<int>, place array<smallint>, "
+        f"freq array<int>, known array<long>, bytes array<long>, ids array<{kind}>",
     )
     partial = posted.repartition("bucket").mapInArrow(
-        to_sums, f"block long, place int, n long, bytes long, id {kind}"
+        to_sums, f"block long, place array<smallint>, n array<long>, bytes array<long>, ids array<{kind}>"
     )
-    counted = partial.groupBy("block", "place").agg(
-        F.max("id").alias("id"), F.max("bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")
+    counted = partial.repartition("block").sortWithinPartitions("block").mapInArrow(
+        to_documents, f"id {kind}, n_bytes long, n_tokens long"
     )
-    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    return counted.withColumnRenamed("id", id_col)
