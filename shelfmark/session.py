@@ -57,19 +57,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# An input estimated below this size per core is spread over all cores before heavy row work.
-SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
 def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small input over all cores.
+    """Spread an input of fewer partitions than cores over all of them.
 
-    Per-row text work is CPU-bound, and a small table may be one unsplittable file. Whether it
-    is small is the optimizer's size estimate; large inputs already come in many splits and are
-    returned unchanged, without a shuffle.
+    Per-row text work is CPU-bound, and a small table may be one unsplittable file. Large inputs
+    come in many splits, and are returned as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > cores * SMALL_BYTES_PER_CORE:
-        return df
-    return df.repartition(2 * cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
