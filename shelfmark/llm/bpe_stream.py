@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 CHUNK = 1 << 16  # characters of a text that are looked at together
-CACHED_WORDS = 200_000  # words whose ids are remembered at a time
+CACHED_WORDS = 300_000  # words whose ids are remembered at a time, and as many older ones
 CACHED_CHARS = 48  # longer words are not remembered
 LAST_SPACE = regex.compile(r"(?r)\s")
 # the runs that can be arbitrarily long: letters, and anything but letters, digits and white space
@@ -95,6 +95,8 @@ class Model:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
             raise ValueError("special tokens must be plain strings")
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.special_pattern = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self._read_normalizer(spec.get("normalizer"))
         self._read_splitter(spec["pre_tokenizer"])
@@ -117,6 +119,8 @@ class Model:
                 self.normal_steps.append(("NFC",))
             elif step["type"] == "Lowercase":
                 self.normal_steps.append(("lower",))
+            elif step["type"] == "Replace" and (step["pattern"].get("Regex"), step["content"]) == (r"\s+", " "):
+                continue  # white space only separates words
             elif step["type"] == "Replace":
                 self.normal_steps.append(("replace", regex.compile(step["pattern"]["Regex"]), step["content"]))
             else:
@@ -143,6 +147,11 @@ class Model:
                 text = text.lower()
         return text
 
+    def told(self, tokens: list[str]) -> tuple[str, str]:
+        """Ids joined by spaces, and, where tokens are not bytes, their decoded form."""
+        vocab = self.vocab
+        return " ".join([str(vocab[t]) for t in tokens]), "" if self.byte_decoder else " ".join(tokens)
+
     def symbols_of(self, word: str, ended: bool) -> list[str]:
         letters = self.letters
         symbols = [letters[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -199,27 +208,33 @@ class Model:
 
 
 class _Words(dict):
-    """Ids of words met before, as decimal numbers joined by spaces; emptied when full."""
+    """Ids of words as decimal numbers joined by spaces, with their decoded form.
+
+    When full, the words so far become the older half; those that are met again move back.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.older: dict[str, tuple[str, str]] = {}
 
-    def __missing__(self, word: str) -> str:
-        vocab, model = self.model.vocab, self.model
-        ids = " ".join(str(vocab[t]) for t in model.merge(model.symbols_of(word, True)))
+    def __missing__(self, word: str) -> tuple[str, str]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.model.told(self.model.merge(self.model.symbols_of(word, True)))
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
 
 
 class Encoder:
-    """One text at a time: ``feed`` pieces, then ``finish``; both give the ids that became stable.
+    """One text at a time: ``feed`` pieces, then ``finish``; both give the tokens that became stable.
 
-    Ids come as strings of decimal numbers joined by spaces, one string for each word or part of a
-    word. ``words`` may be shared by encoders of one model.
+    They come word by word, or as part of a long word: ids as decimal numbers joined by spaces, and
+    the decoded form. ``words`` may be shared by encoders of one model.
     """
 
     def __init__(self, model: Model, words: _Words | None = None):
@@ -228,9 +243,8 @@ class Encoder:
         self.raw = ""  # not yet normalised
         self.open = ""  # normalised, from the start of the last run
         self.inside: list[str] | None = None  # symbols of a long run whose start has been emitted
-        specials = sorted(model.special, key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.held = max(map(len, specials), default=1) - 1
+        self.special = model.special_pattern
+        self.held = max(map(len, model.special), default=1) - 1
 
     # cutting the raw text
 
@@ -253,94 +267,92 @@ class Encoder:
                     i = at
         return max(i, 0)
 
-    def feed(self, piece: str) -> Iterator[str]:
+    def feed(self, piece: str) -> list[tuple[str, str]]:
         self.raw += piece
         cut = self._cut()
         ready, self.raw = self.raw[:cut], self.raw[cut:]
-        yield from self._take(ready)
+        return self._take(ready)
 
-    def finish(self) -> Iterator[str]:
+    def finish(self) -> list[tuple[str, str]]:
         ready, self.raw = self.raw, ""
-        yield from self._take(ready)
-        yield from self._close()
+        return self._take(ready) + self._close()
 
-    def _take(self, ready: str) -> Iterator[str]:
+    def _take(self, ready: str) -> list[tuple[str, str]]:
         if not ready:
-            return
-        if self.special is None:
-            yield from self._text(ready)
-            return
-        at = 0
+            return []
+        if self.special is None or not self.special.search(ready):
+            return self._text(ready)
+        at, out = 0, []
         for match in self.special.finditer(ready):
-            yield from self._text(ready[at : match.start()])
-            yield from self._close()
-            yield str(self.model.special[match[0]])
+            out += self._text(ready[at : match.start()]) + self._close()
+            out.append((str(self.model.special[match[0]]), match[0]))
             at = match.end()
-        yield from self._text(ready[at:])
+        return out + self._text(ready[at:])
 
     # words
 
-    def _text(self, piece: str) -> Iterator[str]:
+    def _text(self, piece: str) -> list[tuple[str, str]]:
         """Ids of the words that this piece closes; what follows the last white space stays open."""
-        text = self.model.normalize(piece)
+        text, out = self.model.normalize(piece), []
         if self.inside is not None:
-            end = self.run.match(text).end() if self.run.match(text) else 0
+            run = self.run.match(text)
+            end = run.end() if run else 0
             for at in range(0, end, CHUNK):
                 self.inside += self.model.symbols_of(text[at : min(end, at + CHUNK)], False)
-                yield from self._stable()
+                out += self._stable()
             if end == len(text):
-                return
-            yield from self._close()
+                return out
+            out += self._close()
             text = text[end:]
         text = self.open + text
         space = LAST_SPACE.search(text)
         closed = space.end() if space else 0
         self.open = text[closed:]
-        yield from map(self.words.__getitem__, self.model.pattern.findall(text, 0, closed))
-        if len(self.open) > CACHED_CHARS:
-            yield from self._enter()
+        out += map(self.words.__getitem__, self.model.pattern.findall(text, 0, closed))
+        return out + self._enter() if len(self.open) > CACHED_CHARS else out
 
-    def _enter(self) -> Iterator[str]:
+    def _enter(self) -> list[tuple[str, str]]:
         """The open stretch is long: emit its whole words, and go into the last one if that is long."""
         runs = list(self.model.pattern.finditer(self.open))
         if not runs:
             self.open = ""
-            return
+            return []
         # only the last run can grow, but a short one could still join those before it ('r, 're)
         stay = 1 if len(runs[-1][0]) > 4 else 3
-        yield from (self.words[m[0]] for m in runs[:-stay])
+        out = [self.words[m[0]] for m in runs[:-stay]]
         runs = runs[-stay:]
         self.open = self.open[runs[0].start() :]
         if len(runs) == 1 and len(self.open) > 2 * (self.model.lookahead + self.model.longest):
             self.run = next((r for r in RUNS if r.fullmatch(self.open)), None)
             if self.run is not None:
                 self.inside, self.open = self.model.symbols_of(self.open, False), ""
-                yield from self._stable()
+                out += self._stable()
+        return out
 
-    def _stable(self) -> Iterator[str]:
-        """Emit the tokens of the open run that end before the lookahead."""
-        look, vocab = self.model.lookahead + self.model.longest, self.model.vocab
+    def _stable(self) -> list[tuple[str, str]]:
+        """The tokens of the open run that end before the lookahead."""
+        look, out = self.model.lookahead + self.model.longest, []
         while len(self.inside) > 2 * look:
             window = self.inside[: 2 * look + CHUNK // 16]
-            done, ids = 0, []
+            done, tokens = 0, []
             for token in self.model.merge(window):
-                size = len(token)
-                if done + size > len(window) - look:
+                if done + len(token) > len(window) - look:
                     break
-                done += size
-                ids.append(str(vocab[token]))
-            yield " ".join(ids)
+                done += len(token)
+                tokens.append(token)
+            out.append(self.model.told(tokens))
             self.inside = self.inside[done:]
+        return out
 
-    def _close(self) -> Iterator[str]:
+    def _close(self) -> list[tuple[str, str]]:
         """The open run ends here."""
+        out = []
         if self.inside is not None:
             symbols, self.inside = self.inside, None
             symbols[-1] += self.model.suffix
-            vocab = self.model.vocab
-            yield " ".join(str(vocab[t]) for t in self.model.merge(symbols))
+            out.append(self.model.told(self.model.merge(symbols)))
         words, self.open = self.model.pattern.findall(self.open), ""
-        yield from map(self.words.__getitem__, words)
+        return out + [self.words[w] for w in words]
 
 
 class Decoder:
@@ -370,10 +382,10 @@ def encode(model: Model, text: str, pieces: Iterable[int] = ()) -> list[int]:
     """All ids of a text, fed in pieces that end at the given places."""
     encoder, ids, at = Encoder(model), [], 0
     for end in [*pieces, len(text)]:
-        for part in encoder.feed(text[at:end]):
+        for part, _ in encoder.feed(text[at:end]):
             ids += map(int, part.split())
         at = end
-    for part in encoder.finish():
+    for part, _ in encoder.finish():
         ids += map(int, part.split())
     return ids
 
@@ -383,47 +395,36 @@ def decode(model: Model, ids: Iterable[int]) -> str:
     return "".join([machine.push(i) for i in ids]) + machine.finish()
 
 
-class _Texts(dict):
-    """Decoded form of the id strings met before (only where tokens decode one by one)."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.token_of = model.token_of
-
-    def __missing__(self, ids: str) -> str:
-        text = " ".join(self.token_of[int(i)] for i in ids.split(" "))
-        if len(ids) <= 6 * CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[ids] = text
-        return text
-
-
 @lru_cache(maxsize=2)
-def _model(source: str) -> tuple[Model, _Words, _Texts]:
+def _model(source: str) -> tuple[Model, _Words]:
     model = Model(source)
-    return model, _Words(model), _Texts(model)
+    return model, _Words(model)
 
 
 def digests(source: str, text: str | None) -> tuple[int, str, str]:
-    """(tokens, SHA-256 of the ids, SHA-256 of the decoded text) with constant memory."""
-    model, words, texts = _model(source)
+    """(tokens, SHA-256 of the ids, SHA-256 of the decoded text) with constant memory.
+
+    Without a byte-level decoder a word's decoded form is that of its tokens, which the encoder has
+    at hand; else the ids go through the decoder.
+    """
+    model, words = _model(source)
     encoder, text = Encoder(model, words), text or ""
     of_ids, of_text, machine = hashlib.sha256(), hashlib.sha256(), Decoder(model)
     count, gap = 0, ""
 
-    def take(parts: Iterator[str]) -> None:
+    def take(parts: list[tuple[str, str]]) -> None:
         nonlocal count, gap
-        found = [p for p in parts if p]
-        if not found:
+        parts = [p for p in parts if p[0]]
+        if not parts:
             return
-        joined = " ".join(found)
+        ids, texts = zip(*parts)
+        joined = " ".join(ids)
         count += joined.count(" ") + 1
         of_ids.update((gap + joined).encode())
         if model.byte_decoder:
             of_text.update("".join([machine.push(int(i)) for i in joined.split(" ")]).encode())
         else:
-            of_text.update((gap + " ".join(map(texts.__getitem__, found))).encode())
+            of_text.update((gap + " ".join(texts)).encode())
         gap = " "
 
     for at in range(0, len(text), CHUNK):
@@ -463,15 +464,15 @@ def encode_rows(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        model, words, _ = _model(source.value)
+        model, words = _model(source.value)
 
         def one(text):
             encoder, out = Encoder(model, words), []
             text = text or ""
             for at in range(0, len(text), CHUNK):
-                for part in encoder.feed(text[at : at + CHUNK]):
+                for part, _ in encoder.feed(text[at : at + CHUNK]):
                     out += map(int, part.split())
-            for part in encoder.finish():
+            for part, _ in encoder.finish():
                 out += map(int, part.split())
             return out
 
@@ -487,7 +488,7 @@ def decode_rows(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_co
 
     @F.pandas_udf("string")
     def texts(ids: pd.Series) -> pd.Series:
-        model, _, _ = _model(source.value)
+        model, _ = _model(source.value)
         return ids.map(lambda x: None if x is None else decode(model, map(int, x)))
 
     kept = [c for c in tokens.columns if c.lower() != out_col.lower()]

@@ -73,10 +73,10 @@ def test_long_runs_in_constant_memory(model, library, letters):
     text = "".join(r.choice(letters) for _ in range(40_000))
     encoder, ids, most = bpe_stream.Encoder(model), [], 0
     for at in range(0, len(text), 500):
-        for part in encoder.feed(text[at : at + 500]):
+        for part, _ in encoder.feed(text[at : at + 500]):
             ids += map(int, part.split())
         most = max(most, len(encoder.raw) + len(encoder.open) + len(encoder.inside or ()))
-    for part in encoder.finish():
+    for part, _ in encoder.finish():
         ids += map(int, part.split())
     assert ids == library.encode(text, add_special_tokens=False).ids
     assert most <= 2 * (model.lookahead + model.longest) + 8_000
