@@ -1,0 +1,98 @@
+"""Edge values: infinite numbers, time zones, key types, many hot keys, repeated names, broken files."""
+
+import datetime
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.operators import graph, similarity, stats, trends
+from shelfmark.operators.spread import hot_keys, spread_join
+from shelfmark.session import fresh_path
+from shelfmark.sources import readers, schemas
+from shelfmark.streaming import landing
+
+INF = math.inf
+
+
+@pytest.mark.parametrize("values, q, wanted", [
+    ([1.0, 2.0, INF, -INF], 0.5, 1.5), ([-INF, -INF, 3.0], 0.0, -INF), ([INF], 0.5, INF), ([1.0, math.nan, None, 3.0], 0.5, 2.0),
+    ([1e308, -1e308, 0.0], 0.5, 0.0), ([1e308, -1e308], 0.25, -5e307), ([math.nan], 0.5, None), ([1.0, INF], 0.0, 1.0),
+    ([1.0, INF], 0.5, INF), ([-INF, 1.0], 1.0, 1.0),
+])
+def test_quantile_of_odd_values(spark, values, q, wanted):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert stats.exact_quantile(df, "v", q) == wanted
+
+
+def test_quantile_of_neighbouring_doubles(spark):
+    one = 1.0
+    values = [one, math.nextafter(one, 2), math.nextafter(math.nextafter(one, 2), 2)] * 3
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for q in (0.0, 0.4, 0.5, 1.0):
+        assert stats.exact_quantile(df, "v", q) == pytest.approx(float(np.quantile(values, q)), abs=1e-18)
+
+
+def test_grid_keeps_the_key_type(spark):
+    weekly = spark.createDataFrame([(1, datetime.date(2024, 1, 7), 5)], "k bigint, week_end date, downloads bigint")
+    assert dict(trends.weekly_grid(weekly, "k", [1, 2]).dtypes)["k"] == "bigint"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_weekly_windows_do_not_follow_the_session(spark, zone):
+    folder = fresh_path(spark, "zone-in")
+    # Thursday 1970-01-08 begins a window
+    rows = [("1970-01-07 23:59:59", "a", 1.0), ("1970-01-08 00:00:00", "a", 2.0), ("1970-03-01 00:00:00", "a", 4.0)]
+    schema = "ts timestamp_ntz, by string, v double"
+    spark.createDataFrame(rows, "t string, by string, v double").select(
+        F.col("t").cast("timestamp_ntz").alias("ts"), "by", "v"
+    ).write.parquet(folder)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        stream = landing.landed(spark, folder, schema)
+        out = fresh_path(spark, "zone-out")
+        landing.store_available(landing.weekly_windows(stream, "ts", "by", "v"), out, fresh_path(spark, "zone-state"))
+        found = {r["week_start"]: r["total"] for r in spark.read.parquet(out).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found == {datetime.date(1970, 1, 1): 1.0, datetime.date(1970, 1, 8): 2.0}
+
+
+def test_more_than_a_thousand_hot_keys(spark):
+    left = spark.range(2000 * 30).select("id", (F.col("id") % 2000).alias("k"))
+    hot = hot_keys(left, ["k"], 10)
+    assert hot.count() == 2000 and hot.agg(F.min("_slices"), F.max("_slices")).first()[:] == (3, 3)
+    right = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = spread_join(left, right, ["k"], ["id"], rows_per_task=10)
+    assert got.count() == 60_000 and got.filter("v <> 2 * k").count() == 0
+
+
+def test_conditions_are_for_inner_joins(spark):
+    one = spark.range(3).withColumnRenamed("id", "k").withColumn("id", F.col("k"))
+    with pytest.raises(ValueError):
+        spread_join(one, one.select("k"), ["k"], ["id"], "left", condition=F.col("k") > 1)
+
+
+def test_repeated_names_are_one_mention(spark):
+    docs = spark.createDataFrame([("d", "uses alpha-tool here")], "id string, text string")
+    names = spark.createDataFrame([("alpha-tool",), ("alpha-tool",)], "name string")
+    found = graph.mentions(docs, names, "id", "text", "name").collect()
+    assert [tuple(r) for r in found] == [("d", "alpha-tool")]
+
+
+def test_copies_are_near_pairs(spark):
+    rows = [(i, [0, 1], [0.6, 0.8]) for i in (4, 2, 9)] + [(5, [0, 2], [0.6, 0.8]), (7, [3], [1.0])]
+    vectors = spark.createDataFrame(rows, "id long, idx array<int>, w array<double>")
+    found = {(r["id_a"], r["id_b"], r["score"], r["copies_a"], r["copies_b"]) for r in similarity.near_pairs(vectors, 0.3).collect()}
+    assert found == {(2, 4, 1.0, 1, 1), (2, 9, 1.0, 1, 1), (2, 5, 0.36, 3, 1)}
+
+
+def test_corrupt_documents_are_kept(spark):
+    folder = fresh_path(spark, "corrupt")
+    rows = [("a", '{"name": "x", "versions_count": 3}'), ("b", '{"name": '), ("c", '[{"name": "y"}, {"name": "z"}]')]
+    spark.createDataFrame(rows, "file string, value string").write.partitionBy("file").text(folder)
+    read = readers.read_documents(spark, folder, schemas.PACKAGE, keep_corrupt=True)
+    found = {(r["name"], r[readers.CORRUPT] is not None) for r in read.select("name", readers.CORRUPT).collect()}
+    assert found == {("x", False), (None, True), ("y", False), ("z", False)}
