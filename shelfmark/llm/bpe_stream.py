@@ -40,6 +40,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from shelfmark.llm.batches import small
+
 CHUNK = 1 << 16  # characters of a text that are looked at together
 CACHED_WORDS = 300_000  # words whose ids are remembered at a time, and as many older ones
 CACHED_CHARS = 48  # longer words are not remembered
@@ -445,7 +447,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = [digests(source.value, t.as_py()) for t in batch.column(1)]
             counts, ids, texts = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(

@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from shelfmark.llm.batches import small
+
 # Element names by their part in the parse.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset(
@@ -265,7 +267,7 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
     )
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(page.as_py()) for page in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 

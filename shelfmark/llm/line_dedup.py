@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from shelfmark.llm.batches import small
 from shelfmark.session import stage
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -119,7 +120,7 @@ def document_lines(docs: DataFrame, text_col: str) -> DataFrame:
     """(digest) of each distinct line key of each row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found: list[bytes] = []
             for text in batch.column(0):
                 found += {d for d in line_digests((text.as_py() or b"").split(b"\n")) if d}
@@ -200,21 +201,21 @@ def update_filters(
 def may_be_heavy(docs: DataFrame, filters: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, digest) of the distinct line keys that the filters may hold."""
     total = filters.agg(F.sum(F.length("filter")), F.max("shards"), F.count("*")).first()
-    small = (total[0] or 0) <= FILTER_BYTES
-    rows = filters.collect() if small else []
+    fits = (total[0] or 0) <= FILTER_BYTES
+    rows = filters.collect() if fits else []
     held = docs.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] and bytes(r["filter"]) for r in rows})
     shards = total[1] or 1
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         loaded = {s: b and Cuckoo.loaded(b) for s, b in held.value.items()}
-        for batch in batches:
+        for batch in small(batches):
             places: list[int] = []
             found: list[bytes] = []
             for place, text in enumerate(batch.column(1)):
                 own = {d for d in line_digests((text.as_py() or b"").split(b"\n")) if d}
                 found += own
                 places += [place] * len(own)
-            if small and found:
+            if fits and found:
                 keep = np.zeros(len(found), bool)
                 shard = np.array([_spark_hash(d) % shards for d in found]) if shards > 1 else np.zeros(len(found), int)
                 for s in np.unique(shard).tolist():
@@ -258,7 +259,7 @@ def drop_lines(
     joined = rows.join(by_id, F.col("_row_id").eqNullSafe(F.col("_id")), "left").select("_row", "_text", "_doomed")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, lines, drops = [], [], []
             for text, doomed in zip(batch.column(1), batch.column(2)):
                 told = (text.as_py() or b"").split(b"\n")

@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.llm.batches import small
 from shelfmark.session import stage
 
 CACHED = 250_000
@@ -137,7 +138,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words_each: int, t:
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, digests, parts = [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py() or b"", words_each)
@@ -167,7 +168,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingle_set(text.as_py() or b"", words_each) for text in batch.column(1)]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -188,11 +189,11 @@ def shared_by_two(postings: DataFrame) -> DataFrame:
 # Links
 
 
-def small_links(small: DataFrame, t: Threshold) -> DataFrame:
+def small_links(sets: DataFrame, t: Threshold) -> DataFrame:
     """(a, b) links between enumerated sets (node, n, part), through one member of each group."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys, nodes, sides = [], [], []
             sizes = batch.column(1).to_pylist()
             for node, n, part in zip(batch.column(0).to_pylist(), sizes, batch.column(2)):
@@ -212,7 +213,7 @@ def small_links(small: DataFrame, t: Threshold) -> DataFrame:
                 ["key", "node", "side"],
             )
 
-    keyed = small.select("node", "n", "part").mapInArrow(run, "key binary, node long, side int")
+    keyed = sets.select("node", "n", "part").mapInArrow(run, "key binary, node long, side int")
     keyed = stage(keyed, "subset-keys")
     of_side = lambda side: F.min(F.when(F.col("side") == side, F.col("node")))
     hubs = keyed.groupBy("key").agg(
@@ -324,7 +325,7 @@ def linked(
         nodes.select("digest", "node", "n", F.col("id").alias("node_id")), "digest"
     ).filter(F.col("id").eqNullSafe(F.col("node_id"))).select("node", "n", "part")
     parts = stage(parts, "parts")
-    small = small_links(parts.filter(F.col("n") <= limit), t)
+    edges = small_links(parts.filter(F.col("n") <= limit), t)
 
     slack = lambda size: F.floor(size * SLACK / 100) + 1
     size = F.col("n")
@@ -358,7 +359,6 @@ def linked(
     )
     held = lists.select("node").distinct()
     kept_sets = stage(sets.join(held, "node", "left_semi").dropDuplicates(["node"]), "kept-sets")
-    edges = small
     for links in join_lists(lists, kept_sets, t):
         edges = edges.unionByName(links)
     roots = components(edges)

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from shelfmark.llm.batches import small
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CACHED = 250_000
@@ -199,7 +201,7 @@ def measures(
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         fertility = _fertility(source.value)
-        for batch in batches:
+        for batch in small(batches):
             rows = [
                 measure_text(text.as_py() or "", lang, fertility, bands)
                 for text, lang in zip(batch.column(1), batch.column(2).to_pylist())

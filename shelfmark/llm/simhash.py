@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelfmark.llm.batches import small
 from shelfmark.session import stage
 
 SHINGLE = 3
@@ -85,7 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_chars, fingerprint in hexadecimal) of every row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t.as_py() or "" for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -176,7 +177,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     joined = pair.join(beginnings, pair["key"].eqNullSafe(beginnings["for_key"])).select("key", "of_key", "text", "begin")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text, begin in zip(batch.column(2), batch.column(3)):
                 text, begin = text.as_py(), begin.as_py()

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from shelfmark.llm.batches import small
 from shelfmark.llm.bpe_stream import byte_letters, read_source
 
 BLOCK_CHARS = 8_000_000
@@ -175,7 +176,7 @@ def token_counts(
     def to_postings(batches) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         texts, ids, chars = [], [], 0
-        for batch in batches:
+        for batch in small(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 texts.append(text.as_py() or "")
                 ids.append(key)
@@ -193,7 +194,7 @@ def token_counts(
 
     def to_sums(batches) -> Iterator[pa.RecordBatch]:
         """Count the bucket's words, join them to their postings, and sum by document."""
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for row in range(batch.num_rows):
                 at = {n: batch.column(n)[row] for n in batch.schema.names}
