@@ -133,6 +133,11 @@ def within_radius(
     return pairs.select(as_hex("query").alias("query"), as_hex("found").alias("found"), "distance", "copies")
 
 
+def _name(key: str) -> Column:
+    """A key as a string that is never null, so that plain equality joins find null keys too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+
+
 def next_keys(keys: DataFrame, column: str) -> DataFrame:
     """(key, next): each distinct key and the next greater one; the first after the last; nulls first.
 
@@ -161,20 +166,21 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     takes the smallest fingerprint.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    pair = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    links = next_keys(pair, "key")
+    own = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    links = next_keys(own, "key")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
-    needs = pair.groupBy("key").agg(F.max(quarter).alias("need"))
-    wanted = links.join(needs, links["key"].eqNullSafe(needs["key"])).select(
-        links["key"].alias("for_key"), links["next"].alias("of_key"), "need"
+    needs = own.groupBy(F.col("key").alias("needing")).agg(F.max(quarter).alias("need"))
+    wanted = links.join(needs, links["key"].eqNullSafe(needs["needing"])).select(
+        _name("key").alias("for_name"), _name("next").alias("of_name"), "key", "next", "need"
     )
-    # the texts are dealt by key once: both joins read that exchange
+    # the texts are dealt by the key's name once: both joins read that exchange
+    pair = own.select(_name("key").alias("name"), "text")
     beginnings = (
-        pair.join(wanted, pair["key"].eqNullSafe(wanted["of_key"]))
-        .groupBy("for_key", "of_key")
-        .agg(F.min(F.expr("substring(text, 1, need)")).alias("begin"))
+        pair.join(wanted, F.col("name") == F.col("of_name"))
+        .groupBy("for_name")
+        .agg(F.min(F.expr("substring(text, 1, need)")).alias("begin"), F.max("key").alias("key"), F.max("next").alias("next"))
     )
-    joined = pair.join(beginnings, pair["key"].eqNullSafe(beginnings["for_key"])).select("key", "of_key", "text", "begin")
+    joined = pair.join(beginnings, F.col("name") == F.col("for_name")).select("key", "next", "text", "begin")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -184,14 +190,14 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 n = len(text)
                 changed = text[: n - n // 4] + begin[: n // 4]
                 rows.append((
-                    n, hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-                    f"{fingerprint_of(text):016x}", f"{fingerprint_of(changed):016x}",
+                    n, hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(),
+                    fingerprint_of(text).to_bytes(8, "big"), fingerprint_of(changed).to_bytes(8, "big"),
                 ))
             counts, digests, prints, others = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.string()),
-                    pa.array(prints, pa.string()), pa.array(others, pa.string()),
+                    batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                    pa.array(prints, pa.binary()), pa.array(others, pa.binary()),
                 ],
                 ["key", "next", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"],
             )
@@ -199,13 +205,15 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     told = stage(
         joined.mapInArrow(
             run,
-            f"key {kind}, next {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string",
+            f"key {kind}, next {kind}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary",
         ),
         "prints",
     )
     following = told.groupBy(F.col("key").alias("after")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    as_hex = lambda c: F.lower(F.hex(c))
     return told.join(following, told["next"].eqNullSafe(following["after"])).select(
-        F.col("key").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.col("key").alias(id_col), "n_chars", as_hex("edited_sha256").alias("edited_sha256"),
+        as_hex("fingerprint").alias("fingerprint"), as_hex("edited_fingerprint").alias("edited_fingerprint"),
+        likeness(as_hex("fingerprint"), as_hex("edited_fingerprint")).alias("near_edited"),
+        likeness(as_hex("fingerprint"), as_hex("next_fingerprint")).alias("near_next"),
     )
