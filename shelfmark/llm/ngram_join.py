@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.llm.batches import small
-from shelfmark.session import stage
+from shelfmark.session import stage, unstage
 
 CACHED = 250_000
 LARGEST_SMALL = 36  # sets above are never enumerated
@@ -214,7 +214,7 @@ def small_links(sets: DataFrame, t: Threshold) -> DataFrame:
             )
 
     keyed = sets.select("node", "n", "part").mapInArrow(run, "key binary, node long, side int")
-    keyed = stage(keyed, "subset-keys")
+    keyed = stage(keyed, "subset-keys")  # one row for each subset of a small set
     of_side = lambda side: F.min(F.when(F.col("side") == side, F.col("node")))
     hubs = keyed.groupBy("key").agg(
         of_side(0).alias("low"), of_side(1).alias("high"), of_side(2).alias("same"),
@@ -254,7 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
         smaller = larger.join(low, "b").select(
             F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")
         )
-        links = stage(smaller.select("e.a", "e.b").filter("a <> b").distinct(), "links")
+        last, links = links, stage(smaller.select("e.a", "e.b").filter("a <> b").distinct(), "links")
+        unstage(last)
         before, state = state, tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break
@@ -362,10 +363,13 @@ def linked(
     for links in join_lists(lists, kept_sets, t):
         edges = edges.unionByName(links)
     roots = components(edges)
+    # what follows reads the roots and these: the rest is not needed any more
+    told = stage(rows.select("id", "n", "digest"), "sizes")
+    unstage(rows, parts, wanted, sets, lists, kept_sets)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     by_set = named.join(least, "root").select("digest", "component_id")
-    out = rows.select("id", "n", "digest").join(by_set, "digest", "left")
+    out = told.join(by_set, "digest", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
