@@ -1,6 +1,7 @@
 """The driver's entry module is importable with pyspark from its zip and without a session."""
 
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -32,6 +33,16 @@ def test_import_from_zip_without_session():
     assert int(run.stdout.split()[-1]) > 50
 
 
+def test_import_without_the_corpus_operators(tmp_path):
+    left_out = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__")
+    shutil.copytree(REPO, tmp_path / "repo", ignore=left_out)
+    run = subprocess.run(
+        [sys.executable, "-c", CODE.replace('assert ".zip"', 'assert "op1_text_density" not in entry.queries() #')],
+        cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120,
+    )
+    assert run.returncode == 0, run.stderr[-2000:]
+
+
 def test_stop_words_are_spark_ml_s(spark):
     from pyspark.ml.feature import StopWordsRemover
 
