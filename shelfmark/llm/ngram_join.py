@@ -380,6 +380,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows repeated with id and text stay once; so do, for each text, rows without an id.
     """
     marked = linked(docs, id_col, text_col, **options)
-    ids = marked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
+    first = marked.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    ids = stage(first.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows")), "kept")
+    count, most = ids.agg(F.count("*"), F.max("_rows")).first()
+    ids = ids.select("_kept_id")
+    ids = F.broadcast(ids) if count <= BROADCAST_ROWS else ids
     kept = docs.join(ids, docs[f"`{id_col}`"].eqNullSafe(ids["_kept_id"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    # only where an id is there more than once is there anything to drop
+    return kept.dropDuplicates([id_col, text_col]) if (most or 0) > 1 else kept
