@@ -33,8 +33,8 @@ DOCS_PER_RANGE = 5_000
 
 def word_tokens(text: Column) -> Column:
     """Number of words between ASCII white space."""
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    return F.size(words).cast("long")
+    inner = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
 def _key(column: str) -> Column:
@@ -120,10 +120,9 @@ def plan(
     epochs are taken whole; of the next one what comes before ``cut``, all if it is null.
     """
     keys = [f"_k{i}" for i in range(len(levels))]
-    narrow = docs.select(
-        *[_key(c).alias(k) for c, k in zip(levels, keys)], F.col(f"`{id_col}`").cast("string").alias("_id"),
-        tokens.alias("_tokens"),
-    )
+    named = [_key(c).alias(k) for c, k in zip(levels, keys)]
+    own_id = F.col(f"`{id_col}`").cast("string").alias("_id")
+    narrow = stage(docs.select(*named, own_id, tokens.alias("_tokens")), "mix-tokens")
     leaves = stage(
         narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("_docs")), "leaves"
     )
