@@ -47,7 +47,8 @@ def op2_simhash(spark, sf):
 
 @query
 def op6_fertility(spark, sf):
-    measured = quality.measures(documents(spark, sf).select("doc_id", "text", "lang"), tokenizer("piece_bpe_32k.model"))
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    measured = quality.measures(docs, tokenizer("piece_bpe_32k.model"), bands=quality.FITTED)
     return measured.select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "band",

@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe_stream, html_density, license_scan, quality, simhash, token_counts, url_filter
-from shelfmark.llm.queries import tokenizer
+from shelfmark.llm.queries import QUERIES, tokenizer
 from tests.llm import data
 
 
@@ -174,6 +174,13 @@ def test_quality_keeps_prose_and_rejects_noise(spark):
     assert kept.columns == table.columns and [r["doc_id"] for r in kept.collect()] == [1]
 
 
+def test_fitted_bands_tell_low_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    told = QUERIES["op6_fertility"](spark, sf_dir).filter("not base_failed").join(labels, "doc_id").collect()
+    low, good = ([r["kept"] for r in told if r["quality"] == q] for q in (0, 1))
+    assert low and 2 * sum(low) < len(low) and sum(good) >= 0.95 * len(good)
+
+
 def test_script():
     assert [quality.script_of(t) for t in ("abc é", "привет", "漢字かな", "", "γεια")] == [
         "latin", "cyrillic", "cjk", "other", "greek"
