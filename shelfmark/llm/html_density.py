@@ -4,9 +4,12 @@ A page is parsed into a tree; what is never text (scripts, styles, forms) or say
 a menu, header, footer, sidebar, notice, advert or reader comment is left out. Every node has its
 link-adjusted density: characters per tag, damped by the share of characters and tags that are in
 links. A node's density sum is that of its children. The lowest density on the way from the node
-with the greatest sum up to the body is the threshold; from the body down, the first nodes that
-reach it are looked into, and the subtree with the greatest sum there is the article. If it lies in
-an ``article`` or ``main`` element, that whole element is.
+with the greatest sum up to the body is the threshold; the node with
+the greatest sum is the article. If it lies in an ``article`` or ``main`` element, that whole element
+is. Elsewhere, from the body down, the blocks that reach the threshold belong to it too, and so do those
+that are as dense for their size (half the characters per tag, links in a third at most): densities grow
+with the size of a block, so a short section may not reach what a long one does. The parts are joined
+in page order.
 
 Blocks of the article are joined by one space, white space inside a block is one space, character
 references are decoded. Pages are parsed one by one inside their rows: no shuffle; memory and time
@@ -49,6 +52,7 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"),
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("html body table td th ul ol dl div article section main button".split())
 # Words of class, id and role that mark what is not the article.
 ASIDE_WORDS = frozenset(
@@ -202,40 +206,62 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
-def article(root: Node) -> Node:
-    """The subtree with the greatest density sum, by the threshold on its way to the body."""
+def article(root: Node) -> list[Node]:
+    """The subtree with the greatest density sum and the blocks like it, in page order."""
     nodes = weigh(root)
     best = max(nodes, key=lambda n: n.total)
     if not best.total:
-        return root
+        return [root]
     threshold, node = best.density, best
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
-    found, todo = None, [root]
-    while todo:
-        node = todo.pop()
-        if node.density >= threshold:
-            inner = max(in_order(node), key=lambda n: n.total)
-            if found is None or inner.total > found.total:
-                found = inner
-        else:
-            todo += [c for c in node.children if isinstance(c, Node)]
-    chosen = up = found or best
+    chosen = up = best
     while up is not None:
         if up.name in ("article", "main"):
             chosen = up
         up = up.parent
-    if chosen.name not in ("article", "main"):
-        # inline markup and single blocks belong to the block around them
-        while chosen.parent is not None and (chosen.name not in BLOCKS or chosen.name in ("p", "li", "h1", "h2", "h3")):
-            chosen = chosen.parent
-    return chosen
+    if chosen.name in ("article", "main"):
+        return [chosen]
+    # inline markup and single blocks belong to the block around them
+    while chosen.parent is not None and (chosen.name not in BLOCKS or chosen.name in ("p", "li", "h1", "h2", "h3")):
+        chosen = chosen.parent
+    return sections(root, chosen, threshold)
+
+
+def sections(root: Node, chosen: Node, threshold: float) -> list[Node]:
+    """The chosen subtree, the blocks outside it that are like it, and headings right before them."""
+    around, up = set(), chosen.parent
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    each = chosen.chars / (chosen.tags + 1)
+    found: list[Node] = []
+    heading, todo = None, [root]
+    while todo:
+        node = todo.pop()
+        if node is not chosen:
+            if node.name == "a" or not node.chars:
+                continue
+            if id(node) not in around and node.name in HEADINGS and node.density < threshold:
+                heading = node
+                continue
+            alike = 3 * node.link_chars <= node.chars and 2 * node.chars >= each * (node.tags + 1)
+            if id(node) in around or node.name not in BLOCKS or not (node.density >= threshold or alike):
+                todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+                if id(node) not in around:
+                    heading = None
+                continue
+        if heading is not None and heading.parent is node.parent:
+            found.append(heading)
+        heading = None
+        found.append(node)
+    return found
 
 
-def blocks_of(node: Node) -> str:
-    """The text of a subtree: blocks in order, joined by one space."""
+def blocks_of(nodes: list[Node]) -> str:
+    """The text of subtrees: blocks in order, joined by one space."""
     parts: list[str] = []
-    todo: list = [node]
+    todo: list = nodes[::-1]
     while todo:
         item = todo.pop()
         if isinstance(item, str):

@@ -317,6 +317,26 @@ def test_pages(spark):
     same(found.collect(), [(i, PAGES[p]) for i, p in pages + pages[:1]])
 
 
+def paragraphs(tag: str, sizes: list[int]) -> tuple[str, str]:
+    """Paragraphs of given sizes with a letter each, and their text."""
+    texts = [" ".join(f"{tag}{i}{'x' * 7}" for _ in range(size // 10)) for i, size in enumerate(sizes)]
+    return "".join(f"<p>{t}</p>" for t in texts), " ".join(texts)
+
+
+LINKS = "<div>" + "".join(f"<a href=/{i}>see also number {i}</a> " for i in range(12)) + "</div>"
+
+
+@pytest.mark.parametrize("second", [[200] * 5, [200] * 4, [150] * 3, [200]])
+@pytest.mark.parametrize("page", ["<body>{0}<{2}>{1}</{2}>", "<body>{3}<div>{0}<h2>More</h2><{2}>{1}</{2}></div>{3}"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_sections_without_an_article(second, page, tag):
+    first, one = paragraphs("a", [200] * 5)
+    last, two = paragraphs("b", second)
+    middle = " More " if "h2" in page else " "
+    html = page.format(f"<{tag}>{first}</{tag}>", last, tag, LINKS)
+    assert html_density.main_text(html) == one + middle + two
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "text" + "</div>" * 20_000
     assert html_density.main_text(deep) == "text"
