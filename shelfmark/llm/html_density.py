@@ -1,7 +1,8 @@
 """Main text of HTML pages by composite text density.
 
 A page is parsed into a tree; what is never text (scripts, styles, forms) or says itself that it is
-a menu, header, footer, sidebar, notice, advert or reader comment is left out. Every node has its
+a menu, header, footer, sidebar, notice, advert or reader comment is left out; where only its class or id
+says so, not if it is a wrapper around most of the page's text (``settle``). Every node has its
 link-adjusted density: characters per tag, damped by the share of characters and tags that are in
 links. A node's density sum is that of its children. The lowest density on the way from the node
 with the greatest sum up to the body is the threshold; the node with
@@ -65,12 +66,18 @@ ASIDE_WORDS = frozenset(
 )
 KEPT_WORDS = frozenset("article content main post entry story body text".split())
 
+READER_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion feedback".split())
+# How sure it is that an element is an aside: by its class or id, by those of readers' words, in any case.
+BY_CLASS, BY_READERS, SURE = 1, 2, 3
+
 TAG = regex.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)",
     regex.S,
 )
 ATTRIBUTE = regex.compile(r"([^\s=\"'>/]+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+VALUE = regex.compile(r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)")
+HIDDEN = regex.compile(r"(?<![^\s/\"'])hidden(?![^\s/])", regex.I)
 WORDS = regex.compile(r"[a-z]+")
 
 
@@ -84,10 +91,10 @@ class Node:
         self.children: list = []
 
 
-def is_aside(name: str, attributes: str, parent: Node) -> bool:
-    """Whether an element says of itself that it is not part of an article."""
+def is_aside(name: str, attributes: str, parent: Node) -> int:
+    """Whether an element says of itself that it is not part of an article: SURE, or by its class or id."""
     if name in NO_TEXT:
-        return True
+        return SURE
     if name == "header":  # an article's own header has its title
         node = parent
         while node is not None:
@@ -95,9 +102,10 @@ def is_aside(name: str, attributes: str, parent: Node) -> bool:
                 break
             node = node.parent
         else:
-            return True
+            return SURE
     if not attributes:
-        return False
+        return 0
+    told = 0
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "").lower()
         if key in ("class", "id", "role"):
@@ -105,24 +113,30 @@ def is_aside(name: str, attributes: str, parent: Node) -> bool:
                 continue
             found = WORDS.findall(value)
             if not ASIDE_WORDS.isdisjoint(found) and (key == "role" or KEPT_WORDS.isdisjoint(found) or "comment" in value):
-                return True
+                if key == "role":
+                    return SURE
+                told = max(told, BY_CLASS if READER_WORDS.isdisjoint(found) else BY_READERS)
         elif key == "aria-hidden" and value == "true":
-            return True
+            return SURE
         elif key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return regex.search(r"(?<![\w-])hidden(?![\w=-])", attributes.lower()) is not None
+            return SURE
+    if "hidden" in attributes.lower() and HIDDEN.search(VALUE.sub("", attributes)):
+        return SURE
+    return told
 
 
 def parse(page: str) -> Node:
     """The tree under a ``body``; what is in the head is left out."""
     root = Node("body", None)
-    node, at, skip = root, 0, None
+    node, at = root, 0
+    doubts: list[tuple[Node, int]] = []
     while True:
         match = TAG.search(page, at)
         text = page[at : match.start() if match else len(page)]
         if text and not node.aside:
             node.children.append(html.unescape(text) if "&" in text else text)
         if match is None:
+            settle(root, doubts)
             return root
         at = match.end()
         name = match["name"]
@@ -160,13 +174,44 @@ def parse(page: str) -> Node:
                     if name not in ("tr", "tbody"):
                         break
                 up = up.parent
-        child = Node(name, node, node.aside or is_aside(name, match["attributes"], node))
-        if not child.aside:
+        told = SURE if node.aside else is_aside(name, match["attributes"], node)
+        child = Node(name, node, told == SURE)
+        if told != SURE:
             node.children.append(child)
+            if told:
+                doubts.append((child, told))
         if name not in VOID and not (closing and name not in BLOCKS):
             node = child
 
 
+def settle(root: Node, doubts: list[tuple[Node, int]]) -> None:
+    """Drop what a class or id names an aside, but for a wrapper around most of the page's text.
+
+    A wrapper has blocks in it, more than half of the text outside links, and every ``article`` and
+    ``main`` that has text; one named for readers' words has one of these or a title in it.
+    """
+    if not doubts:
+        return
+    nodes = weigh(root)
+    plain = {id(n): n.chars - n.link_chars for n in nodes}
+    bodies: dict[int, int] = {}
+    titles: dict[int, int] = {}
+    for node in reversed(nodes):
+        inner = [id(c) for c in node.children if isinstance(c, Node)]
+        bodies[id(node)] = (node.name in ("article", "main") and node.chars > 0) + sum(map(bodies.__getitem__, inner))
+        titles[id(node)] = (node.name == "h1" and node.chars > 0) + sum(map(titles.__getitem__, inner))
+    gone, parents = set(), {}
+    for node, told in doubts:
+        own = id(node)
+        most = 2 * plain[own] > plain[id(root)] and bodies[own] == bodies[id(root)]
+        blocks = any(isinstance(c, Node) and c.name in BLOCKS for c in node.children)
+        if not (most and blocks and (told == BY_CLASS or bodies[own] or titles[own])):
+            gone.add(own)
+            parents[id(node.parent)] = node.parent
+    for parent in parents.values():
+        parent.children = [c for c in parent.children if id(c) not in gone]
+
+
 def in_order(root: Node) -> list[Node]:
     """All nodes, parents before children, without recursion."""
     nodes, todo = [], [root]

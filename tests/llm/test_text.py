@@ -337,6 +337,28 @@ def test_sections_without_an_article(second, page, tag):
     assert html_density.main_text(html) == one + middle + two
 
 
+STORY, STORY_TEXT = paragraphs("s", [200] * 3)
+SIDE = "<div class=sidebar><p>by the way</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    "<article style='overflow:hidden'>{}</article>", "<article title='The hidden valley'>{}</article>",
+    "<main data-x=hidden>{}</main>", "<div><p hidden>secret words</p>{}</div>", "<div><p class=x hidden=''>secret</p>{}</div>",
+    "<div><p HIDDEN>secret words</p>{}</div>", "<div class='has-sidebar'>{}" + SIDE + "</div>",
+    "<div class='page no-sidebar'><div>{}</div></div>", "<div id='nav-open'><div class='with-sidebar'>{}</div></div>",
+    "<div class='has-comments'><article>{}</article><div class='comments'><p>" + "well " * 300 + "</p></div></div>",
+    "<article>{}</article><div class='comments'><p>" + "well " * 300 + "</p></div>",
+])
+def test_asides_and_wrappers(page):
+    assert html_density.main_text(f"<body>{page.format(STORY)}</body>") == STORY_TEXT
+
+
+def test_hidden_in_a_link():
+    assert html_density.main_text(f"<article>{STORY}<p>More <a href='/hidden/x.html'>there</a>.</p></article>") == (
+        STORY_TEXT + " More there."
+    )
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 20_000 + "text" + "</div>" * 20_000
     assert html_density.main_text(deep) == "text"
