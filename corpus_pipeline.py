@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten of them or more have."""
-    told = line_dedup.dedup(docs)
+    """Documents without the lines that ten different ones or more have; copies are left to the next stage."""
+    told = line_dedup.dedup(docs, distinct_texts=True)
     length = F.char_length("text").cast("long")
     return told.withColumn("n_chars", F.when(F.col("n_dropped") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
 

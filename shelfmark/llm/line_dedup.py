@@ -116,22 +116,31 @@ class Cuckoo:
 # The exact table
 
 
-def document_lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """(digest) of each distinct line key of each row."""
+def document_lines(docs: DataFrame, text_col: str, wholes: bool = False) -> DataFrame:
+    """(digest) of each distinct line key of each row; with ``wholes`` also the digest ``whole`` of its text."""
+    names = ["digest", "whole"] if wholes else ["digest"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found: list[bytes] = []
+            columns: list[list[bytes]] = [[] for _ in names]
             for text in batch.column(0):
-                found += {d for d in line_digests((text.as_py() or b"").split(b"\n")) if d}
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
+                text = text.as_py() or b""
+                own = {d for d in line_digests(text.split(b"\n")) if d}
+                columns[0] += own
+                if wholes:
+                    columns[1] += [xxhash.xxh3_128_digest(text)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names)
 
-    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "digest binary")
+    given = docs.select(F.col(text_col).cast("binary").alias("text"))
+    return given.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
-def reference_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, n_docs): in how many rows a line key is found."""
-    return document_lines(docs, text_col).groupBy("digest").agg(F.count("*").alias("n_docs"))
+def reference_counts(docs: DataFrame, text_col: str = "text", distinct_texts: bool = False) -> DataFrame:
+    """(digest, n_docs): in how many rows, or distinct whole texts, a line key is found."""
+    lines = document_lines(docs, text_col, distinct_texts)
+    if distinct_texts:
+        lines = lines.distinct()
+    return lines.groupBy("digest").agg(F.count("*").alias("n_docs"))
 
 
 def insert(counts: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -279,8 +288,14 @@ def drop_lines(
     return out.select(*back, "n_lines", "n_dropped")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``drop_lines`` of documents against their own counts."""
-    counts = stage(reference_counts(docs, text_col).filter(F.col("n_docs") >= threshold), "line-counts")
+def dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, distinct_texts: bool = False
+) -> DataFrame:
+    """``drop_lines`` of documents against their own counts.
+
+    With ``distinct_texts`` copies of a whole text count once, so that they keep their lines.
+    """
+    counts = reference_counts(docs, text_col, distinct_texts).filter(F.col("n_docs") >= threshold)
+    counts = stage(counts, "line-counts")
     filters = stage(build_filters(counts, threshold), "line-filters")
     return drop_lines(docs, counts, filters, id_col, text_col, threshold)

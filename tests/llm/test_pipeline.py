@@ -74,6 +74,17 @@ def test_run_is_the_stages(spark, sf_dir):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, docs.collect()))
 
 
+@pytest.mark.parametrize("copies", [10, 1000])
+def test_one_of_many_copies_stays(spark, copies):
+    text = data.prose(11, 70) + "\n" + data.prose(12, 70)
+    common = [(5000 + i, data.prose(100 + i, 60) + "\nthe same last line", "en", "src1", 1) for i in range(10)]
+    docs = data.frame(spark, [(i, text, "en", "src0", len(text)) for i in range(copies)] + common)
+    for name in ("line dedup", "n-gram Jaccard join"):
+        docs = dict(corpus_pipeline.STAGES)[name](spark, docs, "").cache()
+    found = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert found == {0: text} | {i: t.split("\n")[0] for i, t, *_ in common}
+
+
 def test_odd_rows_pass(spark):
     docs = data.frame(spark)
     for _, step in corpus_pipeline.STAGES:
