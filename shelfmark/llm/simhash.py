@@ -133,6 +133,20 @@ def within_radius(
     return pairs.select(as_hex("query").alias("query"), as_hex("found").alias("found"), "distance", "copies")
 
 
+def counted_within(
+    rows: DataFrame, asked: Column, radius: int = 3, blocks: int = 5, column: str = "fingerprint", out_col: str = "n_within"
+) -> DataFrame:
+    """The rows with the number of all rows whose fingerprint is within the radius, their own included.
+
+    It is null for rows that ``asked`` does not choose. Rows that it does not choose are not joined.
+    """
+    chosen = F.coalesce(asked, F.lit(False))
+    near = within_radius(rows.filter(chosen), rows, radius, blocks, column)
+    counts = near.groupBy(F.col("query").alias("_query")).agg(F.sum("copies").alias(out_col))
+    told = rows.filter(chosen).join(counts, F.col(column) == F.col("_query"), "left").drop("_query")
+    return told.unionByName(rows.filter(~chosen).withColumn(out_col, F.lit(None).cast("long")))
+
+
 def _name(key: str) -> Column:
     """A key as a string that is never null, so that plain equality joins find null keys too."""
     return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))

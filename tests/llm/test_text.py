@@ -228,6 +228,27 @@ def test_block_tables_find_all_within_radius(spark):
     same(simhash.within_radius(queries, table).select("query", "found", "distance", "copies").collect(), wanted)
 
 
+def test_op2_counts_all_within_radius(spark, sf_dir):
+    found = QUERIES["op2_simhash"](spark, sf_dir).collect()
+    prints = [int(r["fingerprint"], 16) for r in found]
+    assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    for r, own in zip(found, prints):
+        near = sum((own ^ p).bit_count() <= 3 for p in prints)
+        assert r["n_within"] == (near if r["doc_id"] is not None and r["doc_id"] % 100 == 0 else None)
+
+
+def test_counted_within_with_copies(spark):
+    values = [0, 0, 1, 7, 15, 255, 1 << 63, (1 << 64) - 1, (1 << 64) - 1]
+    rows = [(None if i == 1 else i, f"{v:016x}") for i, v in enumerate(values * 3)]
+    found = simhash.counted_within(spark.createDataFrame(rows, "id long, fingerprint string"), F.col("id") % 2 == 0)
+    prints = [int(f, 16) for _, f in rows]
+    wanted = [
+        (i, f, sum((int(f, 16) ^ p).bit_count() <= 3 for p in prints) if i is not None and i % 2 == 0 else None)
+        for i, f in rows
+    ]
+    same(found.collect(), wanted)
+
+
 # Licenses
 
 
