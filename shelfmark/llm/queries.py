@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.llm import (
-    bpe_stream, html_density, license_scan, line_dedup, mixing, ngram_join, quality, simhash, token_counts, url_filter,
+    bpe_stream, hard_negatives, html_density, lexical_search, license_scan, line_dedup, mixing, ngram_join, packing,
+    quality, simhash, token_counts, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,3 +285,78 @@ SELECT doc_id, domain, lang, source, tokens::BIGINT AS mix_tokens, budget::BIGIN
   (whole + CASE WHEN whole < {MIX_EPOCHS} AND upto <= rest THEN 1 ELSE 0 END)::INTEGER AS mix_times
 FROM ordered
 """
+
+
+@query
+def op11_hard_negatives(spark, sf):
+    """Three negatives for each of five positives of every fiftieth vector; every seventh label is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("id") % 50 == 0, label)
+
+
+SQL["op11_hard_negatives"] = """
+WITH moved AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings),
+sound AS (
+  SELECT DISTINCT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM moved
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+numbered AS (SELECT *, row_number() OVER () AS r FROM sound),
+cells AS (SELECT r, vec_id, label, unnest(v) AS x, unnest(range(len(v))) AS i FROM numbered),
+anchors AS (SELECT * FROM cells WHERE vec_id % 50 = 0),
+scored AS (
+  SELECT a.r AS a, c.r AS c, a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, sum(a.x * c.x)::BIGINT AS score
+  FROM anchors a JOIN cells c ON a.i = c.i AND a.r <> c.r GROUP BY ALL),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, other) AS place FROM scored WHERE same)
+  WHERE place <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.other AS positive_id, p.score AS positive_score, n.other AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.c ORDER BY n.score DESC, n.other) AS rank
+  FROM positives p JOIN scored n ON p.a = n.a AND NOT n.same
+  WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 3
+"""
+
+
+@query
+def op12_lexical_search(spark, sf):
+    return lexical_search.top_documents(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+SQL["op12_lexical_search"] = rf"""
+WITH worded AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+sizes AS (SELECT doc_id, r, len(w)::BIGINT AS n FROM worded WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS every FROM sizes),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+counted AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM worded)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM counted GROUP BY term), totals),
+parts AS (
+  SELECT term, r, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // every))) AS part
+  FROM counted JOIN weighed USING (term) JOIN sizes USING (r), totals),
+summed AS (SELECT item_id, r, sum(part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY item_id, r),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM summed JOIN sizes USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op13_pack_sequences(spark, sf):
+    pieces = packing.packed(documents(spark, sf), tokenizer("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
