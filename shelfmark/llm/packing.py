@@ -16,14 +16,14 @@ partition depends on ids and texts alone, so that a task that is run again gives
 
 Defined cases: a null text is empty, and has the closing id alone. Rows that repeat, null ids and
 other columns do not matter: every row is packed. An empty table gives no rows. Special strings inside
-a text become their ids, as in the library. Texts longer than ``CUT`` are encoded in parts that end before
-white space, which gives the same ids for vocabularies that split there.
+a text become their ids, as in the library. Texts are encoded in the stretches between spaces, line ends and
+tabs, each of which the library sees once while it is remembered; that gives the same ids for vocabularies
+that drop white space and split there, and others are refused.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from shelfmark.llm.batches import small
 
 GROUP_TOKENS = 1 << 22
-CUT = 1 << 16  # characters of a text that are encoded together, and those up to the next white space
-SPACE = re.compile(r"[ \n\t]")
+REMEMBERED = 300_000  # stretches whose ids are held at a time, and as many older ones
+LONGEST = 64  # characters of a stretch that is remembered
 
 
 class Tournament:
@@ -144,51 +144,64 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return full + fill(first_fit(rest, capacity), capacity)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(source: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    import tokenizers
-
-    library = tokenizers.Tokenizer.from_str(source)
-    library.no_truncation()
-    library.no_padding()
-    return library
-
-
-def parts(text: str) -> list[str]:
-    """The text cut before white space into parts of about ``CUT`` characters."""
-    if len(text) <= CUT:
-        return [text]
-    out, at = [], 0
-    while at < len(text):
-        space = SPACE.search(text, at + CUT)
-        end = space.start() if space else len(text)
-        out.append(text[at:end])
-        at = end
-    return out
+class _Ids(dict):
+    """Ids of stretches without a space, as little-endian unsigned 32-bit numbers.
 
+    When full, the stretches so far become the older half; those that are met again move back.
+    """
 
-def encode(library, texts: list[str | None], closing: int) -> list[np.ndarray]:
-    """The ids of each text as unsigned 32-bit numbers, and the closing id."""
-    cut = [parts(t or "") for t in texts]
-    flat = [p for one in cut for p in one]
-    ids: list[np.ndarray] = []
-    for at in range(0, len(flat), 32):
-        ids += [np.array(e.ids, "<u4") for e in library.encode_batch_fast(flat[at : at + 32], add_special_tokens=False)]
-    out, at, last = [], 0, np.array([closing], "<u4")
-    for one in cut:
-        out.append(np.concatenate([*ids[at : at + len(one)], last]))
-        at += len(one)
-    return out
+    def __init__(self, source: str):
+        super().__init__({"": b""})
+        self.older: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tokenizers
+
+        self.library = tokenizers.Tokenizer.from_str(source)
+        self.library.no_truncation()
+        self.library.no_padding()
+        apart, together = (self.library.encode(t, add_special_tokens=False).ids for t in ("a b \n\t", "ab"))
+        if apart != [i for t in "ab" for i in self.library.encode(t, add_special_tokens=False).ids] or apart == together:
+            raise ValueError("the vocabulary does not split at white space")
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.older.get(stretch)
+        if found is None:
+            found = self._encoded(stretch)
+        if len(stretch) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[stretch] = found
+        return found
+
+    def _encoded(self, stretch: str) -> bytes:
+        if stretch.isascii() and "<" not in stretch:
+            # an end of stops is a piece of its own, and ASCII letters have no case
+            word = stretch.lower().rstrip(".,;:!?")
+            if word != stretch and word[-1:].isalpha():
+                return self[word] + self[stretch[len(word) :]]
+        return np.array(self.library.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, text: str | None, closing: int) -> np.ndarray:
+        """The ids of a text, and the closing id."""
+        stretches = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+        parts = [self[s] for s in stretches]
+        parts.append(np.array([closing], "<u4").tobytes())
+        return np.frombuffer(b"".join(parts), "<u4")
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(source: str) -> _Ids:
+    return _Ids(source)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], library, closing: int, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _groups(batches: Iterator[pa.RecordBatch], ids_of: _Ids, closing: int, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     names, ids, held = [], [], 0
     for batch in small(batches):
-        for name, text in zip(batch.column(0), encode(library, batch.column(1).to_pylist(), closing)):
+        for name, text in zip(batch.column(0), batch.column(1)):
             names.append(name.as_py())
-            ids.append(text)
-            held += len(text)
+            ids.append(ids_of.of(text.as_py(), closing))
+            held += len(ids[-1])
             if held >= most:
                 yield names, ids
                 names, ids, held = [], [], 0

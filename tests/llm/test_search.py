@@ -1,5 +1,6 @@
 """Hard negatives, ranked search and packing against brute force."""
 
+import functools
 import math
 import random
 import re
@@ -193,6 +194,8 @@ def test_search_with_names(spark):
 
 # Packing
 
+library_of = functools.lru_cache(tokenizers.Tokenizer.from_file)
+
 
 @given(st.lists(st.integers(1, 400), max_size=60), st.sampled_from([1, 7, 16, 100, 128]))
 @settings(max_examples=80, deadline=None)
@@ -221,8 +224,22 @@ def test_the_tree_finds_the_first_bin(sizes):
     assert [packing.Tournament.first(tree, size) for size in sizes] == wanted
 
 
+@given(st.text(st.sampled_from("aB é'sţ́\u0344 \t\n\r\u2028\x1c\u00a0<|endoftext|>漢1２!"), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_ids_are_those_of_the_library(text):
+    path = queries.tokenizer("word_bpe_49k.json")
+    library = library_of(path)
+    with open(path, encoding="utf-8") as file:
+        assert packing._tokenizer(file.read()).of(text, 2).tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_other_vocabularies_are_refused():
+    with open(queries.tokenizer("byte_bpe_50k.json"), encoding="utf-8") as file, pytest.raises(ValueError):
+        packing._Ids(file.read())
+
+
 def test_packed_documents(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CUT", 1000)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
     path = queries.tokenizer("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
     docs = data.frame(spark).withColumn("length", F.lit("x")).withColumn("ids", F.lit(1))
