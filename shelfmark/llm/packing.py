@@ -24,6 +24,8 @@ that drop white space and split there, and others are refused.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +39,8 @@ from shelfmark.llm.batches import small
 GROUP_TOKENS = 1 << 22
 REMEMBERED = 300_000  # stretches whose ids are held at a time, and as many older ones
 LONGEST = 64  # characters of a stretch that is remembered
+SIGNS = ".,;:!?#*$%&"
+LATIN = re.compile(r"[\x00-\xFF]*")  # every version of Unicode lower-cases these alike, and they do not compose
 
 
 class Tournament:
@@ -164,9 +168,14 @@ class _Ids(dict):
             raise ValueError("the vocabulary does not split at white space")
 
     def __missing__(self, stretch: str) -> bytes:
+        # an end of signs is a piece of its own, and a word is remembered without it
+        word = stretch.rstrip(SIGNS)
+        if word != stretch and "<" not in word and LATIN.fullmatch(word) and word[-1:].isalpha():
+            return self[word] + self[stretch[len(word) :]]
         found = self.older.get(stretch)
         if found is None:
-            found = self._encoded(stretch)
+            ids = self.library.encode(stretch, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(stretch) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -174,19 +183,14 @@ class _Ids(dict):
             self[stretch] = found
         return found
 
-    def _encoded(self, stretch: str) -> bytes:
-        if stretch.isascii() and "<" not in stretch:
-            # an end of stops is a piece of its own, and ASCII letters have no case
-            word = stretch.lower().rstrip(".,;:!?")
-            if word != stretch and word[-1:].isalpha():
-                return self[word] + self[stretch[len(word) :]]
-        return np.array(self.library.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-
     def of(self, text: str | None, closing: int) -> np.ndarray:
         """The ids of a text, and the closing id."""
-        stretches = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+        text = text or ""
+        if LATIN.fullmatch(text) and "<" not in text:  # special strings are found before capitals become small
+            text = text.lower()
+        stretches = text.replace("\n", " ").replace("\t", " ").split(" ")
         parts = [self[s] for s in stretches]
-        parts.append(np.array([closing], "<u4").tobytes())
+        parts.append(struct.pack("<I", closing))
         return np.frombuffer(b"".join(parts), "<u4")
 
 
