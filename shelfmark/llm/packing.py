@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.batches import small
 
-GROUP_TOKENS = 1 << 22
-REMEMBERED = 300_000  # stretches whose ids are held at a time, and as many older ones
+GROUP_TOKENS = 1 << 20
+REMEMBERED = 200_000  # stretches whose ids are held at a time, and as many older ones
 LONGEST = 64  # characters of a stretch that is remembered
 SIGNS = ".,;:!?#*$%&"
 LATIN = re.compile(r"[\x00-\xFF]*")  # every version of Unicode lower-cases these alike, and they do not compose
@@ -242,8 +242,8 @@ def packed(
                     rows.append((names[doc], start, size, ids[doc][start : start + size].tobytes(), len(ids[doc]), number, offset))
                     offset += size
                 number += 1
-            for at in range(0, len(rows), 4096):
-                columns = zip(*rows[at : at + 4096])
+            for at in range(0, len(rows), 256):
+                columns = zip(*rows[at : at + 256])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], shape.names)
 
     from_row = docs.schema[id_col].dataType
