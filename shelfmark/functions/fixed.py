@@ -76,6 +76,9 @@ COHESION_MIN = 0.52
 COHESION_SAMPLE = 80
 TEXT_CLUSTERS = 12
 VECTOR_CLUSTERS = 24
+TEXT_RESTARTS = 10
+VECTOR_RESTARTS = 20
+VECTOR_ITERATIONS = 500
 REDUCED_DIMENSIONS = 50
 
 # Markdown punctuation, and what plain prose leaves out: tags, URLs, links, emphasis marks.

@@ -117,7 +117,7 @@ def test_vector_clusters(spark, landed):
         for r in landed[0].select("name", "keywords").collect()
     ]
     vectors = spark.createDataFrame(rows, schemas.EMBEDDING)
-    found = plans.vector_clusters(landed[0], vectors, k=3, seeds=(42, 43))
+    found = plans.vector_clusters(landed[0], vectors, k=3, restarts=2)
     assert found.labels.filter("cluster >= 0").groupBy("cluster").count().filter("count = 8").count() == 3
     assert found.labels.filter("cluster_name is null").count() == 0
     assert {r.pattern for r in found.meta.collect()} == {"long-tail"}
@@ -125,7 +125,7 @@ def test_vector_clusters(spark, landed):
 
 
 def test_text_clusters(landed):
-    found = plans.text_clusters(landed[0], k=3, seeds=(1, 2))
+    found = plans.text_clusters(landed[0], k=3, restarts=2)
     assert found["labels"].count() == 24
     assert found["summary"].agg(F.sum("members")).first()[0] == 24
 

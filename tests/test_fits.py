@@ -1,0 +1,162 @@
+"""KMeans and truncated SVD against numpy and MLlib."""
+
+import numpy as np
+import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from shelfmark.functions import fixed
+from shelfmark.operators import kmeans, layout, partial
+from shelfmark.plans import workload
+from shelfmark.session import stage
+
+
+def frame_of(spark, points, parts=3):
+    rows = [(i, None if p is None else [float(x) for x in p]) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "id int, vec array<double>").repartition(parts)
+
+
+def far_from(points, centres):
+    return ((points[:, None, :] - centres[None]) ** 2).sum(2)
+
+
+def test_three_groups_are_found(spark):
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.normal(c, 0.05, size=(20, 2)) for c in ([0, 0], [5, 0], [0, 5])])
+    frame = frame_of(spark, points)
+    model = kmeans.fit(frame, "vec", 3, restarts=3)
+    labels = [r.cluster for r in kmeans.assign(model, frame, "vec").orderBy("id").collect()]
+    assert len({tuple(labels[i : i + 20]) for i in (0, 20, 40)}) == 3
+    assert all(len(set(labels[i : i + 20])) == 1 for i in (0, 20, 40))
+    assert model.cost == pytest.approx(far_from(points, model.centres).min(1).sum())
+
+
+def test_restarts_end_where_no_step_helps(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(300, 5))
+    frame = frame_of(spark, points)
+    model = kmeans.fit(frame, "vec", 8, restarts=6, tolerance=0.0)
+    labels = np.array([r.cluster for r in kmeans.assign(model, frame, "vec").orderBy("id").collect()])
+    assert (labels == far_from(points, model.centres).argmin(1)).all()
+    for c in range(8):
+        assert model.centres[c] == pytest.approx(points[labels == c].mean(0))
+    assert len(model.costs) == 6 and model.cost == min(model.costs)
+    again = kmeans.fit(frame.repartition(5), "vec", 8, restarts=6, tolerance=0.0)
+    assert again.costs == pytest.approx(model.costs)
+
+
+@pytest.mark.parametrize("points, k, found", [([[1.0, 2.0]] * 50, 4, 1), ([[0.0], [1.0], None, [1.0]], 3, 2), ([[3.0]], 1, 1)])
+def test_few_points_and_missing_ones(spark, points, k, found):
+    frame = frame_of(spark, points)
+    model = kmeans.fit(frame, "vec", k, restarts=2)
+    assert model.centres.shape[0] == found and model.cost == 0.0
+    labels = [r.cluster for r in kmeans.assign(model, frame, "vec").orderBy("id").collect()]
+    assert [x is None for x in labels] == [p is None for p in points]
+
+
+def test_bad_points_are_refused(spark):
+    with pytest.raises(ValueError):
+        kmeans.fit(frame_of(spark, [[1.0], [1.0, 2.0]]), "vec", 2)
+    with pytest.raises(ValueError):
+        kmeans.fit(frame_of(spark, [None]), "vec", 2)
+
+
+def test_one_hot_point_does_not_fill_the_seeding(spark):
+    rng = np.random.default_rng(2)
+    points = np.concatenate([np.zeros((400, 3)), rng.normal(size=(200, 3))])
+    model = kmeans.fit(frame_of(spark, points), "vec", 10, restarts=2)
+    assert len(np.unique(model.centres, axis=0)) == 10
+
+
+def test_cost_is_not_above_any_single_run_of_the_library(spark, sf_dir):
+    points = workload.table(spark, sf_dir, "embeddings")
+    model = kmeans.fit(points, "embedding", fixed.VECTOR_CLUSTERS, fixed.VECTOR_RESTARTS, fixed.VECTOR_ITERATIONS)
+    features = points.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
+    runs = [KMeans(k=fixed.VECTOR_CLUSTERS, seed=s, maxIter=500).fit(features).summary.trainingCost for s in range(5)]
+    assert model.cost <= min(runs) * (1 + 1e-9) and len(model.costs) == fixed.VECTOR_RESTARTS
+
+
+def test_every_point_is_in_its_nearest_cluster(spark, sf_dir):
+    found = stage(workload.q26b_text_clusters(spark, sf_dir), "labels")
+    assert found.filter(F.col("cluster").isNull()).count() == 0
+    assert found.select("cluster").distinct().count() == fixed.TEXT_CLUSTERS
+
+
+def sparse(spark, dense, parts=3):
+    rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(x) for x in r[r != 0]]) for i, r in enumerate(dense)]
+    return spark.createDataFrame(rows, "id int, idx array<int>, w array<double>").repartition(parts)
+
+
+@pytest.mark.parametrize("shape, k", [((50, 12), 2), ((80, 40), 6), ((6, 30), 4), ((200, 90), 20)])
+def test_components_match_numpy(spark, shape, k):
+    rng = np.random.default_rng(1)
+    dense = (rng.random(shape) < 0.4) * rng.random(shape) + np.outer(rng.random(shape[0]), np.arange(shape[1]) / shape[1])
+    dense[3] = 0
+    frame = sparse(spark, dense)
+    right, singular = layout.components(frame, shape[1], k, tolerance=1e-10)
+    expected = np.linalg.svd(dense, full_matrices=False)
+    assert singular == pytest.approx(expected[1][:k], rel=1e-8)
+    assert np.linalg.svd(expected[2][:k] @ right)[1] == pytest.approx(np.ones(k), abs=1e-6)
+    points = np.array([r.point for r in layout.project(frame, right).orderBy("id").collect()])
+    assert points == pytest.approx(dense @ right)
+
+
+def test_passes_follow_the_residual(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    left, _ = np.linalg.qr(rng.normal(size=(120, 100)))
+    right, _ = np.linalg.qr(rng.normal(size=(100, 100)))
+    passes = {}
+    times = layout._gram_times
+    for name, values in (("clear", 0.5 ** np.arange(100)), ("close", 1.0 - np.arange(100) / 2000)):
+        passes[name] = 0
+
+        def counted(*args, name=name):
+            passes[name] += 1
+            return times(*args)
+
+        monkeypatch.setattr(layout, "_gram_times", counted)
+        frame = sparse(spark, left * values @ right.T, 1)
+        found, singular = layout.components(frame, 100, 3, tolerance=1e-8)
+        assert singular == pytest.approx(values[:3], rel=1e-6)
+    assert passes["clear"] < passes["close"]
+
+
+def test_a_basis_beyond_its_bytes_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BASIS_BYTES", 16 * 40 * 10)
+    with pytest.raises(ValueError):
+        layout.components(sparse(spark, np.eye(40)), 40, 10)
+
+
+def test_the_plane_is_scaled(spark):
+    rng = np.random.default_rng(1)
+    flat = layout.plane(sparse(spark, rng.random((40, 12))), 12).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    assert list(flat) == [-1.0, 1.0, -1.0, 1.0]
+
+
+def test_the_subspace_of_documents(spark, sf_dir):
+    model = workload.document_model(spark, sf_dir)
+    positions = model.terms.count()
+    right, singular = layout.components(model.vectors, positions, 10)
+    rows = model.vectors.collect()
+    dense = np.zeros((len(rows), positions))
+    for at, row in enumerate(rows):
+        dense[at, row["idx"]] = row["w"]
+    expected = np.linalg.svd(dense, full_matrices=False)
+    assert singular == pytest.approx(expected[1][:10], rel=1e-6)
+    assert np.linalg.svd(expected[2][:10] @ right)[1] == pytest.approx(np.ones(10), abs=1e-4)
+
+
+def test_sums_meet_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(partial, "SLICE_BYTES", 64)
+    frame = spark.range(100).repartition(4)
+
+    def part(batches):
+        total = np.zeros((30, 3))
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                total[i % 30] += [1, i, 0]
+        return total
+
+    found = partial.summed(frame, part, (30, 3))
+    assert found.tolist() == [[len(range(r, 100, 30)), sum(range(r, 100, 30)), 0] for r in range(30)]
