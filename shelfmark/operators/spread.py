@@ -37,18 +37,20 @@ def spread_join(
     how: str = "inner",
     rows_per_task: int = 200_000,
     condition=None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join on ``keys`` that cuts every hot left key into slices.
 
     Left rows of a hot key are dealt to slices by a hash of ``spread_by``; right rows of that
     key are repeated once per slice. Every left row meets every right row of its key exactly
-    once, so the result equals the plain join. ``how`` is inner, left, left_semi or left_anti.
+    once, so the result equals the plain join. ``how`` is inner, left, left_semi or left_anti. Who knows
+    the hot keys already gives them as ``hot`` (keys, _slices).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     if condition is not None and how != "inner":
         raise ValueError("a condition is for inner joins")
-    hot = hot_keys(left, keys, rows_per_task)
+    hot = hot_keys(left, keys, rows_per_task) if hot is None else hot
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     dealt = _with_slices(left, hot, keys).withColumn(
         "_slice", F.pmod(F.xxhash64(*spread_by), slices).cast("int")
@@ -62,6 +64,25 @@ def spread_join(
     return dealt.join(repeated, on, how).filter(condition).drop("_slice")
 
 
+def dense_numbers(df: DataFrame, order: Sequence[str], column: str) -> DataFrame:
+    """Every row with its place 0, 1, ... by ``order``, which is unique, in ``column``.
+
+    Rows are sorted by ranges and numbered in their range; the ranges' sizes, one number for each
+    partition, tell where each begins. No task sees all rows.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(placed.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).collect()
+    starts, so_far = [], 0
+    for row in sorted(sizes):
+        starts.append((row["_part"], so_far))
+        so_far += row["_n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(column, F.col("_start") + within).drop("_part", "_start", "_id")
+
+
 def block_join(
     left: DataFrame,
     right: DataFrame,

@@ -12,18 +12,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfmark.functions import fixed, text as text_functions
+from shelfmark.operators import heavy
+from shelfmark.operators.spread import dense_numbers, spread_join
 from shelfmark.session import stage, widen
 
 # Above this many terms the vocabulary is joined by shuffle instead of broadcast.
 BROADCAST_TERMS = 200_000
+ROWS_PER_TASK = 200_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Which terms a model keeps."""
+    """Which terms a model keeps: the ``max_features`` commonest of those in ``min_df`` documents or more.
+
+    ``max_df``, a share of the documents, leaves out terms that are in more. It is off by default, as it
+    changes results; it keeps the number of rows that meet in a similarity join down.
+    """
 
     max_features: int | None = None
     min_df: int = 1
+    max_df: float | None = None
     ngrams: tuple[int, int] = (1, 1)
     stop_words: tuple[str, ...] = fixed.ENGLISH_STOP_WORDS
     pattern: str = text_functions.WORD
@@ -69,27 +77,41 @@ def term_counts(docs: DataFrame, id_col: str, text: Column, terms: Vocabulary) -
 
 
 def vocabulary(counts: DataFrame, n_docs: int, terms: Vocabulary) -> DataFrame:
-    """(term, df, occurrences, idf) of the kept terms."""
-    used = (
-        counts.select(F.inline("counts"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
-    )
-    if terms.min_df > 1:
-        used = used.filter(F.col("df") >= terms.min_df)
+    """(term, df, occurrences, idf) of the kept terms.
+
+    With ``max_features`` only the terms that may be among the most frequent are shuffled, where that
+    can be proved to be enough.
+    """
+    most = float("inf") if terms.max_df is None else terms.max_df * n_docs
+    used = None
     if terms.max_features is not None:
-        used = used.orderBy(F.desc("occurrences"), "term").limit(terms.max_features)
+        used = heavy.most_frequent(counts, terms.max_features, terms.min_df, most)
+    if used is None:
+        used = (
+            counts.select(F.inline("counts"))
+            .groupBy("term")
+            .agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+        )
+        if terms.min_df > 1 or terms.max_df is not None:
+            used = used.filter(F.col("df").between(terms.min_df, F.lit(most)))
+        if terms.max_features is not None:
+            used = used.orderBy(F.desc("occurrences"), "term").limit(terms.max_features)
     idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return used.withColumn("idf", idf)
 
 
-def indexed(kept: DataFrame) -> DataFrame:
+def indexed(kept: DataFrame, bounded: bool) -> DataFrame:
     """Number the kept terms 0, 1, ... with the rarest first.
 
-    Only for a bounded vocabulary: the numbering sorts it in one task.
+    A bounded vocabulary is sorted in one task, another one by ranges.
     """
+    if not bounded:
+        numbered = dense_numbers(stage(kept, "vocabulary"), ("df", "term"), "idx")
+        if (numbered.agg(F.max("idx")).first()[0] or 0) >= 2**31 - 1:
+            raise ValueError("more terms than positions: set max_features or min_df")
+        return numbered.withColumn("idx", F.col("idx").cast("int"))
     order = Window.partitionBy(F.lit(0)).orderBy("df", "term")
-    return kept.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
+    return kept.withColumn("idx", (F.row_number().over(order) - 1).cast("int")).coalesce(1)
 
 
 @dataclass(frozen=True)
@@ -97,41 +119,46 @@ class Model:
     """Vectors of one corpus and the terms behind their positions.
 
     ``vectors``: (id, idx array<int>, w array<double>) in index order, unit length (or empty);
-    rarest terms come first. ``terms``: (idx, term, df, occurrences, idf).
+    rarest terms come first. ``terms``: (idx, term, df, occurrences, idf); ``bounded`` if they are few
+    enough to be broadcast.
     """
 
     vectors: DataFrame
     terms: DataFrame
     n_docs: int
+    bounded: bool = True
+
+
+def _join_terms(rows: DataFrame, kept: DataFrame, key: str, wanted: list[str], bounded: bool) -> DataFrame:
+    """Rows (id, ...) with what is known of their terms; a term of many documents is dealt over several tasks."""
+    if bounded:
+        return rows.join(F.broadcast(kept.select(key, *wanted)), key)
+    slices = F.ceil(F.col("df") / ROWS_PER_TASK).cast("int").alias("_slices")
+    hot = kept.filter(F.col("df") > ROWS_PER_TASK).select(key, slices)
+    return spread_join(rows, kept.select(key, *wanted), [key], ["id"], hot=hot)
 
 
 def fit(docs: DataFrame, id_col: str, text: Column, terms: Vocabulary, label: str = "tfidf") -> Model:
     """Smooth-idf, L2-normalised TF-IDF vectors of every document."""
-    if terms.max_features is None or terms.max_features > BROADCAST_TERMS:
-        raise ValueError(f"max_features must be at most {BROADCAST_TERMS}: the vocabulary is broadcast")
+    bounded = terms.max_features is not None and terms.max_features <= BROADCAST_TERMS
     counts = stage(term_counts(docs, id_col, text, terms), f"{label}-counts")
     n_docs = counts.count()
-    kept = stage(indexed(vocabulary(counts, n_docs, terms)).coalesce(1), f"{label}-terms")
-    found = counts.select("id", F.inline("counts")).join(
-        F.broadcast(kept.select("term", "idx", "idf")), "term"
-    )
+    kept = stage(indexed(vocabulary(counts, n_docs, terms), bounded), f"{label}-terms")
+    found = _join_terms(counts.select("id", F.inline("counts")), kept, "term", ["idx", "idf"], bounded)
     entry = F.struct("idx", (F.col("tf") * F.col("idf")).alias("w"))
-    # a document holds at most max_features entries
+    # a document holds at most as many entries as it has terms
     gathered = found.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda total, x: total + x["w"] * x["w"]))
     unit = text_functions.let(norm, lambda length: F.transform("e", lambda x: x["w"] / length))
     weighted = gathered.select("id", F.col("e.idx").alias("idx"), unit.alias("w"))
-    return Model(stage(weighted, f"{label}-vectors"), kept, n_docs)
+    return Model(stage(weighted, f"{label}-vectors"), kept, n_docs, bounded)
 
 
 def weights(model: Model) -> DataFrame:
     """Long form (id, term, weight)."""
-    entry = F.inline(F.arrays_zip("idx", "w"))
-    return (
-        model.vectors.select("id", entry)
-        .join(F.broadcast(model.terms.select("idx", "term")), "idx")
-        .select("id", "term", F.col("w").alias("weight"))
-    )
+    entries = model.vectors.select("id", F.inline(F.arrays_zip("idx", "w")))
+    named = _join_terms(entries, model.terms, "idx", ["term"], model.bounded)
+    return named.select("id", "term", F.col("w").alias("weight"))
 
 
 def blend(first: Model, second: Model, first_weight: float, second_weight: float) -> DataFrame:
@@ -142,14 +169,18 @@ def blend(first: Model, second: Model, first_weight: float, second_weight: float
     def numbered(model: Model, side: int) -> DataFrame:
         return model.terms.select("idx", "df", "term", F.lit(side).alias("side"))
 
+    bounded = first.bounded and second.bounded
     merged = numbered(first, 0).unionByName(numbered(second, 1))
-    order = Window.partitionBy(F.lit(0)).orderBy("df", "side", "term")
-    place = merged.withColumn("place", (F.row_number().over(order) - 1).cast("int"))
+    if bounded:
+        order = Window.partitionBy(F.lit(0)).orderBy("df", "side", "term")
+        place = merged.withColumn("place", (F.row_number().over(order) - 1).cast("int"))
+    else:
+        place = dense_numbers(merged, ("df", "side", "term"), "place").withColumn("place", F.col("place").cast("int"))
 
     def long(model: Model, side: int, weight: float) -> DataFrame:
-        mine = place.filter(F.col("side") == side).select("idx", "place")
+        mine = place.filter(F.col("side") == side).select("idx", "place", "df")
         rows = model.vectors.select("id", F.inline(F.arrays_zip("idx", "w")))
-        return rows.join(F.broadcast(mine), "idx").select(
+        return _join_terms(rows, mine, "idx", ["place"], bounded).select(
             "id", F.col("place").alias("idx"), (F.col("w") * F.lit(weight**0.5)).alias("w")
         )
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import similarity, tfidf
+from shelfmark.operators import heavy, similarity, tfidf, tiles
 
 
 def corpus(seed, n, vocabulary=40, copies=0.3):
@@ -61,6 +61,18 @@ def case(spark, request):
     return rows, tfidf.fit(docs, "id", F.col("text"), TERMS)
 
 
+@pytest.fixture(params=["postings", "one tile", "many tiles"])
+def way(request, monkeypatch):
+    """Both exact joins must give the same."""
+    if request.param == "postings":
+        monkeypatch.setattr(similarity, "DENSE_POSITIONS", 0)
+    elif request.param == "many tiles":
+        monkeypatch.setattr(tiles, "TILE_BYTES", 1)
+        monkeypatch.setattr(tiles, "LEAST_ROWS", 7)
+        monkeypatch.setattr(tiles, "TILES_PER_GROUP", 2)
+    return request.param
+
+
 def test_idf(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id bigint, text string")
     model = tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary(max_features=9, stop_words=()))
@@ -78,7 +90,7 @@ def test_weights(case):
 
 
 @pytest.mark.parametrize("threshold", [0.15, 0.6])
-def test_similar_pairs(case, threshold):
+def test_similar_pairs(case, way, threshold):
     rows, model = case
     vectors = brute_vectors(rows, TERMS)
     groups = defaultdict(list)
@@ -117,7 +129,7 @@ def brute_nearest(vectors, n, threshold):
 
 
 @pytest.mark.parametrize("n, threshold", [(3, 0.15), (20, 0.15)])
-def test_nearest(case, n, threshold):
+def test_nearest(case, way, n, threshold):
     rows, model = case
     expected = brute_nearest(brute_vectors(rows, TERMS), n, threshold)
     found = {(r.src, r.dst): r.score for r in similarity.nearest(model.vectors, n, threshold).collect()}
@@ -187,3 +199,161 @@ def test_similarity_plans_have_no_nested_loops(case, spark):
     plan = similarity._candidates(similarity.postings(folded.drop("copies")), 0.5)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_cost_chooses_the_way(spark, case, monkeypatch):
+    _, model = case
+    folded = similarity.fold_equal(model.vectors)
+    assert similarity._by_tiles(folded, 0.5)[0]
+    monkeypatch.setattr(similarity, "TILE_SECONDS", 0.0)
+    monkeypatch.setattr(similarity, "SECONDS_PER_MEETING", 0.0)
+    assert not similarity._by_tiles(folded, 0.5)[0]
+    monkeypatch.setattr(similarity, "SECONDS_PER_MEETING", 1.0)
+    assert similarity._by_tiles(folded, 0.5)[0]
+
+
+def families(seed, n):
+    """Documents in families of near copies, over a wide vocabulary."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(4000)]
+    rows = []
+    while len(rows) < n:
+        base = [rng.choice(words) for _ in range(60)]
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            own = [rng.choice(words) if rng.random() < 0.06 else w for w in base]
+            rows.append((len(rows), " ".join(own)))
+    return rows[:n]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_approximate_mode_finds_nearly_all_and_nothing_wrong(spark, threshold):
+    docs = spark.createDataFrame(families(8, 900), "id bigint, text string")
+    vectors = tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary(max_features=4000, stop_words=())).vectors
+    pairs = lambda df: {(r.id_a, r.id_b): r.score for r in df.collect()}
+    exact = pairs(similarity.similar_pairs(vectors, threshold))
+    found = pairs(similarity.similar_pairs(vectors, threshold, similarity.Approximate()))
+    assert len(exact) > 200 and set(found) <= set(exact)
+    assert all(found[k] == pytest.approx(exact[k], abs=1e-7) for k in found)
+    assert len(found) >= 0.9 * len(exact)
+
+
+def test_approximate_mode_does_not_multiply_a_hot_bucket(spark, monkeypatch):
+    """Copies are one vector, and vectors that share every band meet in a grid."""
+    rows = [(i, "same words here") for i in range(300)] + [(i, f"same words here also{i % 3}") for i in range(300, 330)]
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    vectors = tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary(max_features=50, stop_words=())).vectors
+    found = similarity.near_pairs(vectors, 0.3, similarity.Approximate(recall=0.99))
+    exact = similarity.near_pairs(vectors, 0.3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_rows_that_meet_grow_with_the_documents(spark):
+    met = {}
+    for n in (400, 4000):
+        docs = spark.createDataFrame(families(9, n), "id bigint, text string")
+        vectors = tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary(max_features=4000, stop_words=())).vectors
+        met[n] = similarity.approximate_candidates(similarity.fold_equal(vectors), 0.8, similarity.Approximate()).count()
+    assert met[4000] < 25 * met[400]  # all pairs would be 100 times as many
+
+
+def test_bands_reach_the_wanted_chance():
+    for rows, threshold in ((1000, 0.8), (10**6, 0.8), (1000, 0.25)):
+        bands, bits = similarity.Approximate(0.95).sizes(rows, threshold)
+        same = 1 - math.acos(threshold) / math.pi
+        assert 1 - (1 - same**bits) ** bands >= 0.95 > 1 - (1 - same**bits) ** (bands - 1)
+
+
+# Vocabularies
+
+
+@pytest.mark.parametrize("terms", [
+    tfidf.Vocabulary(ngrams=(1, 2), stop_words=()), tfidf.Vocabulary(min_df=2, stop_words=()),
+    tfidf.Vocabulary(stop_words=(), max_df=0.5), tfidf.Vocabulary(max_features=5, stop_words=(), max_df=0.2),
+])
+@pytest.mark.parametrize("rows_per_task", [200_000, 5])
+def test_vocabulary_without_a_cap(spark, monkeypatch, terms, rows_per_task):
+    monkeypatch.setattr(tfidf, "ROWS_PER_TASK", rows_per_task)
+    rows = corpus(3, 70)
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    model = tfidf.fit(docs, "id", F.col("text"), terms)
+    df = defaultdict(set)
+    for i, text in rows:
+        tokens = text.split()
+        for t in tokens + ([f"{a} {b}" for a, b in zip(tokens, tokens[1:])] if terms.ngrams[1] == 2 else []):
+            df[t].add(i)
+    total = {t: sum(text.split().count(t) for _, text in rows) for t in df}
+    high = terms.max_df * len(rows) if terms.max_df else len(rows)
+    kept = [t for t in df if terms.min_df <= len(df[t]) <= high]
+    kept = sorted(sorted(kept, key=lambda t: (-total[t], t))[: terms.max_features], key=lambda t: (len(df[t]), t))
+    found = model.terms.orderBy("idx").collect()
+    assert [(r.idx, r.term, r.df) for r in found] == [(n, t, len(df[t])) for n, t in enumerate(kept)]
+    idf = {t: math.log((1 + len(rows)) / (1 + len(df[t]))) + 1 for t in kept}
+    weights = defaultdict(dict)
+    for r in tfidf.weights(model).collect():
+        weights[r.id][r.term] = r.weight
+    for i, text in rows:
+        tokens = text.split()
+        grams = tokens + ([f"{a} {b}" for a, b in zip(tokens, tokens[1:])] if terms.ngrams[1] == 2 else [])
+        raw = {t: grams.count(t) * idf[t] for t in set(grams) if t in idf}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        assert weights.get(i, {}) == pytest.approx({t: v / norm for t, v in raw.items()})
+
+
+def test_no_task_numbers_an_uncapped_vocabulary(spark, case):
+    rows, _ = case
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    model = tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary(ngrams=(1, 2)))
+    assert not model.bounded
+    for frame in (tfidf.weights(model), tfidf.blend(model, model, 0.5, 0.5)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_blend_of_uncapped_models_is_that_of_capped_ones(spark, case):
+    rows, _ = case
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    blended = []
+    for most in (None, 10_000):
+        models = [tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary(max_features=most, ngrams=n)) for n in ((1, 1), (2, 2))]
+        blended.append({r.id: (r.idx, r.w) for r in tfidf.blend(*models, 0.6, 0.4).collect()})
+    assert blended[0] == {i: (idx, pytest.approx(w)) for i, (idx, w) in blended[1].items()}
+
+
+def counted(spark, tallies, parts):
+    rows = [([{"term": t, "tf": n} for t, n in sorted(tally.items())],) for tally in tallies]
+    return spark.createDataFrame(rows, "counts array<struct<term: string, tf: int>>").repartition(parts)
+
+
+@pytest.mark.parametrize("seed, held, sent, proved", [(1, 64, 8, True), (2, 5, 4, True), (3, 1, 1, None)])
+@pytest.mark.parametrize("min_df, max_df", [(1, float("inf")), (3, 60)])
+def test_most_frequent_terms(spark, monkeypatch, seed, held, sent, proved, min_df, max_df):
+    monkeypatch.setattr(heavy, "HELD", held)
+    monkeypatch.setattr(heavy, "SENT", sent)
+    rng = random.Random(seed)
+    words = [f"t{i:03d}" for i in range(600)]
+    tallies = []
+    for _ in range(200):
+        tally = defaultdict(int)
+        for w in rng.choices(words, weights=[1 / (i + 1) for i in range(600)], k=30):
+            tally[w] += 1
+        tallies.append(tally)
+    tallies[0]["once"] = 500  # often, in one document
+    df, total = defaultdict(int), defaultdict(int)
+    for tally in tallies:
+        for t, n in tally.items():
+            df[t] += 1
+            total[t] += n
+    wanted = sorted((t for t in df if min_df <= df[t] <= max_df), key=lambda t: (-total[t], t))[:20]
+    found = heavy.most_frequent(counted(spark, tallies, 4), 20, min_df, max_df)
+    if proved and max_df > len(tallies):  # else more may be left out than the margin holds
+        assert found is not None
+    if found is not None:
+        assert [tuple(r) for r in found.orderBy(F.desc("occurrences"), "term").collect()] == [(t, df[t], total[t]) for t in wanted]
+    sent_terms = heavy.summaries(counted(spark, tallies, 4), 20).count()
+    assert sent_terms <= 4 * (20 * sent + 1)
+
+
+def test_most_frequent_of_few_terms(spark):
+    found = heavy.most_frequent(counted(spark, [{"a": 2, "b": 1}, {"b": 1}, {}], 2), 10)
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 2), ("b", 2, 2)]
+    assert heavy.most_frequent(counted(spark, [{}], 1), 10).count() == 0
