@@ -353,10 +353,18 @@ SELECT cluster, 'C' || cluster || ': ' || max(term) FILTER (WHERE rank = 1) AS l
     out["q34_mentions"] = f"WITH {MENTIONS} SELECT id, mentioned FROM mentioned"
     out["q34b_word_mentions"] = r"""
 WITH tokens AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}]{5,}')) AS name FROM conversations),
-names AS (SELECT name FROM tokens GROUP BY 1 ORDER BY count(*) DESC, name LIMIT 50),
+names AS (SELECT DISTINCT name FROM tokens),
 ws AS (
   SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS name FROM documents)
 SELECT id, name AS mentioned FROM ws JOIN names USING (name)"""
+    out["q34c_sliced_mentions"] = r"""
+WITH tokens AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}]{5,}')) AS name FROM conversations),
+names AS (SELECT DISTINCT name FROM tokens),
+cut AS (
+  SELECT page_id AS id, unnest(list_distinct(list_transform(range(1, length(url) - 3), lambda i: lower(substring(url, i, 5))))) AS gram
+  FROM pages)
+SELECT DISTINCT page_id AS id, name AS mentioned
+FROM names JOIN cut ON gram = substring(name, 1, 5) JOIN pages ON page_id = id WHERE contains(lower(url), name)"""
     phrases = "|".join(w.ORIGIN_PHRASES)
     out["q35_cross_refs"] = f"""
 WITH {MENTIONS},

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions import catalogue, fixed, numeric, text as text_functions
-from shelfmark.operators import clusters, graph, layout, metadata, similarity, stats, tfidf, trends
+from shelfmark.operators import clusters, graph, kmeans, layout, metadata, quantiles, similarity, stats, tfidf, trends
 from shelfmark.session import fresh_path, stage, widen
 from shelfmark.plans import catalogue as catalogue_plan
 from shelfmark.sources import readers, schemas, writers
@@ -69,16 +69,14 @@ def q04_distribution(spark, sf):
         "plus_one": numeric.shifted(F.col("value")),
         "clip_p95": numeric.clip(F.col("value"), high=p95),
     }
-    parts = [stats.histogram(events, v).withColumn("view", F.lit(name)) for name, v in views.items()]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return merged.withColumn("edge", numeric.half_even(F.col("edge"), 6))
+    return stats.histograms(events, views).withColumn("edge", numeric.half_even(F.col("edge"), 6))
 
 
 @query
 def q04b_quantiles(spark, sf):
-    items = table(spark, sf, "lineitem")
-    rows = [(q, stats.exact_quantile(items, "l_extendedprice", q)) for q in (0.0, 0.25, 0.5, 0.95, 1.0)]
-    found = spark.createDataFrame(rows, "q double, x double")
+    shares = (0.0, 0.25, 0.5, 0.95, 1.0)
+    values = quantiles.exact_quantiles(table(spark, sf, "lineitem"), "l_extendedprice", shares)
+    found = spark.createDataFrame(list(zip(shares, values)), "q double, x double")
     return found.select("q", numeric.half_even(F.col("x"), 4).alias("x"))
 
 
@@ -347,17 +345,17 @@ def q25_assign(spark, sf):
 @query
 def q26_kmeans_fit(spark, sf):
     points = table(spark, sf, "embeddings")
-    model = clusters.fit_kmeans(points, "embedding", fixed.VECTOR_CLUSTERS, seeds=(42, 43, 44), max_iter=50)
-    return clusters.assign_kmeans(model, points, "embedding").select("vec_id", "cluster")
+    model = kmeans.fit(points, "embedding", fixed.VECTOR_CLUSTERS, fixed.VECTOR_RESTARTS, fixed.VECTOR_ITERATIONS)
+    return kmeans.assign(model, points, "embedding").select("vec_id", "cluster")
 
 
 @query
 def q26b_text_clusters(spark, sf):
     model = document_model(spark, sf)
-    right, _ = layout.components(model.vectors, model.terms.count(), fixed.REDUCED_DIMENSIONS, passes=4)
+    right, _ = layout.components(model.vectors, model.terms.count(), fixed.REDUCED_DIMENSIONS)
     reduced = stage(layout.project(model.vectors, right), "reduced")
-    fitted = clusters.fit_kmeans(reduced, "point", fixed.TEXT_CLUSTERS, seeds=(42, 43), max_iter=50)
-    return clusters.assign_kmeans(fitted, reduced, "point").select("id", "cluster")
+    fitted = kmeans.fit(reduced, "point", fixed.TEXT_CLUSTERS, fixed.TEXT_RESTARTS)
+    return kmeans.assign(fitted, reduced, "point").select("id", "cluster")
 
 
 @query
@@ -455,16 +453,25 @@ def q34_mentions(spark, sf):
     return graph.mentions(docs, items, "doc_id", "text", "text", exclude_self=False)
 
 
-@query
-def q34b_word_mentions(spark, sf):
-    """The commonest words of the conversations, as whole words in documents."""
+def conversation_words(spark, sf) -> DataFrame:
     words = table(spark, sf, "conversations").select(
         F.explode(text_functions.tokens(F.col("text"), pattern=r"[\p{L}]{5,}")).alias("name")
     )
-    names = words.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(50)
-    return graph.mentions(
-        table(spark, sf, "documents"), names, "doc_id", "text", "name", mode="word", exclude_self=False
-    )
+    return words.distinct()
+
+
+@query
+def q34b_word_mentions(spark, sf):
+    """All words of the conversations, as whole words in documents."""
+    docs, names = table(spark, sf, "documents"), conversation_words(spark, sf)
+    return graph.mentions(docs, names, "doc_id", "text", "name", mode="word", exclude_self=False)
+
+
+@query
+def q34c_sliced_mentions(spark, sf):
+    """All words of the conversations, anywhere in page addresses, with a dictionary cut into slices."""
+    pages, names = table(spark, sf, "pages"), conversation_words(spark, sf)
+    return graph.mentions(pages, names, "page_id", "url", "name", exclude_self=False, slice_chars=10_000)
 
 
 @query

@@ -1,13 +1,14 @@
 """Distributions, ingest and incremental loads."""
 
 import json
+import math
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from shelfmark.operators import metadata, stats
+from shelfmark.operators import metadata, quantiles, stats
 from shelfmark.session import fresh_path, stage
 from shelfmark.sources import readers, schemas, writers
 from shelfmark.streaming import landing
@@ -140,3 +141,46 @@ def test_stream_picks_up_new_files_once(spark, tmp_path):
 def test_staged_rows_equal_their_source(spark):
     frame = spark.range(10).select("id", F.array("id").alias("a"))
     assert sorted(stage(frame, "t").collect()) == sorted(frame.collect())
+
+
+@pytest.mark.parametrize("level", [8, 64, 1 << 14])
+def test_quantiles_from_brackets(spark, monkeypatch, level):
+    """Small levels leave wide brackets; the second scan settles them all the same."""
+    monkeypatch.setattr(quantiles, "LEVEL", level)
+    rng = np.random.default_rng(level)
+    values = np.concatenate([rng.normal(size=900), np.full(500, 0.25), rng.integers(0, 5, 300), [math.inf, -math.inf]])
+    frame = spark.createDataFrame([(float(v),) for v in values] + [(None,), (math.nan,)], "v double").repartition(5)
+    shares = [0.0, 0.01, 0.25, 0.25, 0.5, 0.77, 0.999, 1.0]
+    ordered = np.sort(values)
+    wanted = []
+    for q in shares:
+        at = q * (len(ordered) - 1)
+        low, high = ordered[math.floor(at)], ordered[min(math.floor(at) + 1, len(ordered) - 1)]
+        wanted.append(low if at == math.floor(at) or low == high else low + (high - low) * (at - math.floor(at)))
+    assert quantiles.exact_quantiles(frame, "v", shares) == pytest.approx(wanted)
+    every, stands, error = quantiles.sketch(frame.filter("v is not null and not isnan(v)"))
+    assert stands.sum() == len(values) and (error == 0) == (level > len(values))
+    for v in (-1.0, 0.25, 2.0):
+        assert abs(stands[every <= v].sum() - (values <= v).sum()) <= error
+
+
+def test_the_table_is_scanned_twice(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(quantiles, "LEVEL", 32)
+    spark.range(5000).select(F.col("id").cast("double").alias("v")).write.parquet(str(tmp_path / "t"))
+    frame, scans = spark.read.parquet(str(tmp_path / "t")), []
+    for name in ("sketch", "at_ranks"):
+        own = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda values, *a, own=own: scans.append(values) or own(values, *a))
+    assert quantiles.exact_quantiles(frame, "v", [0.1, 0.5, 0.9]) == pytest.approx([499.9, 2499.5, 4499.1])
+    assert len(scans) == 2
+
+
+def test_histograms_share_their_scans(spark):
+    values = [0.0, 1.0, 1.0, 2.5, None]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    both = stats.histograms(frame, {"a": F.col("v"), "b": F.col("v") * 2, "none": F.lit(None).cast("double")}, 5)
+    for name, scale in (("a", 1), ("b", 2)):
+        found = both.filter(F.col("view") == name).orderBy("bin").collect()
+        counts, edges = np.histogram([v * scale for v in values if v is not None], 5)
+        assert [r.n for r in found] == counts.tolist() and [r.edge for r in found] == pytest.approx(edges[:-1].tolist())
+    assert [tuple(r)[1:] for r in both.filter("view = 'none'").orderBy("bin").collect()] == [(i, None, 0) for i in range(5)]
