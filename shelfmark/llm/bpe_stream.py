@@ -11,7 +11,8 @@ back only what later characters could still change:
 The lookahead is computed from the merge list. Whether a merge at some place happens depends on
 what lies to its right only through merges of higher priority that overlap its right end, which
 in turn depend on merges of yet higher priority overlapping theirs: the longest such chain is
-the farthest a decision can look. So the memory is constant however long the text or the run is.
+the farthest a decision can look. So the memory is constant however long the text or the run is, but
+for runs of combining marks, which normalisation has to sort as a whole.
 
 ``Decoder`` takes ids one by one. With a byte-level decoder it keeps at most three bytes of an
 unfinished character; without one, tokens are joined by spaces.
@@ -27,9 +28,11 @@ their special ids, as in the library. Repeated rows, null keys and other columns
 from __future__ import annotations
 
 import codecs
+import copy
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -37,9 +40,10 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+import tokenizers
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from shelfmark.llm import code_points
 from shelfmark.llm.batches import small
 
 CHUNK = 1 << 16  # characters of a text that are looked at together
@@ -47,7 +51,7 @@ CACHED_WORDS = 300_000  # words whose ids are remembered at a time, and as many
 CACHED_CHARS = 48  # longer words are not remembered
 LAST_SPACE = regex.compile(r"(?r)\s")
 # the runs that can be arbitrarily long: letters, and anything but letters, digits and white space
-RUNS = (regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+"))
+RUNS = (r"\p{L}+", r"[^\s\p{L}\p{N}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -82,9 +86,14 @@ def sufficient_lookahead(merges: list[tuple[tuple[str, ...], int]]) -> int:
 
 
 class Model:
-    """Vocabulary, merges and the steps around them, from a tokenizer file's JSON."""
+    """Vocabulary, merges and the steps around them, from a tokenizer file's JSON.
 
-    def __init__(self, source: str):
+    Characters are classed and normalised as the library does, by ``known``; texts without characters
+    that versions of Unicode disagree on may be split by :meth:`plain`, with the same result.
+    """
+
+    def __init__(self, source: str, known: code_points.Tables | None = None):
+        known = code_points.tables() if known is None else known
         spec = json.loads(source)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
@@ -101,7 +110,15 @@ class Model:
         self.special_pattern = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self._read_normalizer(spec.get("normalizer"))
-        self._read_splitter(spec["pre_tokenizer"])
+        self.library_normalizer = tokenizers.Tokenizer.from_str(source).normalizer
+        split = self._read_splitter(spec["pre_tokenizer"])
+        self.doubtful = re.compile(f"[{known.doubtful}]")
+        self.pattern, self.runs = known.spelled(split), [known.spelled(r) for r in RUNS]
+        self.space = re.compile(f"[{known.spaces}]")
+        self.exact = True
+        if self.pattern.search(" "):
+            raise ValueError("white space must separate words")
+        self.split = split
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.lookahead = sufficient_lookahead([(self._symbols(a + b), len(b)) for a, b in pairs])
         self.longest = max((len(self._symbols(t)) for t in self.vocab), default=1)
@@ -128,16 +145,30 @@ class Model:
             else:
                 raise ValueError(f"normalizer {step['type']} is not known")
 
-    def _read_splitter(self, spec: dict) -> None:
+    def plain(self) -> Model:
+        """The same for texts without doubtful characters."""
+        other = copy.copy(self)
+        other.pattern, other.runs = regex.compile(self.split), [regex.compile(r) for r in RUNS]
+        other.exact = False
+        return other
+
+    def last_space(self, text: str) -> int:
+        """Where the text after the last white space begins."""
+        if not self.exact:
+            found = LAST_SPACE.search(text)
+            return found.end() if found else 0
+        return max((m.end() for m in self.space.finditer(text)), default=0)
+
+    def _read_splitter(self, spec: dict) -> str:
         steps = spec["pretokenizers"] if spec["type"] == "Sequence" else [spec]
         split = next((s for s in steps if s["type"] == "Split"), None)
         if split is None or not split["invert"] or split["behavior"] != "Removed":
             raise ValueError("the pre-tokenizer must keep the matches of a pattern")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        if self.pattern.search(" "):
-            raise ValueError("white space must separate words")
+        return split["pattern"]["Regex"]
 
     def normalize(self, text: str) -> str:
+        if self.exact and self.library_normalizer is not None:
+            return self.library_normalizer.normalize_str(text)
         for step in self.normal_steps:
             if step[0] == "NFC":
                 text = unicodedata.normalize("NFC", text)
@@ -150,9 +181,9 @@ class Model:
         return text
 
     def told(self, tokens: list[str]) -> tuple[str, str]:
-        """Ids joined by spaces, and, where tokens are not bytes, their decoded form."""
-        vocab = self.vocab
-        return " ".join([str(vocab[t]) for t in tokens]), "" if self.byte_decoder else " ".join(tokens)
+        """Ids joined by spaces, and, where tokens are not bytes, what the decoder makes of the ids."""
+        ids = [self.vocab[t] for t in tokens]
+        return " ".join(map(str, ids)), "" if self.byte_decoder else decode(self, ids)
 
     def symbols_of(self, word: str, ended: bool) -> list[str]:
         letters = self.letters
@@ -257,7 +288,9 @@ class Encoder:
         while i > 0:
             c = text[i]
             if c.isascii() or (
-                not unicodedata.combining(c) and unicodedata.category(c)[0] != "M" and not "ᅠ" <= c <= "ᇿ"
+                not unicodedata.combining(c)
+                and unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cn")
+                and not "\u1160" <= c <= "\u11ff"
             ):
                 break
             i -= 1
@@ -307,8 +340,7 @@ class Encoder:
             out += self._close()
             text = text[end:]
         text = self.open + text
-        space = LAST_SPACE.search(text)
-        closed = space.end() if space else 0
+        closed = self.model.last_space(text)
         self.open = text[closed:]
         out += map(self.words.__getitem__, self.model.pattern.findall(text, 0, closed))
         return out + self._enter() if len(self.open) > CACHED_CHARS else out
@@ -325,7 +357,7 @@ class Encoder:
         runs = runs[-stay:]
         self.open = self.open[runs[0].start() :]
         if len(runs) == 1 and len(self.open) > 2 * (self.model.lookahead + self.model.longest):
-            self.run = next((r for r in RUNS if r.fullmatch(self.open)), None)
+            self.run = next((r for r in self.model.runs if r.fullmatch(self.open)), None)
             if self.run is not None:
                 self.inside, self.open = self.model.symbols_of(self.open, False), ""
                 out += self._stable()
@@ -398,19 +430,29 @@ def decode(model: Model, ids: Iterable[int]) -> str:
 
 
 @lru_cache(maxsize=2)
-def _model(source: str) -> tuple[Model, _Words]:
-    model = Model(source)
-    return model, _Words(model)
+def _models(source: str, known: code_points.Tables) -> tuple[Model, _Words, Model, _Words]:
+    model = Model(source, known)
+    plain = model.plain()
+    return model, _Words(model), plain, _Words(plain)
+
 
+def encoder_of(source: str, known: code_points.Tables, text: str) -> Encoder:
+    """An encoder for one text; words met before are shared by the encoders of a process."""
+    model, words, plain, plain_words = _models(source, known)
+    if text.isascii() or not model.doubtful.search(text):
+        return Encoder(plain, plain_words)
+    return Encoder(model, words)
 
-def digests(source: str, text: str | None) -> tuple[int, str, str]:
+
+def digests(source: str, known: code_points.Tables, text: str | None) -> tuple[int, str, str]:
     """(tokens, SHA-256 of the ids, SHA-256 of the decoded text) with constant memory.
 
-    Without a byte-level decoder a word's decoded form is that of its tokens, which the encoder has
-    at hand; else the ids go through the decoder.
+    With a byte-level decoder ids go through one decoder in turn, as characters may be parted
+    between them; without one, each word's ids have gone through it when the word was first met.
     """
-    model, words = _model(source)
-    encoder, text = Encoder(model, words), text or ""
+    text = text or ""
+    encoder = encoder_of(source, known, text)
+    model = encoder.model
     of_ids, of_text, machine = hashlib.sha256(), hashlib.sha256(), Decoder(model)
     count, gap = 0, ""
 
@@ -443,34 +485,32 @@ def read_source(path: str) -> str:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row; ``path`` is a tokenizer file on the driver."""
-    source = docs.sparkSession.sparkContext.broadcast(read_source(path))
-    kind = docs.schema[id_col].dataType
+    source = docs.sparkSession.sparkContext.broadcast((read_source(path), code_points.tables()))
+    of_id = T.StructField(id_col, docs.schema[id_col].dataType)
 
     def run(batches):
         for batch in small(batches):
-            rows = [digests(source.value, t.as_py()) for t in batch.column(1)]
+            rows = [digests(*source.value, t.as_py()) for t in batch.column(1)]
             counts, ids, texts = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    out = f"id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    pair = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return pair.mapInArrow(run, out).withColumnRenamed("id", id_col)
+    digest = [T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256")]
+    pair = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return pair.mapInArrow(run, T.StructType([of_id, T.StructField("n_tokens", T.LongType()), *digest]))
 
 
 def encode_rows(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """Every row with its columns and the ids of its text as an array."""
-    source = docs.sparkSession.sparkContext.broadcast(read_source(path))
+    source = docs.sparkSession.sparkContext.broadcast((read_source(path), code_points.tables()))
 
-    @F.pandas_udf(ArrayType(IntegerType()))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        model, words = _model(source.value)
-
         def one(text):
-            encoder, out = Encoder(model, words), []
             text = text or ""
+            encoder, out = encoder_of(*source.value, text), []
             for at in range(0, len(text), CHUNK):
                 for part, _ in encoder.feed(text[at : at + CHUNK]):
                     out += map(int, part.split())
@@ -486,11 +526,11 @@ def encode_rows(docs: DataFrame, path: str, text_col: str = "text", out_col: str
 
 def decode_rows(tokens: DataFrame, path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """Every row with its columns and the text of its ids; null ids are null text."""
-    source = tokens.sparkSession.sparkContext.broadcast(read_source(path))
+    source = tokens.sparkSession.sparkContext.broadcast((read_source(path), code_points.tables()))
 
     @F.pandas_udf("string")
     def texts(ids: pd.Series) -> pd.Series:
-        model, _ = _model(source.value)
+        model = _models(*source.value)[0]
         return ids.map(lambda x: None if x is None else decode(model, map(int, x)))
 
     kept = [c for c in tokens.columns if c.lower() != out_col.lower()]

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.batches import small
 
@@ -342,5 +342,5 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
             texts = [main_text(page.as_py()) for page in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    found = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, text string")
+    found = given.mapInArrow(run, T.StructType([given.schema["row"], T.StructField("text", T.StringType())]))
     return found.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("text").alias(out_col))

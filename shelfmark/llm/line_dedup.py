@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.batches import small
 from shelfmark.session import stage
@@ -131,7 +131,7 @@ def document_lines(docs: DataFrame, text_col: str, wholes: bool = False) -> Data
                     columns[1] += [xxhash.xxh3_128_digest(text)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names)
 
-    given = docs.select(F.col(text_col).cast("binary").alias("text"))
+    given = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
     return given.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
@@ -236,8 +236,9 @@ def may_be_heavy(docs: DataFrame, filters: DataFrame, id_col: str, text_col: str
             ids = batch.column(0).take(pa.array(places, pa.int32()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], ["_id", "digest"])
 
-    pair = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
-    return pair.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, digest binary")
+    pair = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    shape = [T.StructField("_id", docs.schema[id_col].dataType), T.StructField("digest", T.BinaryType())]
+    return pair.mapInArrow(run, T.StructType(shape))
 
 
 def _spark_hash(digest: bytes) -> int:
@@ -262,8 +263,8 @@ def drop_lines(
     own = ("n_lines", "n_dropped")
     kept = [c for c in docs.columns if c.lower() not in own]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept if c != text_col]).alias("_row"),
-        F.col(id_col).alias("_row_id"), F.col(text_col).cast("binary").alias("_text"),
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept if c != text_col]).alias("_row"),
+        F.col(f"`{id_col}`").alias("_row_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"),
     )
     joined = rows.join(by_id, F.col("_row_id").eqNullSafe(F.col("_id")), "left").select("_row", "_text", "_doomed")
 
@@ -282,8 +283,8 @@ def drop_lines(
                 ["_row", "_text", "n_lines", "n_dropped"],
             )
 
-    row_type = rows.schema["_row"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"_row {row_type}, _text string, n_lines long, n_dropped long")
+    counted = [T.StructField(n, T.LongType()) for n in own]
+    out = joined.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("_text", T.StringType()), *counted]))
     back = [F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in kept]
     return out.select(*back, "n_lines", "n_dropped")
 

@@ -180,7 +180,7 @@ def mix(
     keys = [f"_k{i}" for i in range(len(levels))]
     kept = [c for c in docs.columns if c.lower() not in ("mix_tokens", "mix_budget", "mix_times")]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), *[_key(c).alias(k) for c, k in zip(levels, keys)],
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("_row"), *[_key(c).alias(k) for c, k in zip(levels, keys)],
         tokens.alias("mix_tokens"), F.col(f"`{id_col}`").cast("string").alias("_id"),
     )
     joined = rows.join(leaves.drop("tokens"), keys)
@@ -194,5 +194,7 @@ def mix(
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of the mix, each as often as it is in it, without the columns of ``mix``."""
-    copies = mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_times"))))
-    return copies.drop("_copy", "mix_tokens", "mix_budget", "mix_times")
+    kept = [c for c in mixed.columns if c.lower() not in ("mix_tokens", "mix_budget", "mix_times")]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("_row")
+    copies = mixed.select(row, F.explode(F.array_repeat(F.lit(0), F.col("mix_times"))).alias("_copy"))
+    return copies.select(*[F.col("_row").getField(c).alias(c) for c in kept])

@@ -36,9 +36,10 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shelfmark.llm.batches import small
 from shelfmark.session import stage, unstage
@@ -153,19 +154,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words_each: int, t:
                 ["id", "n", "digest", "part"],
             )
 
-    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return pair.mapInArrow(run, f"id {kind}, n long, digest binary, part array<long>")
+    pair = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    shape = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType())]
+    shape += [T.StructField("digest", T.BinaryType()), T.StructField("part", T.ArrayType(T.LongType()))]
+    return pair.mapInArrow(run, T.StructType(shape))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
     """(node, n, shingles) of the wanted (node, n, id, digest), from the texts again."""
-    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    pair = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    ids = _fitting(wanted.select(F.col("id").alias("wanted_id")).distinct())
     chosen = pair.join(ids, pair["id"].eqNullSafe(ids["wanted_id"]), "left_semi")
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -176,7 +175,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
                 ["id", "digest", "shingles"],
             )
 
-    made = chosen.mapInArrow(run, f"id {kind}, digest binary, shingles array<long>")
+    shape = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("digest", T.BinaryType())]
+    made = chosen.mapInArrow(run, T.StructType([*shape, T.StructField("shingles", T.ArrayType(T.LongType()))]))
     joined = wanted.withColumnRenamed("id", "node_id").join(made, "digest").filter(F.col("id").eqNullSafe(F.col("node_id")))
     return joined.select("node", "n", "shingles")
 
@@ -310,6 +310,12 @@ def linked(
     threshold: tuple[int, int] = (80, 100),
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
+    told = _linked_sets(docs, id_col, text_col, words_each, threshold)
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _linked_sets(docs: DataFrame, id_col: str, text_col: str, words_each: int, threshold: tuple[int, int]) -> DataFrame:
+    """(id, n, digest, root, component_id) of every row; ``root`` is a number that a component's sets share."""
     t = Threshold(*threshold)
     rows = stage(signatures(docs, id_col, text_col, words_each, t), "signatures")
     nodes = stage(
@@ -368,23 +374,61 @@ def linked(
     unstage(rows, parts, wanted, sets, lists, kept_sets)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_set = named.join(least, "root").select("digest", "component_id")
+    by_set = named.join(least, "root").select("digest", "root", "component_id")
     out = told.join(by_set, "digest", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("id", "n", "digest", "root", own.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of the documents whose id is that of their component, with their columns.
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, threshold: tuple[int, int] = (80, 100)
+) -> DataFrame:
+    """One row of each component, with its columns: that of the smallest id, a null id being the largest.
 
-    Rows repeated with id and text stay once; so do, for each text, rows without an id.
+    Where an id is there more than once its rows are told apart by their sets, so that one row of a
+    component stays also then; of rows with one id and one set the one with the smallest text. Rows
+    without words are linked with nothing: of those with one id and one text, one stays.
     """
-    marked = linked(docs, id_col, text_col, **options)
-    first = marked.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    ids = stage(first.groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_rows")), "kept")
-    count, most = ids.agg(F.count("*"), F.max("_rows")).first()
-    ids = ids.select("_kept_id")
-    ids = F.broadcast(ids) if count <= BROADCAST_ROWS else ids
-    kept = docs.join(ids, docs[f"`{id_col}`"].eqNullSafe(ids["_kept_id"]), "left_semi")
-    # only where an id is there more than once is there anything to drop
-    return kept.dropDuplicates([id_col, text_col]) if (most or 0) > 1 else kept
+    marked = stage(_linked_sets(docs, id_col, text_col, words_each, threshold), "marked")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "digest")
+    heads = marked.filter("n > 0").groupBy("root").agg(F.min(order).alias("head"))
+    heads = heads.select(F.col("head.id").alias("id"), F.col("head.digest").alias("digest"), F.lit(True).alias("stays"))
+    bare = marked.filter("n = 0").select("id", "digest", F.lit(True).alias("stays")).distinct()
+    every = marked.groupBy("id").agg(F.count("*").alias("rows"))
+    again = every.filter((F.col("rows") > 1) | F.col("id").isNull()).select("id")
+    kept = stage(heads.unionByName(bare), "kept")
+    again = stage(again.select(F.col("id").alias("_again_id")), "again")
+
+    quoted = F.col(f"`{id_col}`")
+    repeats = again.count()
+    once = kept.join(again, kept["id"].eqNullSafe(again["_again_id"]), "left_anti") if repeats else kept
+    ids = once.select(F.col("id").alias("_kept_id"))
+    single = docs.join(_fitting(ids), quoted.eqNullSafe(F.col("_kept_id")), "left_semi")
+    if not repeats:
+        return single
+    rows = docs.join(_fitting(again), quoted.eqNullSafe(F.col("_again_id")), "left_semi").select(
+        quoted.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: xxhash.xxh3_128_digest(shingle_set(text or b"", words_each).tobytes()))
+
+    dealt = rows.withColumn("digest", digest("text"))
+    wanted = kept.select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    there = dealt.join(
+        wanted, dealt["id"].eqNullSafe(wanted["_kept_id"]) & (dealt["digest"] == wanted["_kept_digest"]), "left_semi"
+    )
+    # of sets with words one row for each id and set, without words one for each id and text
+    empty = F.lit(xxhash.xxh3_128_digest(shingle_set(b"", words_each).tobytes()))
+    by_text = F.when(F.col("digest") == empty, F.coalesce("text", F.lit(b"")))
+    first = there.groupBy("id", "digest", by_text.alias("bare"), (F.col("digest") == empty).alias("is_bare")).agg(
+        F.min_by("row", F.struct(F.col("text").isNull(), "text")).alias("row")
+    )
+    return single.unionByName(first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
+
+
+def _fitting(ids: DataFrame) -> DataFrame:
+    """Ids to join by: broadcast while they are few, as they are a key and nothing else."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.batches import small
 
@@ -229,7 +229,9 @@ def measures(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{text_col}`").cast("string").alias("text"), lang.cast("string").alias("lang"),
     )
-    measured = given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, {MEASURES}")
+    kinds = {"long": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+    told = [T.StructField(*m.split()[:1], kinds[m.split()[1]]) for m in MEASURES.split(", ")]
+    measured = given.mapInArrow(run, T.StructType([given.schema["row"], *told]))
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     inside = F.lit(False)
     for name, band in bands.items():

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from shelfmark.llm import code_points
 from shelfmark.llm.batches import small
 from shelfmark.llm.bpe_stream import byte_letters, read_source
 
@@ -48,9 +50,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class Pieces(dict):
     """Number of pieces by pre-token, counted when first asked for."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, known: code_points.Tables | None = None):
         from tokenizers import Tokenizer
 
+        known = code_points.tables() if known is None else known
+
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         spec = json.loads(source)
@@ -61,6 +65,8 @@ class Pieces(dict):
             raise ValueError("texts must be taken as they are")
         self.tokenizer = Tokenizer.from_str(source)
         self.pattern = regex.compile(PATTERN)
+        self.exact = known.spelled(PATTERN)  # for texts that versions of Unicode split otherwise
+        self.doubtful = re.compile(f"[{known.doubtful}]")
         specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         # vocabulary entries as text, where the model gives back one piece for them
@@ -88,15 +94,16 @@ class Pieces(dict):
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text and the number of special strings in it."""
+        pattern = self.pattern if text.isascii() or not self.doubtful.search(text) else self.exact
         if self.special is None or not self.special.search(text):
-            return self.pattern.findall(text), 0
+            return pattern.findall(text), 0
         parts = self.special.split(text)
-        return [w for part in parts for w in self.pattern.findall(part)], len(parts) - 1
+        return [w for part in parts for w in pattern.findall(part)], len(parts) - 1
 
 
 @lru_cache(maxsize=2)
-def _pieces(source: str) -> Pieces:
-    return Pieces(source)
+def _pieces(source: str, known: code_points.Tables) -> Pieces:
+    return Pieces(source, known)
 
 
 def default_buckets(partitions: int) -> int:
@@ -109,7 +116,7 @@ def token_counts(
 ) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row; ``path`` is a tokenizer file on the driver."""
     spark = docs.sparkSession
-    source = spark.sparkContext.broadcast(read_source(path))
+    source = spark.sparkContext.broadcast((read_source(path), code_points.tables()))
     if buckets is None:
         buckets = default_buckets(int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -123,7 +130,7 @@ def token_counts(
 
     def block_rows(block: int, texts: list[str], ids: list) -> pa.RecordBatch:
         """Shuffle rows of one block: one of what needs no counting, and one for each bucket."""
-        pieces = _pieces(source.value)
+        pieces = _pieces(*source.value)
         code: dict[str, int] = {}
         single = pieces.single
         rows, codes, freqs, known, sizes = [], [], [], [], []
@@ -205,7 +212,7 @@ def token_counts(
                 text = zlib.decompress(at["words"].as_py())
                 ends = np.cumsum(at["lengths"].values.to_numpy()).tolist()
                 words = [text[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *ends], ends)]
-                pieces = np.array(_pieces(source.value).many(words), np.int64)
+                pieces = np.array(_pieces(*source.value).many(words), np.int64)
                 each = np.repeat(pieces, at["found_in"].values.to_numpy()) * at["freq"].values.to_numpy()
                 places, at_place = np.unique(at["place"].values.to_numpy(), return_inverse=True)
                 out.append((block, places, np.bincount(at_place, each).astype(np.int64), None, None))

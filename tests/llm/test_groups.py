@@ -170,12 +170,65 @@ def test_components_of_odd_rows(docs):
     same(found.collect(), plain_components(data.rows(), 4, 85, 100))
 
 
-def test_one_of_each(docs):
-    kept = ngram_join.one_of_each(docs)
-    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    groups = {i: c for i, _, c in plain_components(data.rows(), 5, 80, 100) if i is not None}
-    assert ids == sorted(i for i, c in groups.items() if i == c) and kept.columns == docs.columns
-    assert kept.filter("doc_id is null").count() == 1
+def plain_one_of_each(rows, words_each, a, b):
+    """Components of whole rows by brute force; of each the row with the smallest id, set and text."""
+    shingled = []
+    for row in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in row[1] or "")) if w]
+        size = min(words_each, len(words))
+        shingled.append(frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else frozenset())
+    group = list(range(len(rows)))
+
+    def head(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, one in enumerate(shingled):
+        for j in range(i):
+            both = len(one & shingled[j])
+            if one and shingled[j] and b * both >= a * (len(one) + len(shingled[j]) - both):
+                group[head(i)] = head(j)
+    kept = []
+    for root in {head(i) for i, s in enumerate(shingled) if s}:
+        own = [i for i, s in enumerate(shingled) if s and head(i) == root]
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in own)
+        candidates = [i for i in own if (rows[i][0] is None, rows[i][0] or 0) == least]
+        kept.append((rows[candidates[0]][0], frozenset(shingled[i] for i in candidates), root))
+    bare = {(rows[i][0], rows[i][1] or "") for i, s in enumerate(shingled) if not s}
+    return kept, bare, shingled
+
+
+def check_one_of_each(spark, rows):
+    kept, bare, shingled = plain_one_of_each(rows, 5, 80, 100)
+    found = [tuple(r) for r in ngram_join.one_of_each(data.frame(spark, rows)).collect()]
+    set_of = {(r[0], r[1]): s for r, s in zip(rows, shingled)}
+    with_words = [r for r in found if set_of[r[0], r[1]]]
+    assert sorted(str(r[0]) for r in with_words) == sorted(str(i) for i, _, _ in kept)
+    for row in with_words:
+        assert any(row[0] == i and set_of[row[0], row[1]] in sets for i, sets, _ in kept)
+    assert len({set_of[r[0], r[1]] for r in with_words}) == len(with_words)
+    assert sorted(((r[0], r[1] or "") for r in found if not set_of[r[0], r[1]]), key=str) == sorted(bare, key=str)
+    return found
+
+
+def test_one_of_each(spark, docs):
+    found = check_one_of_each(spark, data.rows())
+    assert all(any(tuple(r) == f for r in map(tuple, data.rows())) for f in found)
+    assert ngram_join.one_of_each(docs).columns == docs.columns
+
+
+def test_one_of_each_of_repeated_and_null_ids(spark):
+    """Near copies that share an id, or have none, are told apart by their sets."""
+    base, other = data.prose(21, 90), data.prose(22, 90)
+    near = lambda text, n: " ".join("changed" if i == n else w for i, w in enumerate(text.split()))
+    rows = [
+        (3, base), (5, near(base, 40)), (5, other), (7, near(other, 10)), (None, near(other, 70)), (None, near(base, 80)),
+        (None, data.prose(23, 60)), (None, data.prose(23, 60)), (8, data.prose(24, 60)), (8, data.prose(24, 60).upper()),
+        (8, data.prose(25, 60)), (9, ""), (9, ""), (9, None), (9, " "), (None, ""), (None, None), (10, "solo"),
+    ]
+    found = check_one_of_each(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    assert (5, near(base, 40), "en", "s", 1) not in found and (5, other, "en", "s", 1) in found
 
 
 @settings(max_examples=60, deadline=None)

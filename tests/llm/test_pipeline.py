@@ -41,7 +41,7 @@ def test_stages(spark, sf_dir):
 
     good = steps["quality rules"](spark, docs, sf_dir).cache()
     assert good.columns == columns
-    measured = quality.measures(docs, queries.tokenizer("piece_bpe_32k.model")).filter("kept")
+    measured = quality.measures(docs, queries.tokenizer("piece_bpe_32k.model"), bands=quality.FITTED).filter("kept")
     kept = {r[0] for r in measured.select("row.doc_id").collect()}
     assert sorted(map(tuple, good.collect())) == sorted(r for r in given if r[0] in kept)
 
@@ -87,8 +87,47 @@ def test_one_of_many_copies_stays(spark, copies):
     assert found == {0: text} | {i: t.split("\n")[0] for i, t, *_ in common}
 
 
-def test_odd_rows_pass(spark):
-    docs = data.frame(spark)
+def test_the_fitted_bands_decide(spark):
+    """Good prose stays, low-quality prose that passes the base rules goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held_out = docs.join(labels, "doc_id").filter("doc_id % 2 = 1")
+    told = quality.measures(held_out, queries.tokenizer("piece_bpe_32k.model"), bands=quality.FITTED).filter("not base_failed")
+    counts = {(r["quality"], r["kept"]): r["count"] for r in told.groupBy("row.quality", "kept").count().collect()}
+    assert counts[0, False] > 2 * counts[0, True] and counts[1, True] > 40 * counts[1, False]
+
+
+CLASHING = ["_copy", "domain", "n_lines", "n_dropped", "mix_times", "mix_tokens", "mix_budget", "a.b", "c d", "box", "row", "_row", "_id",
+            "digest", "root", "node", "id", "n", "part", "_k0", "lines", "band", "kept", "length", "component_id"]
+
+
+def odd_and_good(spark, sf_dir):
+    """The odd rows among whole documents: few of the odd ones pass the first stage."""
+    return data.frame(spark).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def test_other_columns_come_through(spark, sf_dir):
+    """Columns with any name come unchanged out of every stage but the last, in their order."""
+    docs = odd_and_good(spark, sf_dir)
+    for at, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{at}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    columns = docs.columns
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, "").cache()
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert rows and all(
+            r[c] == f"{at}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for at, c in enumerate(CLASHING)
+        ), name
+    last = dict(corpus_pipeline.STAGES)["BPE encoding and decoding"](spark, docs, "")
+    assert last.count() == docs.count()
+
+
+def test_odd_rows_pass(spark, sf_dir):
+    docs = odd_and_good(spark, sf_dir)
+    whole, sizes = docs.count(), []
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, "").cache()
+        sizes.append(docs.count())
+    assert sizes[0] < whole and all(a >= b > 0 for a, b in zip(sizes, sizes[1:]))
     assert docs.filter(F.col("n_tokens") > 0).count() > 0
