@@ -7,7 +7,7 @@ it. ORACLE_SQL is None: the first stage measures a public vocabulary's tokens, w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.llm import bpe_stream, line_dedup, mixing, ngram_join, quality
 from shelfmark.llm.queries import domain, tokenizer
@@ -21,16 +21,27 @@ SHARE = 0.75
 SEED = 23
 
 
+def boxed(docs: DataFrame, *named: str, without: str | None = None) -> DataFrame:
+    """All columns in one, and beside it those that an operator reads, so that no names clash."""
+    inside = [F.col(f"`{c}`") for c in docs.columns if c != without]
+    return docs.select(F.struct(*inside).alias("box"), *[F.col(f"`{c}`") for c in named])
+
+
+def unboxed(told: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` out of the box, but for those that changed."""
+    return told.select(*[changed.get(c, F.col("box").getField(c)).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs, tokenizer("piece_bpe_32k.model"))
+    """Documents that the quality rules keep, with the fitted bands of four languages."""
+    return quality.keep_good(docs, tokenizer("piece_bpe_32k.model"), bands=quality.FITTED)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten different ones or more have; copies are left to the next stage."""
-    told = line_dedup.dedup(docs, distinct_texts=True)
-    length = F.char_length("text").cast("long")
-    return told.withColumn("n_chars", F.when(F.col("n_dropped") > 0, length).otherwise(F.col("n_chars"))).select(*docs.columns)
+    told = line_dedup.dedup(boxed(docs, "doc_id", "text", without="text"), distinct_texts=True)
+    length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("box.n_chars"))
+    return unboxed(told, docs, text=F.col("text"), n_chars=length)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A mix of three quarters of the tokens by the target weights, each document once at most."""
-    placed = docs.withColumn("domain", domain(F.col("source")))
-    mixed = mixing.mix(placed, ["domain", "lang", "source"], WEIGHTS, SHARE, 1, SEED)
-    return mixing.repeated(mixed).select(*docs.columns)
+    placed = boxed(docs, "doc_id", "lang", "source").withColumn("domain", domain(F.col("source")))
+    tokens = mixing.word_tokens(F.col("box.text"))
+    mixed = mixing.mix(placed, ["domain", "lang", "source"], WEIGHTS, SHARE, 1, SEED, tokens=tokens)
+    return unboxed(mixing.repeated(mixed), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
