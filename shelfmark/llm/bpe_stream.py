@@ -112,7 +112,7 @@ class Model:
         self._read_normalizer(spec.get("normalizer"))
         self.library_normalizer = tokenizers.Tokenizer.from_str(source).normalizer
         split = self._read_splitter(spec["pre_tokenizer"])
-        self.doubtful = re.compile(f"[{known.doubtful}]")
+        self.doubt = code_points.Doubt(known)
         self.pattern, self.runs = known.spelled(split), [known.spelled(r) for r in RUNS]
         self.space = re.compile(f"[{known.spaces}]")
         self.exact = True
@@ -439,7 +439,7 @@ def _models(source: str, known: code_points.Tables) -> tuple[Model, _Words, Mode
 def encoder_of(source: str, known: code_points.Tables, text: str) -> Encoder:
     """An encoder for one text; words met before are shared by the encoders of a process."""
     model, words, plain, plain_words = _models(source, known)
-    if text.isascii() or not model.doubtful.search(text):
+    if not model.doubt.found(text):
         return Encoder(plain, plain_words)
     return Encoder(model, words)
 

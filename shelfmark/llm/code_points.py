@@ -47,6 +47,24 @@ class Tables:
         return re.compile("".join(out))
 
 
+class Doubt:
+    """Whether a text has a character that versions of Unicode disagree on."""
+
+    def __init__(self, known: Tables):
+        spans = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\U(\w{8})-\\U(\w{8})", known.doubtful)]
+        self.held = bytearray(0x110000)
+        for first, last in spans:
+            self.held[first : last + 1] = b"\1" * (last + 1 - first)
+        # nearly all texts have no character beyond the first doubtful one
+        self.beyond = re.compile(f"[^\\x00-\\U{spans[0][0] - 1:08x}]") if spans else re.compile("(?!)")
+
+    def found(self, text: str) -> bool:
+        if text.isascii() or not self.beyond.search(text):
+            return False
+        held = self.held
+        return any(held[ord(c)] for c in set(text))
+
+
 def _body(points: list[int]) -> str:
     """Ascending code points as the body of a character class."""
     spans: list[list[int]] = []

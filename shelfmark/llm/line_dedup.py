@@ -8,8 +8,8 @@ can forget a key, so documents can be deleted again: ``insert`` and ``delete`` c
 
 ``drop_lines`` reads a text, sends on only the digests of lines that a filter may hold, confirms
 them in the exact table, and brings back for each document id the digests to drop. The filters
-are broadcast only while they are within ``FILTER_BYTES``; beyond it every digest goes to the
-exact join, with the same result. The join by digest may have hot keys (a line on a third of all
+are broadcast only while they are within ``FILTER_BYTES``; beyond it digests are dealt to the shards,
+with the same result. The join by digest may have hot keys (a line on a third of all
 documents); Spark splits them at run time, and counts are combined before they are shuffled.
 
 A line's key is the line without white space (space, tab to carriage return) at both ends, A-Z
@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from shelfmark.llm.batches import small
-from shelfmark.session import stage
+from shelfmark.session import stage, unstage
 
 SPACE = b" \t\n\x0b\x0c\r"
 THRESHOLD = 10
 SHARD_KEYS = 250_000
 FILTER_BYTES = 64 * 1024 * 1024
+ASKED_IN = 8  # tasks that a shard's digests are dealt to, when filters stay where they are
 SLOTS = 4
 KICKS = 500
 
@@ -207,16 +208,11 @@ def update_filters(
     return grouped.applyInPandas(change, "shard int, shards int, filter binary")
 
 
-def may_be_heavy(docs: DataFrame, filters: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, digest) of the distinct line keys that the filters may hold."""
-    total = filters.agg(F.sum(F.length("filter")), F.max("shards"), F.count("*")).first()
-    fits = (total[0] or 0) <= FILTER_BYTES
-    rows = filters.collect() if fits else []
-    held = docs.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] and bytes(r["filter"]) for r in rows})
-    shards = total[1] or 1
+def _digests(docs: DataFrame, id_col: str, text_col: str, keep) -> DataFrame:
+    """(_id, digest) of the distinct line keys of each row, those of a piece of rows that ``keep`` chooses."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        loaded = {s: b and Cuckoo.loaded(b) for s, b in held.value.items()}
+        chosen = keep()
         for batch in small(batches):
             places: list[int] = []
             found: list[bytes] = []
@@ -224,21 +220,84 @@ def may_be_heavy(docs: DataFrame, filters: DataFrame, id_col: str, text_col: str
                 own = {d for d in line_digests((text.as_py() or b"").split(b"\n")) if d}
                 found += own
                 places += [place] * len(own)
-            if fits and found:
-                keep = np.zeros(len(found), bool)
-                shard = np.array([_spark_hash(d) % shards for d in found]) if shards > 1 else np.zeros(len(found), int)
-                for s in np.unique(shard).tolist():
-                    mine = np.flatnonzero(shard == s)
-                    if s in loaded:
-                        keep[mine] = True if loaded[s] is None else loaded[s].may_hold([found[i] for i in mine])
-                chosen = np.flatnonzero(keep)
-                found, places = [found[i] for i in chosen], [places[i] for i in chosen]
-            ids = batch.column(0).take(pa.array(places, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], ["_id", "digest"])
+            at = chosen(found)
+            ids = batch.column(0).take(pa.array([places[i] for i in at], pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([found[i] for i in at], pa.binary())], ["_id", "digest"])
 
     pair = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    shape = [T.StructField("_id", docs.schema[id_col].dataType), T.StructField("digest", T.BinaryType())]
-    return pair.mapInArrow(run, T.StructType(shape))
+    return pair.mapInArrow(run, _digest_shape(docs, id_col))
+
+
+def _digest_shape(docs: DataFrame, id_col: str) -> T.StructType:
+    return T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("digest", T.BinaryType())])
+
+
+def may_be_heavy(docs: DataFrame, filters: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, digest) of the distinct line keys that the filters may hold.
+
+    Filters of up to ``FILTER_BYTES`` are asked where the texts are. Larger ones stay where they are, and
+    digests are dealt to them: a task holds the filter of one shard at a time.
+    """
+    size, shards = filters.agg(F.sum(F.length("filter")), F.max("shards")).first()
+    shards = shards or 1
+    if (size or 0) > FILTER_BYTES:
+        return _asked_by_shard(docs, filters, id_col, text_col, shards)
+    held = docs.sparkSession.sparkContext.broadcast({r["shard"]: r["filter"] and bytes(r["filter"]) for r in filters.collect()})
+
+    def keep():
+        loaded = {s: b and Cuckoo.loaded(b) for s, b in held.value.items()}
+
+        def chosen(found: list[bytes]) -> list[int]:
+            if not found:
+                return []
+            kept = np.zeros(len(found), bool)
+            shard = np.array([_spark_hash(d) % shards for d in found]) if shards > 1 else np.zeros(len(found), int)
+            for s in np.unique(shard).tolist():
+                mine = np.flatnonzero(shard == s)
+                if s in loaded:
+                    kept[mine] = True if loaded[s] is None else loaded[s].may_hold([found[i] for i in mine])
+            return np.flatnonzero(kept).tolist()
+
+        return chosen
+
+    return _digests(docs, id_col, text_col, keep)
+
+
+def _asked_by_shard(docs: DataFrame, filters: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
+    """Digests lined up behind the filter of their shard; a shard's digests are dealt to ``ASKED_IN`` tasks."""
+    every = _digests(docs, id_col, text_col, lambda: lambda found: list(range(len(found))))
+    shape = _digest_shape(docs, id_col)
+    asked = _sharded(every, shards).select(
+        "shard", F.pmod(F.xxhash64("digest", "_id"), F.lit(ASKED_IN)).cast("int").alias("task"), F.lit(False).alias("is_filter"),
+        "_id", "digest",
+    )
+    held = filters.select(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(ASKED_IN - 1))).alias("task"), F.lit(True).alias("is_filter"),
+        F.lit(None).cast(shape["_id"].dataType).alias("_id"), F.col("filter").alias("digest"),
+    )
+    lined = held.unionByName(asked).repartition("shard", "task").sortWithinPartitions("shard", "task", F.desc("is_filter"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        own, made, whole = None, None, False  # the open shard, its filter, and whether it may hold anything
+        for batch in batches:
+            where = list(zip(*(batch.column(c).to_pylist() for c in (0, 1))))
+            marks, kept = batch.column(2).to_pylist(), []
+            starts = [i for i in range(len(where)) if i == 0 or where[i] != where[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(where)]):
+                if where[start] != own:
+                    own, made, whole = where[start], None, False
+                if marks[start]:
+                    blob = batch.column(4)[start].as_py()
+                    made, whole, start = blob and Cuckoo.loaded(blob), blob is None, start + 1
+                asked_here = batch.column(4).slice(start, end - start).to_pylist()
+                if whole:
+                    kept += range(start, end)
+                elif made is not None and asked_here:
+                    kept += (start + np.flatnonzero(made.may_hold(asked_here))).tolist()
+            rows = batch.take(pa.array(kept, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(4)], ["_id", "digest"])
+
+    return lined.mapInArrow(run, shape)
 
 
 def _spark_hash(digest: bytes) -> int:
@@ -296,7 +355,24 @@ def dedup(
 
     With ``distinct_texts`` copies of a whole text count once, so that they keep their lines.
     """
-    counts = reference_counts(docs, text_col, distinct_texts).filter(F.col("n_docs") >= threshold)
-    counts = stage(counts, "line-counts")
+    counts = stage(reference_counts(docs, text_col, distinct_texts), "line-counts")
     filters = stage(build_filters(counts, threshold), "line-filters")
     return drop_lines(docs, counts, filters, id_col, text_col, threshold)
+
+
+def dedup_with_changes(
+    docs: DataFrame, changed: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD
+) -> DataFrame:
+    """``drop_lines`` of documents against a state that has lost the ``changed`` ones and got them back.
+
+    The counts of all documents are kept, not only those over the threshold, as a deletion can bring a
+    line below it and an insertion above it. The result equals that of ``dedup``.
+    """
+    counts = stage(reference_counts(docs, text_col), "line-counts")
+    filters = stage(build_filters(counts, threshold), "line-filters")
+    less = stage(delete(counts, changed, text_col), "line-counts")
+    smaller = stage(update_filters(filters, counts, less, threshold), "line-filters")
+    again = stage(insert(less, changed, text_col), "line-counts")
+    larger = stage(update_filters(smaller, less, again, threshold), "line-filters")
+    unstage(counts, filters, smaller)
+    return drop_lines(docs, again, larger, id_col, text_col, threshold)

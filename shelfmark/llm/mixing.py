@@ -10,8 +10,8 @@ Each leaf then takes its budget from seeded epochs: every epoch has its own orde
 documents, whole epochs are taken whole, and of the last one the longest prefix that stays within
 the rest. Documents with one place in the order (rows that repeat an id) stay or go together.
 
-The prefix is found without sorting a leaf: sums by range of the order tell the range where the
-budget ends, and only that range is ordered. What goes back to the documents is one row per leaf,
+The prefix is found without sorting a leaf: sums by range of the order, 256 of them at a time, tell the
+range where the budget ends, and only a range of few documents is ordered. What goes back to the documents is one row per leaf,
 the first place left out, so that no text is shuffled.
 
 A null level is a value of its own. A null or empty text has no tokens, and is taken when its place
@@ -21,7 +21,6 @@ without tokens. Other columns are carried; one that has the name of a result col
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shelfmark.session import stage
 
 DOCS_PER_RANGE = 5_000
+DIGITS = 32  # of the digest that orders an epoch
 
 
 def word_tokens(text: Column) -> Column:
@@ -134,19 +134,11 @@ def plan(
     rest = F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(F.lit(0))
     given = stage(given.withColumn("whole", whole.cast("int")).withColumn("_rest", rest.cast("long")), "budgets")
 
-    digits = max(1, math.ceil(math.log(max((all_docs or 0) / DOCS_PER_RANGE, 1), 16)))
-    ordered = (
-        narrow.join(given.filter(F.col("whole") < epochs).select(*keys, "whole", "_rest"), keys)
-        .withColumn("_order", place(F.col("_id"), F.col("whole"), seed))
-        .withColumn("_range", F.substring("_order", 1, digits))
+    ordered = narrow.join(given.filter(F.col("whole") < epochs).select(*keys, "whole", "_rest"), keys).withColumn(
+        "_order", place(F.col("_id"), F.col("whole"), seed)
     )
-    sums = ordered.groupBy(*keys, "_range").agg(F.sum("_tokens").alias("_sum"), F.max("_rest").alias("_rest"))
-    so_far = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range"))
-    # the first range that does not fit
-    over = sums.withColumn("_end", so_far).filter(F.col("_end") > F.col("_rest"))
-    cut_range = over.groupBy(*keys).agg(F.min(F.struct("_range", (F.col("_end") - F.col("_sum")).alias("_before"))).alias("_cut"))
-    cut_range = stage(cut_range.select(*keys, F.col("_cut._range").alias("_range"), F.col("_cut._before").alias("_before")), "ranges")
-    inside = ordered.join(cut_range, [*keys, "_range"])
+    cut_range = _ranges(ordered, keys)
+    inside = ordered.join(cut_range, keys).filter(F.startswith(F.col("_order"), F.col("_range")))
     line = Window.partitionBy(*keys).orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     left_out = inside.withColumn("_end", F.col("_before") + F.sum("_tokens").over(line)).filter(
         F.col("_end") > F.col("_rest")
@@ -155,6 +147,37 @@ def plan(
     return stage(given.join(cuts, keys, "left").select(*keys, "tokens", "budget", "whole", "cut"), "mix")
 
 
+def _ranges(ordered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _range, _before) of each leaf whose budget ends inside it: the beginning of the order that
+    the documents around the cut share, and the tokens before them.
+
+    Each step looks at two more digits: 256 sums for a leaf, whatever its size. It ends when no leaf has
+    more than ``DOCS_PER_RANGE`` documents left, or the digest has no more digits.
+    """
+    state = None
+    for depth in range(0, DIGITS, 2):
+        if state is None:
+            rows = ordered.withColumn("_range", F.lit("")).withColumn("_before", F.lit(0).cast("long"))
+        else:
+            rows = ordered.join(state.drop("_docs"), list(keys)).filter(F.startswith(F.col("_order"), F.col("_range")))
+        next_digits = F.concat("_range", F.substring("_order", depth + 1, 2)).alias("_next")
+        sums = rows.groupBy(*keys, "_before", next_digits).agg(
+            F.sum("_tokens").alias("_sum"), F.count("*").alias("_docs"), F.max("_rest").alias("_rest")
+        )
+        end = F.col("_before") + F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_next"))
+        # the first range that does not fit
+        over = sums.withColumn("_end", end).filter(F.col("_end") > F.col("_rest"))
+        first = F.min(F.struct("_next", (F.col("_end") - F.col("_sum")).alias("before"), "_docs")).alias("_cut")
+        found = over.groupBy(*keys).agg(first)
+        state = stage(
+            found.select(*keys, F.col("_cut._next").alias("_range"), F.col("_cut.before").alias("_before"), F.col("_cut._docs").alias("_docs")),
+            "ranges",
+        )
+        if (state.agg(F.max("_docs")).first()[0] or 0) <= DOCS_PER_RANGE:
+            break
+    return state.drop("_docs")
+
+
 def place(doc_id: Column, epoch: Column, seed: int) -> Column:
     """A document's place in the order of an epoch: the same everywhere, and different by epoch."""
     named = F.coalesce(doc_id, F.lit(""))

@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shelfmark.llm.batches import small
 from shelfmark.session import stage
@@ -96,9 +96,17 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ["id", "n_chars", "fingerprint"],
             )
 
-    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return pair.mapInArrow(run, f"id {kind}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
+    pair = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    shape = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_chars", T.LongType())]
+    return pair.mapInArrow(run, T.StructType([*shape, T.StructField("fingerprint", T.StringType())])).withColumnRenamed("id", id_col)
+
+
+def blocks_for(rows: int, radius: int) -> int:
+    """The fewest blocks whose keys tell so many fingerprints apart: a key then holds about one by chance."""
+    blocks = radius + 2
+    while blocks < BITS and 2 ** (BITS * (blocks - radius) / blocks) < rows:
+        blocks += 1
+    return blocks
 
 
 def block_tables(prints: Column, blocks: int, radius: int) -> Column:
@@ -113,12 +121,14 @@ def block_tables(prints: Column, blocks: int, radius: int) -> Column:
 
 
 def within_radius(
-    queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6, column: str = "fingerprint"
+    queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int | None = None, column: str = "fingerprint"
 ) -> DataFrame:
     """(query, found, distance, copies): distinct fingerprints of ``prints`` near each distinct query.
 
-    ``copies`` is the number of rows of ``prints`` with the found fingerprint.
+    ``copies`` is the number of rows of ``prints`` with the found fingerprint. The number of blocks
+    follows from that of the fingerprints, unless it is given.
     """
+    blocks = blocks_for(prints.count(), radius) if blocks is None else blocks
     if not 0 <= radius < blocks:
         raise ValueError("more blocks than the radius are needed")
     number = F.conv(column, 16, -10).cast("long")
@@ -134,7 +144,7 @@ def within_radius(
 
 
 def counted_within(
-    rows: DataFrame, asked: Column, radius: int = 3, blocks: int = 5, column: str = "fingerprint", out_col: str = "n_within"
+    rows: DataFrame, asked: Column, radius: int = 3, blocks: int | None = None, column: str = "fingerprint", out_col: str = "n_within"
 ) -> DataFrame:
     """The rows with the number of all rows whose fingerprint is within the radius, their own included.
 
@@ -176,11 +186,10 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     The edited form is the text whose last quarter of code points (rounded down) is replaced by
     the first as many, or all, of the next document. Result: id, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next. Of several next rows, ``near_next``
-    takes the smallest fingerprint.
+    fingerprint, edited_fingerprint, near_edited, near_next. Of several rows with the next key, the
+    one whose text has the smallest hash is the next document.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = docs.select(F.col(f"`{id_col}`").alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     links = next_keys(own, "key")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     needs = own.groupBy(F.col("key").alias("needing")).agg(F.max(quarter).alias("need"))
@@ -189,12 +198,17 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     # the texts are dealt by the key's name once: both joins read that exchange
     pair = own.select(_name("key").alias("name"), "text")
+    # where a key is there more than once, the row with the smallest hash is the next document for both columns
+    mark = F.xxhash64("text")
     beginnings = (
         pair.join(wanted, F.col("name") == F.col("of_name"))
         .groupBy("for_name")
-        .agg(F.min(F.expr("substring(text, 1, need)")).alias("begin"), F.max("key").alias("key"), F.max("next").alias("next"))
+        .agg(
+            F.min_by(F.expr("substring(text, 1, need)"), mark).alias("begin"),
+            F.max("key").alias("key"), F.max("next").alias("next"),
+        )
     )
-    joined = pair.join(beginnings, F.col("name") == F.col("for_name")).select("key", "next", "text", "begin")
+    joined = pair.join(beginnings, F.col("name") == F.col("for_name")).select("key", "next", "text", "begin", mark.alias("mark"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -210,20 +224,17 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             counts, digests, prints, others = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                    batch.column(0), batch.column(1), batch.column(4), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
                     pa.array(prints, pa.binary()), pa.array(others, pa.binary()),
                 ],
-                ["key", "next", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"],
+                ["key", "next", "mark", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"],
             )
 
-    told = stage(
-        joined.mapInArrow(
-            run,
-            f"key {kind}, next {kind}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary",
-        ),
-        "prints",
-    )
-    following = told.groupBy(F.col("key").alias("after")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    kind = docs.schema[id_col].dataType
+    shape = [T.StructField(n, kind) for n in ("key", "next")] + [T.StructField(n, T.LongType()) for n in ("mark", "n_chars")]
+    shape += [T.StructField(n, T.BinaryType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    told = stage(joined.mapInArrow(run, T.StructType(shape)), "prints")
+    following = told.groupBy(F.col("key").alias("after")).agg(F.min_by("fingerprint", "mark").alias("next_fingerprint"))
     as_hex = lambda c: F.lower(F.hex(c))
     return told.join(following, told["next"].eqNullSafe(following["after"])).select(
         F.col("key").alias(id_col), "n_chars", as_hex("edited_sha256").alias("edited_sha256"),

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -66,7 +65,7 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_str(source)
         self.pattern = regex.compile(PATTERN)
         self.exact = known.spelled(PATTERN)  # for texts that versions of Unicode split otherwise
-        self.doubtful = re.compile(f"[{known.doubtful}]")
+        self.doubt = code_points.Doubt(known)
         specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         # vocabulary entries as text, where the model gives back one piece for them
@@ -94,7 +93,7 @@ class Pieces(dict):
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text and the number of special strings in it."""
-        pattern = self.pattern if text.isascii() or not self.doubtful.search(text) else self.exact
+        pattern = self.exact if self.doubt.found(text) else self.pattern
         if self.special is None or not self.special.search(text):
             return pattern.findall(text), 0
         parts = self.special.split(text)

@@ -27,9 +27,9 @@ CONTEXT = "a{0}b {0}{0}1{0} !{0}é{0}!\u0316{0}'s \u0301{0}"
 
 def chunks():
     """Texts of many code points, those that versions of Unicode agree on apart from the others."""
-    doubtful = bpe_stream.Model(bpe_stream.read_source(tokenizer("word_bpe_49k.json"))).doubtful
+    doubt = code_points.Doubt(code_points.tables())
     for wanted in (False, True):
-        points = [c for c in POINTS if bool(doubtful.match(c)) == wanted]
+        points = [c for c in POINTS if doubt.found(c) == wanted]
         for at in range(0, len(points), 4000):
             yield "\n".join(CONTEXT.format(c) for c in points[at : at + 4000])
 
@@ -65,7 +65,7 @@ def test_both_ways_of_splitting_agree():
     source = bpe_stream.read_source(tokenizer("word_bpe_49k.json"))
     model = bpe_stream.Model(source)
     r = random.Random(3)
-    letters = [c for c in EVERY[:0x3000] if not model.doubtful.match(c)]
+    letters = [c for c in EVERY[:0x3000] if not model.doubt.found(c)]
     for _ in range(50):
         text = "".join(r.choice(letters) if r.random() < 0.5 else r.choice("ab 1'!\n") for _ in range(300))
         assert bpe_stream.encode(model, text) == bpe_stream.encode(model.plain(), text)

@@ -82,6 +82,17 @@ def test_insert_and_delete_are_reversible(spark, shards):
     same(found.select("doc_id", "text", "n_lines", "n_dropped").collect(), plain_dedup(first, 3))
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_a_state_that_lost_documents_and_got_them_back(spark, monkeypatch, limit):
+    """The way of the query; the changed rows bring lines below the threshold and above it again."""
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", limit)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    rows = line_rows(6, 60)
+    docs = data.frame(spark, rows)
+    found = line_dedup.dedup_with_changes(docs, docs.filter("doc_id % 3 = 0"), threshold=8)
+    same(found.select("doc_id", "text", "n_lines", "n_dropped").collect(), plain_dedup(rows, 8))
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 400), st.integers(0, 10**6))
 def test_cuckoo_filter(n, seed):

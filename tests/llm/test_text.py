@@ -207,6 +207,21 @@ def test_edited_texts(docs):
     assert found.filter("near_edited < 0 or near_edited > 1 or near_next is null").count() == 0
 
 
+def test_one_next_document_for_both_columns(spark):
+    """Where the next id is there twice, the edited text and the likeness name the same row."""
+    first, others = data.prose(1, 60), [data.prose(2, 60), data.prose(3, 60), data.prose(4, 60)]
+    rows = [(1, first, "en", "s", 1)] + [(2, t, "en", "s", 1) for t in others]
+    found = simhash.edited(data.frame(spark, rows)).filter("doc_id = 1").first()
+    quarter = len(first) // 4
+    named = [t for t in others if sha(first[: len(first) - quarter] + t[:quarter]) == found["edited_sha256"]]
+    same_bits = 64 - (simhash.fingerprint_of(first) ^ simhash.fingerprint_of(named[0])).bit_count()
+    assert len(named) == 1 and found["near_next"] == same_bits / 64
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n, 3) for n in (10, 10**7, 10**9, 10**11)] == [5, 5, 6, 7]
+
+
 def test_block_tables_find_all_within_radius(spark):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(60)] + [0, (1 << 64) - 1, 1 << 63]
