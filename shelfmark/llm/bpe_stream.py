@@ -103,6 +103,7 @@ class Model:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
         self.letters = byte_letters()
+        self.bytes_of = {c: b for b, c in self.letters.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
             raise ValueError("special tokens must be plain strings")
@@ -394,8 +395,7 @@ class Decoder:
 
     def __init__(self, model: Model):
         self.model = model
-        self.bytes_of = {c: b for b, c in model.letters.items()}
-        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace") if model.byte_decoder else None
         self.first = True
 
     def push(self, token_id: int) -> str:
@@ -404,8 +404,9 @@ class Decoder:
             out = token if self.first else " " + token
             self.first = False
             return out
-        if all(c in self.bytes_of for c in token):
-            return self.utf8.decode(bytes(self.bytes_of[c] for c in token))
+        bytes_of = self.model.bytes_of
+        if all(c in bytes_of for c in token):
+            return self.utf8.decode(bytes(bytes_of[c] for c in token))
         return self.utf8.decode(token.encode())
 
     def finish(self) -> str:

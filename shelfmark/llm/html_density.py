@@ -9,8 +9,9 @@ with the greatest sum up to the body is the threshold; the node with
 the greatest sum is the article. If it lies in an ``article`` or ``main`` element, that whole element
 is. Elsewhere, from the body down, the blocks that reach the threshold belong to it too, and so do those
 that are as dense for their size (half the characters per tag, links in a third at most): densities grow
-with the size of a block, so a short section may not reach what a long one does. The parts are joined
-in page order.
+with the size of a block, so a short section may not reach what a long one does. Beside an article that begins with
+a heading, sections of the same container that do so too belong to it however short they are. The parts
+are joined in page order.
 
 Blocks of the article are joined by one space, white space inside a block is one space, character
 references are decoded. Pages are parsed one by one inside their rows: no shuffle; memory and time
@@ -273,6 +274,12 @@ def article(root: Node) -> list[Node]:
     return sections(root, chosen, threshold)
 
 
+def is_section(node: Node, like: Node) -> bool:
+    """An element of the same name that begins with a heading."""
+    first = next((c for c in node.children if isinstance(c, Node) or c.strip()), None)
+    return node.name == like.name and isinstance(first, Node) and first.name in HEADINGS
+
+
 def sections(root: Node, chosen: Node, threshold: float) -> list[Node]:
     """The chosen subtree, the blocks outside it that are like it, and headings right before them."""
     around, up = set(), chosen.parent
@@ -280,6 +287,7 @@ def sections(root: Node, chosen: Node, threshold: float) -> list[Node]:
         around.add(id(up))
         up = up.parent
     each = chosen.chars / (chosen.tags + 1)
+    headed = is_section(chosen, chosen)
     found: list[Node] = []
     heading, todo = None, [root]
     while todo:
@@ -290,7 +298,9 @@ def sections(root: Node, chosen: Node, threshold: float) -> list[Node]:
             if id(node) not in around and node.name in HEADINGS and node.density < threshold:
                 heading = node
                 continue
-            alike = 3 * node.link_chars <= node.chars and 2 * node.chars >= each * (node.tags + 1)
+            alike = 3 * node.link_chars <= node.chars and (
+                2 * node.chars >= each * (node.tags + 1) or headed and node.parent is chosen.parent and is_section(node, chosen)
+            )
             if id(node) in around or node.name not in BLOCKS or not (node.density >= threshold or alike):
                 todo += [c for c in reversed(node.children) if isinstance(c, Node)]
                 if id(node) not in around:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -389,6 +390,79 @@ def test_asides_and_wrappers(page):
     assert html_density.main_text(f"<body>{page.format(STORY)}</body>") == STORY_TEXT
 
 
+def test_short_sections_with_headings_stay():
+    page = (
+        "<div><section><h2>A</h2><p>Tiny.</p></section><section><h2>B</h2>" + STORY + "</section>"
+        "<section><h2>C</h2><p>Tiny two.</p></section><section><h2>More</h2><a href='x'>Other page</a></section></div>"
+    )
+    assert html_density.main_text(f"<body>{page}</body>") == f"A Tiny. B {STORY_TEXT} C Tiny two."
+
+
+def plain_density(tree, whole):
+    """Composite text density from its definition, for (name, children) trees."""
+    def count(node):
+        if isinstance(node, str):
+            return len(node), 0, 0, 0
+        parts = [count(c) for c in node[1]]
+        inside = [sum(p[i] for p in parts) for i in range(4)]
+        chars, tags, link_chars, link_tags = inside
+        return (chars, tags + 1, chars, 1) if node[0] == "a" else (chars, tags + 1, link_chars, link_tags)
+
+    def inner(node):
+        parts = [count(c) for c in node[1]]
+        return [sum(p[i] for p in parts) for i in range(4)]
+
+    all_chars, _, all_links, _ = inner(whole)
+
+    def density(node):
+        chars, tags, link_chars, link_tags = inner(node)
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(chars - link_chars, 1) * link_chars + all_links / max(all_chars, 1) * chars + math.e)
+        ratio = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+        return chars / max(tags, 1) * math.log(max(ratio, 1.0), max(base, 1 + 1e-9))
+
+    return density(tree), sum(density(c) for c in tree[1] if not isinstance(c, str))
+
+
+def tree_of(r, depth):
+    children = []
+    for _ in range(r.randint(0, 4)):
+        if depth and r.random() < 0.6:
+            children.append((r.choice(["div", "p", "a", "span", "section"]), tree_of(r, depth - 1)))
+        else:
+            children.append("".join(r.choice("abcdefg") for _ in range(r.randint(1, 40))))
+    return children
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_densities_by_definition(seed):
+    whole = ("body", tree_of(random.Random(seed), 5))
+
+    def built(given, parent):
+        node = html_density.Node(given[0], parent)
+        node.children = [c if isinstance(c, str) else built(c, node) for c in given[1]]
+        return node
+
+    root = built(whole, None)
+    html_density.weigh(root)
+    todo, sums = [(root, whole)], []
+    while todo:
+        node, given = todo.pop()
+        density, total = plain_density(given, whole)
+        assert (node.density, node.total) == (pytest.approx(density), pytest.approx(total))
+        sums.append(total)
+        todo += zip([c for c in node.children if not isinstance(c, str)], [c for c in given[1] if not isinstance(c, str)])
+    found = html_density.article(root)
+    best = max(html_density.in_order(root), key=lambda n: n.total)
+    assert best.total == pytest.approx(max(sums))
+    if best.total:
+        up = [best]
+        while up[-1].parent is not None:
+            up.append(up[-1].parent)
+        assert any(node in up for node in found)  # the greatest sum is in the article
+
+
 def test_hidden_in_a_link():
     assert html_density.main_text(f"<article>{STORY}<p>More <a href='/hidden/x.html'>there</a>.</p></article>") == (
         STORY_TEXT + " More there."
