@@ -23,6 +23,8 @@ def model(prefix: str, source: str, terms: tfidf.Vocabulary) -> str:
         if terms.ngrams == (1, 2)
         else "[]::varchar[]"
     )
+    most = f" AND count(*) <= {terms.max_df} * (SELECT n FROM {p}_n)" if terms.max_df is not None else ""
+    cut = f" LIMIT {terms.max_features}" if terms.max_features is not None else ""
     return f"""
 {p}_d AS ({source}),
 {p}_k AS (
@@ -34,8 +36,8 @@ def model(prefix: str, source: str, terms: tfidf.Vocabulary) -> str:
 {p}_n AS (SELECT count(*) AS n FROM {p}_d),
 {p}_v AS (
   SELECT term, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM (
-    SELECT term, count(*) AS df, sum(tf) AS total FROM {p}_t GROUP BY term HAVING count(*) >= {terms.min_df}
-    ORDER BY total DESC, term LIMIT {terms.max_features}), {p}_n),
+    SELECT term, count(*) AS df, sum(tf) AS total FROM {p}_t GROUP BY term HAVING count(*) >= {terms.min_df}{most}
+    ORDER BY total DESC, term{cut}), {p}_n),
 {p}_r AS (SELECT id, term, tf, tf * idf AS raw FROM {p}_t JOIN {p}_v USING (term)),
 {p}_w AS (
   SELECT id, term, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM {p}_r)"""
@@ -118,6 +120,50 @@ hops AS (
   FROM edges x JOIN edges y ON x.dst = y.src AND x.src <> y.dst GROUP BY 1, 2)"""
 
 
+def similar_lists() -> str:
+    """CTEs of the final lists of pages: ``lists`` (src, si, n), on top of :func:`page_graph`."""
+    return f"""
+{page_graph()},
+best AS (
+  SELECT src, dst, least(max(score), 1.0) AS score FROM (
+    SELECT src, dst, score FROM edges UNION ALL SELECT src, dst, score FROM hops) GROUP BY 1, 2),
+ranked AS (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank, {rounded('score', 3)} AS score
+  FROM best WHERE score > {fixed.NEIGHBOUR_THRESHOLD} QUALIFY rank <= {fixed.NEIGHBOURS}),
+lists AS (
+  SELECT src, string_agg(dst || ':' || CAST(round(score * 1000) AS BIGINT), ',' ORDER BY rank) AS si FROM ranked GROUP BY 1)"""
+
+
+def catalogue_records() -> str:
+    """CTEs of the records of the page catalogue: ``recs``."""
+    marker = " ".join(f"WHEN {n} THEN '{m}'" for n, m in enumerate(fixed.TYPE_MARKERS[:3]))
+    return f"""
+{WEEKLY},
+pg AS (
+  SELECT page_id AS i, url, html, CASE page_id % 3 {marker} END AS marker, CASE WHEN page_id % 4 <> 0 THEN page_id % 5 END AS o
+  FROM pages),
+repos AS (
+  SELECT n_nationkey % 5 AS o, n_nationkey % 7 AS r, n_nationkey * 10 + n_regionkey AS st, n_nationkey % 4 = 0 AS fk,
+         CASE WHEN n_nationkey % 5 <> 1 THEN 1704067200 + 86400 * n_nationkey END AS pa FROM nation),
+series AS (
+  SELECT l_suppkey, list(CAST(floor(downloads) AS BIGINT) ORDER BY bucket) AS v FROM weekly GROUP BY 1),
+halves AS (
+  SELECT l_suppkey, CAST(floor(downloads) AS BIGINT) AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY bucket) AS r,
+         count(*) OVER (PARTITION BY l_suppkey) AS n FROM weekly),
+means AS (
+  SELECT l_suppkey, max(n) AS n, avg(d) FILTER (WHERE r <= n // 2) AS a, avg(d) FILTER (WHERE r > n // 2) AS b
+  FROM halves GROUP BY 1),
+listed AS (
+  SELECT c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN c_name END AS publisher FROM customer),
+recs AS (
+  SELECT i, url, html, CASE WHEN i % 2 = 0 THEN replace(marker, '{fixed.TYPE_PREFIX}', '') ELSE 'unknown' END AS t,
+         coalesce('o' || pg.o, publisher, 'author ' || (i % 6)) AS p, v, n, a, b, st::BIGINT AS st, coalesce(fk, false) AS fk,
+         pa::BIGINT AS pa
+  FROM pg LEFT JOIN repos ON repos.o = pg.o AND repos.r = i % 7
+  LEFT JOIN series ON series.l_suppkey = i LEFT JOIN means ON means.l_suppkey = i
+  LEFT JOIN listed ON c_custkey = i)"""
+
+
 NAMING = f"""
 naming AS (
   SELECT doc_id, lang AS cluster, source, n_chars, list_distinct(regexp_split_to_array(
@@ -168,6 +214,15 @@ mentioned AS (
   WHERE length(list_extract(string_split(b.text, '/'), -1)) > 4)"""
 
 
+def origin_lines() -> str:
+    phrases = "|".join(w.ORIGIN_PHRASES)
+    return f"""
+lines AS (
+  SELECT doc_id AS id, array_to_string(list_transform(
+    list_filter(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda l: regexp_matches(l, '(?i)\\b({phrases})\\b')),
+    lambda l: substring(regexp_replace(l, '^\\s+|\\s+$', '', 'g'), 1, 200)), '|') AS origin_lines FROM documents)""".strip()
+
+
 def sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out["q01_declared_type"] = f"""
@@ -199,6 +254,7 @@ SELECT q, {rounded('x', 4)} AS x FROM (
   SELECT unnest([0.0, 0.25, 0.5, 0.95, 1.0])::double AS q,
          unnest(quantile_cont(l_extendedprice, [0.0, 0.25, 0.5, 0.95, 1.0])) AS x FROM lineitem)"""
     out["q05_weekly_buckets"] = f"WITH {WEEKLY} SELECT l_suppkey, bucket, week_end, downloads FROM weekly"
+    out["q05b_streamed_buckets"] = out["q05_weekly_buckets"]
     out["q06_weekly_total"] = f"WITH {WEEKLY} SELECT week_end, sum(downloads) AS downloads FROM weekly GROUP BY 1"
     out["q07_weekly_grid"] = f"""
 WITH {WEEKLY},
@@ -250,6 +306,45 @@ SELECT doc_id AS n, substring(text, 1, 200) AS d, CASE WHEN lang IN ('en', 'fr')
        replace(substring(text, 1, 200), chr(10), ' ') AS rm, n_chars AS dl, quality AS st,
        coalesce(toxic = 1, false) AS fk
 FROM documents LEFT JOIN labels USING (doc_id)"""
+    phrases = " + ".join(
+        f"CAST(contains(lower(url), '{p}') OR contains(lower(html), '{p}') AS INTEGER)" for p in fixed.MULTI_PHRASES
+    )
+    serving = f"""
+{similar_lists()},
+{catalogue_records().strip()},
+axes AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+ends AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM axes),
+spots AS (
+  SELECT vec_id, {rounded('2.0 * (x - x0) / (x1 - x0 + 1e-9) - 1.0', 4)} AS x, {rounded('2.0 * (y - y0) / (y1 - y0 + 1e-9) - 1.0', 4)} AS y
+  FROM axes, ends),
+serving AS (
+  SELECT i::VARCHAR AS n, substring(url, 1, 200) AS d, t, p, v[-1] AS dl, coalesce(array_to_string(v[-26:], ','), '') AS tr,
+         CASE WHEN coalesce(n, 0) < 6 OR a = 0 THEN 'new' WHEN b / a > 1.5 THEN 'growing' WHEN b / a < 0.5 THEN 'declining'
+              ELSE 'stable' END AS tt,
+         st, fk, i % 13 = 0 OR {phrases} >= 2 AS mh, pa, coalesce(si, '') AS si,
+         'k' || (i % 11) || CASE WHEN i % 2 = 0 THEN '' ELSE ',plain' END
+           || CASE WHEN i % 13 = 0 THEN ',{fixed.MULTI_KEYWORDS[0]}' ELSE ',other' END AS kw,
+         replace(substring(html, 1, 200), chr(10), ' ') AS rm, '1.' || (i % 7) AS v, 1704067200 + 86400 * i * 2 AS dt,
+         1704067200 + 86400 * i AS dc,
+         CASE WHEN i % 4 <> 0 THEN 'git+https://github.com/o' || (i % 5) || '/r' || (i % 7) || '.git' ELSE '' END AS gh,
+         coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y
+  FROM recs LEFT JOIN lists ON src = i LEFT JOIN spots ON vec_id = i)"""
+    out["q17b_serving"] = f"{serving} SELECT * FROM serving"
+    # the brands come first: the page graph has a CTE named like their table
+    out["q18b_published"] = f"""
+WITH {BRANDS.strip()},
+{serving.strip().removeprefix("WITH ")},
+{NAMING.strip()},
+{MENTIONS.strip()},
+{origin_lines()},
+counts AS (SELECT id, count(*) AS m FROM mentioned GROUP BY 1)
+SELECT 'serving' AS dataset, n AS key, concat_ws('|', t, p, st) AS detail FROM serving
+UNION ALL SELECT 'full', i::VARCHAR, concat_ws('|', st, CASE WHEN st IS NOT NULL THEN fk END, coalesce(si, '')) FROM recs LEFT JOIN lists ON src = i
+UNION ALL SELECT 'edges', src || '|' || dst, CAST(round(score * 1000) AS BIGINT)::VARCHAR FROM edges
+UNION ALL SELECT 'clusters', p_brand, members || '|' || pattern FROM shaped
+UNION ALL SELECT 'cluster-words', cluster || '|' || rank, word FROM named
+UNION ALL SELECT 'references', doc_id::VARCHAR, coalesce(m, 0)::VARCHAR
+FROM documents JOIN lines ON lines.id = doc_id LEFT JOIN counts ON counts.id = doc_id WHERE origin_lines <> '' OR m > 0"""
     out["q18_full_nested"] = """
 SELECT d.doc_id, d.lang, l.quality, CASE WHEN e.parent <> d.doc_id THEN e.parent END AS parent, d.text
 FROM documents d LEFT JOIN labels l USING (doc_id)
@@ -261,6 +356,11 @@ SELECT word, count(*) AS docs FROM (
 WHERE length(word) > 3 AND word NOT IN ({words(fixed.FREQUENCY_STOP_WORDS)}) GROUP BY 1 HAVING count(*) >= 2"""
     out["q20_tfidf_terms"] = f"""
 WITH {model('m', DOCS, tfidf.NEAR_DUPLICATES)} SELECT id, term, {rounded('w', 6)} AS weight FROM m_w"""
+    out["q20b_uncapped_terms"] = f"""
+WITH {model('m', DOCS, w.UNCAPPED)}
+SELECT id, count(*) AS terms, {rounded('max(w)', 6)} AS heaviest, {rounded('sum(w)', 6)} AS total FROM m_w GROUP BY id"""
+    out["q20c_without_common"] = f"""
+WITH {model('m', DOCS, w.WITHOUT_COMMON)} SELECT id, term, {rounded('w', 6)} AS weight FROM m_w"""
     out["q21_near_dup"] = f"""
 {near_duplicates()}
 SELECT id_a, id_b, {rounded('score', 3)} AS score, copies_a, copies_b, a.n_chars AS chars_a, b.n_chars AS chars_b
@@ -309,6 +409,13 @@ kept AS (
   SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS fresh FROM tight
   WHERE cohesion >= {w.PRUNE_AT})
 SELECT vec_id, coalesce(fresh, -1) AS label FROM embeddings LEFT JOIN kept USING (label)"""
+    out["q28b_named_clusters"] = f"""
+WITH {COHESION.format(source='embeddings')},
+kept AS (
+  SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS fresh FROM tight WHERE cohesion >= {w.PRUNE_AT}),
+pruned AS (SELECT vec_id, coalesce(fresh, -1) AS label FROM embeddings LEFT JOIN kept USING (label)),
+names AS (SELECT label, 'Vectors / ' || count(*) || ' / ' || min(vec_id) AS cluster_name FROM pruned WHERE label >= 0 GROUP BY 1)
+SELECT vec_id, label, cluster_name FROM pruned LEFT JOIN names USING (label)"""
     out["q29_cluster_names"] = f"""
 WITH {NAMING},
 title AS (
@@ -333,6 +440,8 @@ SELECT cluster, term AS word, {rounded('ratio', 3)} AS score FROM pool
 WHERE ratio >= 1.2 AND NOT contains(term, ' ') AND length(term) > 3 AND term NOT IN ({words(fixed.CLUSTER_STOP_WORDS)})
 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY ratio DESC, term) <= 80"""
     out["q31_cluster_meta"] = f"WITH {BRANDS} SELECT p_brand, members, total, ratio, pattern FROM shaped"
+    out["q31b_largest_clusters"] = f"""
+WITH {BRANDS} SELECT p_brand, members, total, ratio, pattern FROM shaped ORDER BY total DESC, p_brand LIMIT 10"""
     out["q32_drilldown"] = f"""
 WITH {BRANDS},
 best AS (SELECT p_brand, pattern, total FROM shaped WHERE pattern IN ('contested', 'blockbuster')
@@ -365,17 +474,15 @@ cut AS (
   FROM pages)
 SELECT DISTINCT page_id AS id, name AS mentioned
 FROM names JOIN cut ON gram = substring(name, 1, 5) JOIN pages ON page_id = id WHERE contains(lower(url), name)"""
-    phrases = "|".join(w.ORIGIN_PHRASES)
-    out["q35_cross_refs"] = f"""
+    references = f"""
 WITH {MENTIONS},
-lines AS (
-  SELECT doc_id AS id, array_to_string(list_transform(
-    list_filter(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda l: regexp_matches(l, '(?i)\\b({phrases})\\b')),
-    lambda l: substring(regexp_replace(l, '^\\s+|\\s+$', '', 'g'), 1, 200)), '|') AS origin_lines FROM documents),
+{origin_lines()},
 counts AS (SELECT id, count(*) AS m FROM mentioned GROUP BY 1)
 SELECT doc_id AS id, n_chars, coalesce(origin_lines, '') AS origin_lines, CAST(coalesce(m, 0) AS INTEGER) AS mentions
 FROM documents JOIN lines ON lines.id = doc_id LEFT JOIN counts ON counts.id = doc_id
 WHERE origin_lines <> '' OR m > 0"""
+    out["q35_cross_refs"] = references
+    out["q35b_largest_cross_refs"] = f"{references} ORDER BY coalesce(n_chars, 0) DESC, doc_id LIMIT 20"
     out["q36_copy_edges"] = """
 SELECT doc_id AS child, parent FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS parent FROM documents)
 WHERE doc_id <> parent"""
@@ -383,13 +490,25 @@ WHERE doc_id <> parent"""
 SELECT s_name AS package, r_name AS forked_from, '' AS parent_url, n_nationkey AS stars, n_regionkey AS open_issues,
        '2024-01-01' AS pushed_at, 'owner/' || n_name AS repo
 FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey < 3"""
-    out["q37_keyword_counts"] = """
-SELECT keyword, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS keyword FROM part)
-WHERE starts_with(keyword, 'g') AND keyword <> 'gear' GROUP BY 1 ORDER BY n DESC, keyword LIMIT 15"""
+    out["q37_keyword_counts"] = r"""
+SELECT keyword, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS keyword FROM documents)
+WHERE starts_with(keyword, 'th') AND keyword <> 'the' GROUP BY 1 ORDER BY n DESC, keyword LIMIT 15"""
     out["q38_todo"] = """
 SELECT doc_id, source, 'todo' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id, NULL, 'stored' FROM labels"""
     out["q38b_vector_cache"] = "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS width FROM embeddings"
+    out["q38c_refreshed_store"] = f"""
+WITH parts AS (
+  SELECT user_id, ts, event_type, event_id, ts >= TIMESTAMP '{w.REFRESH_FROM}' AS later FROM events),
+newest AS (
+  SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY user_id, later ORDER BY ts DESC, event_id DESC) = 1),
+met AS (
+  SELECT coalesce(a.user_id, b.user_id) AS user_id, b.ts IS NOT NULL AND (a.ts IS NULL OR b.ts >= a.ts + INTERVAL 7 DAY) AS due,
+         a.event_type AS old_type, a.event_id AS old_id, b.event_type AS new_type, b.event_id AS new_id
+  FROM (SELECT * FROM newest WHERE NOT later) a FULL JOIN (SELECT * FROM newest WHERE later) b ON a.user_id = b.user_id)
+SELECT user_id, CASE WHEN due THEN new_type ELSE old_type END AS event_type, CASE WHEN due THEN new_id ELSE old_id END AS event_id
+FROM met"""
+    out["q38d_bucketed_cache"] = out["q38b_vector_cache"]
     out["q39_last_wins"] = """
 SELECT c_name, o_orderkey, o_orderpriority AS priority FROM customer LEFT JOIN (
   SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
@@ -418,15 +537,22 @@ counted AS (SELECT lang, word, count(*) AS n FROM toks GROUP BY 1, 2),
 top AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS INTEGER) AS rank FROM counted QUALIFY rank <= 120)
 SELECT lang, word, n, rank, {rounded('n / max(n) OVER (PARTITION BY lang)', 6)} AS weight FROM top"""
+    out["q43b_word_weights_all"] = f"""
+WITH toks AS (
+  SELECT unnest(list_filter(regexp_extract_all(lower(regexp_replace(text, '[#*`\\[\\](){{}}|>]', ' ', 'g')),
+         '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t NOT IN ({words(tfidf.NEAR_DUPLICATES.stop_words)}))) AS word FROM documents),
+counted AS (SELECT word, count(*) AS n FROM toks GROUP BY 1),
+top AS (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, word) AS INTEGER) AS rank FROM counted QUALIFY rank <= 120)
+SELECT word, n, rank, {rounded('n / max(n) OVER ()', 6)} AS weight FROM top"""
     out["q44_scale"] = f"""
 SELECT event_id, {rounded('2.0 * (value - lo) / (hi - lo + 1e-9) - 1.0', 8)} AS value
 FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)"""
-    out["q45_landed_documents"] = """
-SELECT CASE WHEN ok THEN s_suppkey::VARCHAR END AS name,
-       CASE WHEN ok THEN s_name || ' body of ' || s_name ELSE ' ' END AS text,
-       CASE WHEN ok THEN 'kw,' || s_nationkey END AS keywords,
-       CASE WHEN ok THEN s_nationkey END::INTEGER AS versions_count, NOT ok AS corrupt
-FROM (SELECT *, s_suppkey % 10 <> 0 AS ok FROM supplier)"""
+    out["q45_landed_documents"] = f"""
+WITH files AS (SELECT *, s_suppkey // {w.DOCUMENTS_PER_FILE} AS file FROM supplier)
+SELECT s_suppkey::VARCHAR AS name, s_name || ' body of ' || s_name AS text, 'kw,' || s_nationkey AS keywords,
+       s_nationkey::INTEGER AS versions_count, false AS corrupt
+FROM files WHERE file % 4 <> 1
+UNION ALL SELECT NULL, ' ', NULL, NULL, true FROM files WHERE file % 4 = 1 GROUP BY file"""
     out["q45b_landed_arrays"] = """
 SELECT 'seg ' || c_mktsegment AS name, max_by(c_name, c_custkey) AS description,
        DATE '1970-01-01' + max(c_custkey)::INTEGER AS date

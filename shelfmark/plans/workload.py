@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.functions import catalogue, fixed, numeric, text as text_functions
 from shelfmark.operators import clusters, graph, kmeans, layout, metadata, quantiles, similarity, stats, tfidf, trends
 from shelfmark.session import fresh_path, stage, widen
 from shelfmark.plans import catalogue as catalogue_plan
 from shelfmark.sources import readers, schemas, writers
-from shelfmark.streaming import landing
+from shelfmark.streaming import buckets, landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 NEAR_DUPLICATE = 0.8
 PRUNE_AT = 0.0
+CACHE_BUCKETS = 8
+DOCUMENTS_PER_FILE = 50
+ROWS_PER_FILE = 500
 AS_OF = "2024-04-30 06:00:00"
 TYPE_WORDS = ("kw-small", "kw-bolt", "kw-red", "kw-gear")
 AUDIENCE_WORDS = ("src3", "fr")
@@ -95,6 +98,24 @@ def q05_weekly_buckets(spark, sf):
     return returned_weekly(spark, sf)
 
 
+@query
+def q05b_streamed_buckets(spark, sf):
+    """The buckets of daily counts that land in two parts: the second run goes on where the first ended."""
+    items = table(spark, sf, "lineitem")
+    returned = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)
+    daily = trends.daily_totals(items.select("l_suppkey", "l_shipdate", returned.alias("q")), "l_suppkey", "l_shipdate", "q")
+    daily = stage(daily, "daily")
+    first, last = daily.agg(F.min("day"), F.max("day")).first()
+    landed, out, state = (fresh_path(spark, name) for name in ("days", "buckets", "buckets-state"))
+    middle = first + (last - first) / 2 if first else None
+    for part in (F.col("day") <= F.lit(middle), F.col("day") > F.lit(middle)):
+        daily.filter(part).coalesce(4).write.mode("append").parquet(landed)
+        stream = landing.landed(spark, landed, daily.schema)
+        buckets.store_positional(stream, out, state, "l_suppkey")
+    stored = buckets.stored(spark, out, buckets.shape("l_suppkey", daily.schema["l_suppkey"].dataType))
+    return buckets.latest(stored, "l_suppkey")
+
+
 @query
 def q06_weekly_total(spark, sf):
     return trends.weekly_totals(returned_weekly(spark, sf))
@@ -229,6 +250,116 @@ def q17_compact(spark, sf):
     )
 
 
+def landed_catalogue(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packages, listing, repositories) of a catalogue of the pages; repositories come from landed side files."""
+    i = F.col("page_id")
+    at = lambda days: F.timestamp_seconds(1_704_067_200 + 86_400 * days)
+    weekly = returned_weekly(spark, sf).select(
+        F.col("l_suppkey").cast("string").alias("name"), "week_end", F.floor("downloads").alias("downloads")
+    )
+    marker = F.get(F.array(*[F.lit(m) for m in fixed.TYPE_MARKERS]), (i % 3).cast("int"))
+    link = F.concat(F.lit("git+https://github.com/o"), i % 5, F.lit("/r"), i % 7, F.lit(".git"))
+    packages = table(spark, sf, "pages").select(
+        i.cast("string").alias("name"), F.concat(F.lit("1."), i % 7).alias("latest_version"), F.col("url").alias("description"),
+        F.col("html").alias("readme"),
+        F.array(
+            F.lit(fixed.CATALOGUE_KEYWORD), F.concat(F.lit("k"), i % 11), F.when(i % 2 == 0, marker).otherwise("plain"),
+            F.when(i % 13 == 0, F.lit(fixed.MULTI_KEYWORDS[0])).otherwise("other"),
+        ).alias("keywords"),
+        F.parse_json(F.concat(F.lit('{"name":"author '), i % 6, F.lit('"}'))).alias("author"),
+        F.when(i % 4 != 0, F.parse_json(F.concat(F.lit('{"url":"'), link, F.lit('"}')))).alias("repository"),
+        F.create_map(F.lit("created"), at(i), F.lit("modified"), at(i * 2)).alias("time"),
+    )
+    customer = table(spark, sf, "customer")
+    listing = customer.select(
+        F.col("c_custkey").cast("string").alias("name"),
+        F.when(F.col("c_nationkey") % 3 == 0, F.lit(fixed.CI_ACCOUNTS[0])).otherwise(F.col("c_name")).alias("publisher"),
+    )
+    # 25 of the 35 repositories have a file
+    k = F.col("n_nationkey")
+    parent = F.struct(F.concat(F.lit("up/"), F.col("n_name")).alias("full_name"), F.lit("https://up").alias("html_url"))
+    body = F.to_json(F.struct(
+        (k * 10 + F.col("n_regionkey")).alias("stargazers_count"), k.alias("forks_count"), (k % 3).alias("open_issues_count"),
+        k.alias("watchers_count"), (k % 4 == 0).alias("fork"),
+        F.when(k % 5 == 1, F.lit("not a moment")).otherwise(F.concat(F.lit("2024-01-"), F.lpad((k + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))).alias("pushed_at"),
+        F.when(k % 4 == 0, parent).alias("parent"),
+    ))
+    path = fresh_path(spark, "repositories")
+    slug = F.concat(F.lit("o"), k % 5, F.lit("__r"), k % 7)
+    writers.write_named(table(spark, sf, "nation").select(slug.alias("slug"), body.alias("body")), path, "slug", "body")
+    return readers.with_downloads(packages, weekly), listing, readers.read_repositories(spark, path)
+
+
+def page_spots(spark, sf) -> DataFrame:
+    """(name, x, y): two axes of the embeddings, scaled."""
+    axes = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("name"), *[F.col("embedding")[n].cast("double").alias(c) for n, c in enumerate("xy")]
+    )
+    for c in "xy":
+        axes = stats.scale_column(axes, c).withColumn(c, numeric.half_even(F.col(c), 4))
+    return axes
+
+
+def page_lists(spark, sf) -> catalogue_plan.Graph:
+    edges = stage(page_graph(spark, sf), "edges")
+    named = lambda df: df.withColumn("src", F.col("src").cast("string")).withColumn("dst", F.col("dst").cast("string"))
+    return catalogue_plan.Graph(named(edges), named(similarity.similar_lists(edges)))
+
+
+def listed_names(similar: Column) -> Column:
+    """Names with their scores in thousandths, in order."""
+    entry = lambda s: F.concat(s["name"], F.lit(":"), F.round(s["score"] * 1000).cast("bigint"))
+    return F.array_join(F.transform(similar, entry), ",")
+
+
+@query
+def q17b_serving(spark, sf):
+    """All twenty fields of the serving records, with the listing, side files, series, lists and coordinates joined."""
+    packages, listing, repositories = landed_catalogue(spark, sf)
+    recs = catalogue_plan.records(packages, listing, repositories)
+    served = catalogue_plan.serving(recs, page_lists(spark, sf), page_spots(spark, sf))
+    return served.withColumns({
+        "tr": F.array_join(F.transform("tr", lambda v: v.cast("string")), ","), "si": listed_names(F.col("si")),
+        "kw": F.array_join("kw", ","), **{c: F.unix_timestamp(c) for c in ("pa", "dt", "dc")},
+    })
+
+
+@query
+def q18b_published(spark, sf):
+    """All datasets of the catalogue, written in one step and read back."""
+    packages, listing, repositories = landed_catalogue(spark, sf)
+    recs = catalogue_plan.records(packages, listing, repositories)
+    found = page_lists(spark, sf)
+    meta = clusters.cluster_meta(brand_members(spark, sf), "downloads", "p_brand", 0.019, 0.017)
+    words = clusters.cluster_words(
+        table(spark, sf, "documents").select(F.col("lang").alias("cluster"), text_functions.naming_words(F.lit(""), F.col("text")).alias("words"))
+    )
+    described = catalogue_plan.Clusters(meta, meta, meta, words)
+    paths = catalogue_plan.publish(
+        recs, packages, found, described, cross_referenced(spark, sf), fresh_path(spark, "published"), page_spots(spark, sf)
+    )
+    similar = "array<struct<name string, score double>>"
+    shapes = {
+        "serving": ("n string, t string, p string, st bigint", F.col("n"), F.concat_ws("|", "t", "p", "st")),
+        "full": (
+            f"name string, github struct<stars bigint, is_fork boolean>, similar {similar}", F.col("name"),
+            F.concat_ws("|", "github.stars", "github.is_fork", listed_names(F.col("similar"))),
+        ),
+        "clusters": ("p_brand string, members bigint, pattern string", F.col("p_brand"), F.concat_ws("|", "members", "pattern")),
+        "cluster-words": ("cluster string, word string, rank int", F.concat_ws("|", "cluster", "rank"), F.col("word")),
+        "references": ("id bigint, mentions array<string>", F.col("id").cast("string"), F.size("mentions").cast("string")),
+    }
+    edge = spark.read.parquet(paths["edges"])
+    out = edge.select(
+        F.lit("edges").alias("dataset"), F.concat_ws("|", "src", "dst").alias("key"),
+        F.round(F.col("score") * 1000).cast("bigint").cast("string").alias("detail"),
+    )
+    for name, (shape, key, detail) in shapes.items():
+        rows = spark.read.schema(shape).json(paths[name])
+        out = out.unionByName(rows.select(F.lit(name).alias("dataset"), key.alias("key"), detail.alias("detail")))
+    return out
+
+
 @query
 def q18_full_nested(spark, sf):
     docs = table(spark, sf, "documents")
@@ -263,6 +394,27 @@ def q20_tfidf_terms(spark, sf):
     return weighted.select("id", "term", numeric.half_even(F.col("weight"), 6).alias("weight"))
 
 
+UNCAPPED = tfidf.Vocabulary(ngrams=(1, 2))
+WITHOUT_COMMON = tfidf.Vocabulary(max_features=500, max_df=0.2)
+
+
+@query
+def q20b_uncapped_terms(spark, sf):
+    """Vectors over all words and word pairs of the corpus, by document."""
+    weighted = tfidf.weights(document_model(spark, sf, UNCAPPED))
+    return weighted.groupBy("id").agg(
+        F.count("*").alias("terms"), numeric.half_even(F.max("weight"), 6).alias("heaviest"),
+        numeric.half_even(F.sum("weight"), 6).alias("total"),
+    )
+
+
+@query
+def q20c_without_common(spark, sf):
+    """Weights over a vocabulary without the words of more than a fifth of the documents."""
+    weighted = tfidf.weights(document_model(spark, sf, WITHOUT_COMMON))
+    return weighted.select("id", "term", numeric.half_even(F.col("weight"), 6).alias("weight"))
+
+
 @query
 def q21_near_dup(spark, sf):
     pairs = similarity.near_pairs(document_model(spark, sf).vectors, NEAR_DUPLICATE)
@@ -288,6 +440,13 @@ def q21e_near_dup_published(spark, sf):
     return pairs.withColumn("score", numeric.half_even(F.col("score"), 3))
 
 
+@query
+def q21f_near_dup_approximate(spark, sf):
+    """Pairs from banded random projections, verified: all of them are in q21, and nearly all of q21's."""
+    pairs = similarity.near_pairs(document_model(spark, sf).vectors, NEAR_DUPLICATE, similarity.Approximate())
+    return pairs.withColumn("score", numeric.half_even(F.col("score"), 3))
+
+
 @query
 def q21c_copies(spark, sf):
     vectors = document_model(spark, sf).vectors
@@ -379,6 +538,17 @@ def q28_prune(spark, sf):
     return clusters.prune(points.select("vec_id", "label"), tight, "label", PRUNE_AT)
 
 
+@query
+def q28b_named_clusters(spark, sf):
+    """Every record with its pruned cluster and that cluster's name; a cluster that was pruned away has none."""
+    points = table(spark, sf, "embeddings")
+    tight = clusters.cohesion(points, "label", "embedding", "vec_id")
+    labels = stage(clusters.prune(points.select("vec_id", "label"), tight, "label", PRUNE_AT), "labels")
+    largest = labels.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    names = largest.select("cluster", F.concat_ws(" / ", F.lit("Vectors"), "n", "first").alias("cluster_name"))
+    return clusters.attach_names(labels, names, "vec_id", "label")
+
+
 @query
 def q29_cluster_names(spark, sf):
     docs = widen(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "doc_id")
@@ -406,7 +576,7 @@ def language_labels(spark, sf) -> DataFrame:
 @query
 def q30_relative_words(spark, sf):
     model = document_model(spark, sf, tfidf.CLUSTER_WORDS)
-    return clusters.relative_words(tfidf.weights(model), language_labels(spark, sf), model.n_docs)
+    return clusters.relative_words(model, language_labels(spark, sf), model.n_docs)
 
 
 def brand_members(spark, sf) -> DataFrame:
@@ -423,6 +593,13 @@ def q31_cluster_meta(spark, sf):
     )
 
 
+@query
+def q31b_largest_clusters(spark, sf):
+    """Clusters by their total, the largest first, cut."""
+    meta = clusters.cluster_meta(brand_members(spark, sf), "downloads", "p_brand", 0.019, 0.017)
+    return meta.withColumn("ratio", numeric.half_even(F.col("ratio"), 2)).orderBy(F.desc("total"), "p_brand").limit(10)
+
+
 @query
 def q32_drilldown(spark, sf):
     members = brand_members(spark, sf)
@@ -433,7 +610,7 @@ def q32_drilldown(spark, sf):
 @query
 def q32b_top_terms(spark, sf):
     model = document_model(spark, sf)
-    terms = clusters.top_terms(tfidf.weights(model), language_labels(spark, sf))
+    terms = clusters.top_terms(model, language_labels(spark, sf))
     lists = clusters.term_lists(terms)
     return lists.select("cluster", "label", F.array_join(F.slice("terms", 1, 4), ", ").alias("top_terms"))
 
@@ -474,12 +651,14 @@ def q34c_sliced_mentions(spark, sf):
     return graph.mentions(pages, names, "page_id", "url", "name", exclude_self=False, slice_chars=10_000)
 
 
-@query
-def q35_cross_refs(spark, sf):
+def cross_referenced(spark, sf) -> DataFrame:
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     lines = graph.origin_lines(docs, "doc_id", "text", ORIGIN_PHRASES)
     named = graph.mention_lists(graph.mentions(docs, items, "doc_id", "text", "text", exclude_self=False))
-    found = graph.cross_references(docs, "doc_id", "n_chars", lines, named)
+    return graph.cross_references(docs, "doc_id", "n_chars", lines, named)
+
+
+def short_references(found: DataFrame) -> DataFrame:
     return found.select(
         "id",
         "n_chars",
@@ -488,6 +667,18 @@ def q35_cross_refs(spark, sf):
     )
 
 
+@query
+def q35_cross_refs(spark, sf):
+    return short_references(cross_referenced(spark, sf))
+
+
+@query
+def q35b_largest_cross_refs(spark, sf):
+    """Cross references by size, the largest first, cut."""
+    found = short_references(cross_referenced(spark, sf))
+    return found.orderBy(F.coalesce("n_chars", F.lit(0)).desc(), "id").limit(20)
+
+
 @query
 def q36_copy_edges(spark, sf):
     return graph.copy_edges(table(spark, sf, "documents"), "doc_id", "text")
@@ -512,8 +703,9 @@ def q36b_fork_edges(spark, sf):
 
 @query
 def q37_keyword_counts(spark, sf):
-    words = table(spark, sf, "part").select(F.split("p_name", " ").alias("keywords"))
-    return stats.occurrence_counts(words, "keywords", "g", "gear")
+    """The commonest words of documents with a prefix: there are far more of them than the report has rows."""
+    words = table(spark, sf, "documents").select(F.split("text", r"\s+").alias("keywords"))
+    return stats.occurrence_counts(words, "keywords", "th", "the")
 
 
 # Ingest
@@ -540,6 +732,33 @@ def q38b_vector_cache(spark, sf):
     return metadata.align(vectors, grown, "vec_id").select("vec_id", "label", F.size("embedding").alias("width"))
 
 
+REFRESH_FROM = "2024-01-20 00:00:00"
+
+
+@query
+def q38c_refreshed_store(spark, sf):
+    """A store by user that takes new users, and known ones after seven days, from two landings of events."""
+    events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "event_id")
+    landed, out, state = (fresh_path(spark, name) for name in ("events", "store", "store-state"))
+    edge = F.lit(REFRESH_FROM).cast("timestamp_ntz")
+    for part in (F.col("ts") < edge, F.col("ts") >= edge):
+        events.filter(part).coalesce(1).write.mode("append").parquet(landed)
+        buckets.refresh_available(landing.landed(spark, landed, events.schema), out, state, "user_id", ["ts", "event_id"])
+    return buckets.current(spark, out, events.schema, "user_id", ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query
+def q38d_bucketed_cache(spark, sf):
+    """A vector cache in buckets: growing it and matching records to it shuffle the other side only."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    path = fresh_path(spark, "vectors")
+    name = "cache_" + path.rsplit("-", 1)[-1]
+    writers.append_bucketed(vectors.filter(F.col("label") < 5), name, path, "vec_id", CACHE_BUCKETS)
+    new = metadata.missing_keys(vectors, spark.table(name), "vec_id")
+    writers.append_bucketed(stage(new, "new-vectors"), name, path, "vec_id", CACHE_BUCKETS)
+    return metadata.align(vectors, spark.table(name), "vec_id").select("vec_id", "label", F.size("embedding").alias("width"))
+
+
 @query
 def q39_last_wins(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
@@ -601,21 +820,25 @@ def q40c_registry(spark, sf):
     )
 
 
+def land_arrays(rows: DataFrame, number, entry, per_file: int, path: str, whole=None) -> None:
+    """Files with an array of ``per_file`` documents each; those for which ``whole`` is false are cut off."""
+    files = rows.groupBy(F.floor(number / per_file).alias("file")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    if whole is not None:
+        files = files.withColumn("value", F.when(whole, F.col("value")).otherwise(F.lit('[{"name": ')))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
 @query
 def q45_landed_documents(spark, sf):
-    """One JSON document a file, a malformed one among them, read and compacted."""
+    """JSON documents in files of a fixed size, some of them malformed, read and compacted."""
     name = F.col("s_suppkey").cast("string")
-    body = F.to_json(F.struct(
+    body = F.struct(
         name.alias("name"), F.col("s_name").alias("description"), F.concat(F.lit("body of "), F.col("s_name")).alias("readme"),
         F.array(F.lit("kw"), F.col("s_nationkey").cast("string")).alias("keywords"), F.lit("1.0").alias("latest_version"),
         F.col("s_nationkey").alias("versions_count"),
-    ))
-    # every tenth document is cut off
-    landed = table(spark, sf, "supplier").select(
-        name.alias("file"), F.when(F.col("s_suppkey") % 10 == 0, F.lit('{"name": ')).otherwise(body).alias("value")
     )
     path = fresh_path(spark, "documents")
-    landed.write.partitionBy("file").text(path)
+    land_arrays(table(spark, sf, "supplier"), F.col("s_suppkey"), body, DOCUMENTS_PER_FILE, path, F.col("file") % 4 != 1)
     parsed = readers.read_documents(spark, path, schemas.PACKAGE, keep_corrupt=True)
     packages = readers.compact(parsed, fresh_path(spark, "packages"))
     return packages.select(
@@ -632,9 +855,8 @@ def q45b_landed_arrays(spark, sf):
         F.concat(F.lit("seg "), F.col("c_mktsegment")).alias("name"), F.col("c_name").alias("description"),
         F.timestamp_seconds(F.col("c_custkey") * 86400).alias("date"), F.lit("1").alias("version"),
     )
-    files = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list(entry).alias("rows"))
     path = fresh_path(spark, "listing")
-    files.select("c_nationkey", F.to_json("rows").alias("value")).write.partitionBy("c_nationkey").text(path)
+    land_arrays(table(spark, sf, "customer"), F.col("c_custkey"), entry, ROWS_PER_FILE, path)
     return readers.read_listing(spark, path).select("name", "description", F.col("date").cast("date").alias("date"))
 
 
@@ -679,6 +901,13 @@ def q43_word_weights(spark, sf):
     return clusters.word_weights(table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
+@query
+def q43b_word_weights_all(spark, sf):
+    """Word weights of the whole corpus."""
+    found = clusters.word_weights(table(spark, sf, "documents"), "doc_id", "text")
+    return found.select("word", "n", "rank", "weight")
+
+
 @query
 def q44_scale(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "value")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     )
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to executors that do not have it on their Python path; the archive that was sent."""
+    root = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="shelfmark-"))  # on the driver, from where Spark sends it
+    archive = shutil.make_archive(str(folder / "shelfmark"), "zip", root, "shelfmark")
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 

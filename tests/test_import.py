@@ -9,6 +9,7 @@ from pathlib import Path
 import pyspark
 import pytest
 
+from shelfmark import session
 from shelfmark.functions import fixed
 
 REPO = Path(__file__).resolve().parents[1]
@@ -47,3 +48,13 @@ def test_stop_words_are_spark_ml_s(spark):
     from pyspark.ml.feature import StopWordsRemover
 
     assert set(fixed.ENGLISH_STOP_WORDS) == set(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def test_the_package_is_shipped_whole(spark, tmp_path):
+    """What is sent to executors can be imported without the repository."""
+    archive = session.ship(spark)
+    code = "import shelfmark.operators.similarity, shelfmark.streaming.buckets as b; print(b.__file__)"
+    run = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": archive}, capture_output=True, text=True, timeout=120
+    )
+    assert run.returncode == 0 and run.stdout.startswith(archive), run.stderr[-2000:]
