@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.session import stage
 
-CANDIDATE_BYTES = 1 << 20
-ANCHOR_BYTES = 1 << 19
+CANDIDATE_BYTES = 1 << 18
+ANCHOR_BYTES = 1 << 18
 LEAST_ROWS = 16
 PAIRS_PER_CELL = 64
 LEAF = 16  # sides up to this are multiplied plainly
