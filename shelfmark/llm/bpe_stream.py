@@ -34,7 +34,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
