@@ -106,8 +106,8 @@ def _pieces(source: str, known: code_points.Tables) -> Pieces:
 
 
 def default_buckets(partitions: int) -> int:
-    """128 for each started thousand of shuffle partitions: enough tasks, few partial sums."""
-    return 128 * -(-partitions // 1024)
+    """As many as shuffle partitions, so that all of them work and none holds more than a bucket; 128 at least."""
+    return max(128, partitions)
 
 
 def token_counts(
