@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from shelfmark.plans.workload import QUERIES  # noqa: E402
-from shelfmark.session import local_session  # noqa: E402
+from shelfmark.session import local_session, staging  # noqa: E402
 
 
 def main() -> None:
@@ -31,8 +31,9 @@ def main() -> None:
     for name in chosen:
         start = time.perf_counter()
         try:
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.perf_counter() - start, 3)
+            with staging(spark):
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                times[name] = round(time.perf_counter() - start, 3)
         except Exception as error:  # one failing query must not hide the others
             failed[name] = str(error)[:200]
         print(name, times.get(name, "failed"), file=sys.stderr, flush=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +55,36 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_watched: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _watched:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Everything that is written to fresh paths inside is deleted at the end.
+
+    A result is read from such files: write or collect it inside.
+    """
+    paths: list[str] = []
+    _watched.append(paths)
+    try:
+        yield
+    finally:
+        _watched.pop()
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -73,9 +103,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def unstage(*staged: DataFrame) -> None:
     """Delete the files of staged tables that nothing will read any more."""
     for df in staged:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.staged_path)
 
 
 def widen(df: DataFrame, key: str) -> DataFrame:

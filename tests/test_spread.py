@@ -40,3 +40,22 @@ def test_block_join(spark, rows_per_block):
 def test_bad_join_type(sides):
     with pytest.raises(ValueError):
         spread_join(*sides, ["k"], ["id"], "full")
+
+
+def test_staged_files_can_be_deleted_together(spark):
+    from pathlib import Path
+
+    from shelfmark.session import fresh_path, stage, staging
+
+    kept = stage(spark.range(3), "kept")
+    with staging(spark):
+        inside = stage(spark.range(5), "inside")
+        other = fresh_path(spark, "other")
+        spark.range(2).write.parquet(other)
+        assert inside.count() == 5
+    place = lambda path: Path(path.removeprefix("file:"))
+    assert kept.count() == 3 and not place(inside.staged_path).exists() and not place(other).exists()
+    with pytest.raises(RuntimeError), staging(spark):
+        failed = stage(spark.range(5), "failed")
+        raise RuntimeError
+    assert not place(failed.staged_path).exists()
