@@ -365,7 +365,8 @@ def mine(
             _windowed(*window, positives), f"family string, block bigint, {TILE}, heaps array<{HEAP}>, low binary, high binary"
         ), "windows",
     )
-    every = tiles.withColumn("block", F.xxhash64("family", "block")).withColumn("family", F.lit(""))
+    # one family for all, taken from the column, so that the joins by it stay joins by a key
+    every = tiles.withColumn("block", F.xxhash64("family", "block")).withColumn("family", F.substring("family", 1, 0))
     second = meet(windows, every).mapInArrow(
         _negatives(positives, negatives),
         f"block bigint, row bigint, slot int, anchor_id bigint, positive_id bigint, positive_score bigint, heap {HEAP}",
