@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.plans import workload
 from shelfmark.plans.workload import QUERIES
 from shelfmark.streaming import landing
 
@@ -42,3 +43,12 @@ def test_unseen_rows_of_a_stream(spark, tmp_path):
     stream = landing.landed(spark, source, frame.schema)
     landing.store_available(landing.unseen(stream, stored, "name"), out, state)
     assert sorted(r.name for r in spark.read.parquet(out).collect()) == ["3", "4", "5"]
+
+
+def test_every_landed_document_is_a_row_of_its_own(spark, tmp_path):
+    rows = [(k, f"Supplier {k}", k % 25) for k in range(1, 131)]
+    suppliers = spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_nationkey int")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    found = workload.q45_landed_documents(spark, str(tmp_path)).collect()
+    assert sum(r.corrupt for r in found) == 13
+    assert sorted(int(r.name) for r in found if not r.corrupt) == [k for k in range(1, 131) if k % 10]
