@@ -160,3 +160,10 @@ def test_sums_meet_by_slices(spark, monkeypatch):
 
     found = partial.summed(frame, part, (30, 3))
     assert found.tolist() == [[len(range(r, 100, 30)), sum(range(r, 100, 30)), 0] for r in range(30)]
+
+
+def test_rows_are_taken_by_their_entries():
+    sizes = np.array([0, 5, 100_000, 3, 4] + [30_000] * 50 + [0] * 3000)
+    runs = list(layout._pieces()(sizes, 60))
+    assert [s for s, _ in runs] == [0] + [e for _, e in runs[:-1]] and runs[-1][1] == len(sizes)
+    assert all(e == s + 1 or sizes[s:e].sum() * 60 * 8 <= layout.PART_BYTES for s, e in runs)
