@@ -357,3 +357,10 @@ def test_most_frequent_of_few_terms(spark):
     found = heavy.most_frequent(counted(spark, [{"a": 2, "b": 1}, {"b": 1}, {}], 2), 10)
     assert sorted(map(tuple, found.collect())) == [("a", 1, 2), ("b", 2, 2)]
     assert heavy.most_frequent(counted(spark, [{}], 1), 10).count() == 0
+
+
+def test_pairs_of_distinct_vectors_take_no_join_by_shuffle(case, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE_BYTES", 1)
+    pairs = similarity.similar_pairs(case[1].vectors, 0.15)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Join" not in plan  # the deal of tiles to cells
