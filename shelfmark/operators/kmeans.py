@@ -50,9 +50,14 @@ def _tools():
     def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
         """Squared distances; small ones are taken from the differences, as the short form loses them."""
         square = (x * x).sum(1)[:, None]
-        out = square - 2 * (x @ centres.T) + (centres * centres).sum(1)[None, :]
-        row, at = np.nonzero(out < 1e-9 * (1 + square))
-        out[row, at] = ((x[row] - centres[at]) ** 2).sum(1)
+        out = x @ (-2 * centres.T)
+        out += square
+        out += (centres * centres).sum(1)
+        close = np.flatnonzero(out.min(1) < 1e-9 * (1 + square[:, 0])) if out.size else ()
+        if len(close):
+            row, at = np.nonzero(out[close] < 1e-9 * (1 + square[close]))
+            row = close[row]
+            out[row, at] = ((x[row] - centres[at]) ** 2).sum(1)
         return out
 
     def uniform(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -141,17 +146,17 @@ def _step(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((restarts * k, dims + 2))
-        for _, x in matrices(batches):
+        for _, x in matrices(batches, 512):  # a table that stays in the cache
             far = distances(x, centres.reshape(-1, dims)).reshape(len(x), restarts, k)
-            label = far.argmin(2)
-            least = np.maximum(np.take_along_axis(far, label[:, :, None], 2)[:, :, 0], 0.0)
-            for r in range(restarts):
-                held = np.zeros((len(x), k))
-                held[np.arange(len(x)), label[:, r]] = 1.0
-                own = total[r * k : (r + 1) * k]
-                own[:, :dims] += held.T @ x
-                own[:, dims] += held.sum(0)
-                own[:, dims + 1] += least[:, r] @ held
+            label = far.argmin(2) + np.arange(0, restarts * k, k)
+            least = np.maximum(far.min(2), 0.0)
+            # every distance has been used: the table becomes that of the points held by each centre
+            held = far.reshape(len(x), -1)
+            held[:] = 0.0
+            held[np.arange(len(x))[:, None], label] = 1.0
+            total[:, :dims] += held.T @ x
+            total[:, dims] += np.bincount(label.ravel(), minlength=restarts * k)
+            total[:, dims + 1] += np.bincount(label.ravel(), least.ravel(), restarts * k)
         return total
 
     total = summed(points, part, (restarts * k, dims + 2)).reshape(restarts, k, dims + 2)
