@@ -47,7 +47,7 @@ from shelfmark.llm import code_points
 from shelfmark.llm.batches import small
 
 CHUNK = 1 << 16  # characters of a text that are looked at together
-CACHED_WORDS = 300_000  # words whose ids are remembered at a time, and as many older ones
+CACHED_WORDS = 60_000  # words whose ids are remembered at a time, and as many older ones
 CACHED_CHARS = 48  # longer words are not remembered
 LAST_SPACE = regex.compile(r"(?r)\s")
 # the runs that can be arbitrarily long: letters, and anything but letters, digits and white space
