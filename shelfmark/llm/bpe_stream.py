@@ -47,11 +47,14 @@ from shelfmark.llm import code_points
 from shelfmark.llm.batches import small
 
 CHUNK = 1 << 16  # characters of a text that are looked at together
-CACHED_WORDS = 60_000  # words whose ids are remembered at a time, and as many older ones
+CACHED_WORDS = 150_000  # words whose ids are remembered at a time, and as many older ones
+SHORT_BYTES = 32  # words up to this are merged in a plain loop
 CACHED_CHARS = 48  # longer words are not remembered
 LAST_SPACE = regex.compile(r"(?r)\s")
 # the runs that can be arbitrarily long: letters, and anything but letters, digits and white space
 RUNS = (r"\p{L}+", r"[^\s\p{L}\p{N}]+")
+# str.split takes these for white space, the patterns do not
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_letters() -> dict[int, str]:
@@ -102,6 +105,13 @@ class Model:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        # the same by ids, for short words: what a rank makes, and the ranks of each id with the next
+        self.made = [self.vocab.get(a + b) for a, b in pairs]
+        self.right_of: dict[int, dict[int, int]] = {i: {} for i in self.vocab.values()}
+        for (a, b), rank in self.ranks.items():
+            if a in self.vocab and b in self.vocab:
+                self.right_of[self.vocab[a]][self.vocab[b]] = rank
+        self.decimal = {i: str(i) for i in self.vocab.values()}
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in self.letters.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -109,6 +119,8 @@ class Model:
             raise ValueError("special tokens must be plain strings")
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
+        self.inner_ids = [self.vocab.get(self.letters[b]) for b in range(256)]
+        self.last_ids = [self.vocab.get(self.letters[b] + self.suffix) for b in range(256)]
         self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self._read_normalizer(spec.get("normalizer"))
         self.library_normalizer = tokenizers.Tokenizer.from_str(source).normalizer
@@ -186,6 +198,32 @@ class Model:
         ids = [self.vocab[t] for t in tokens]
         return " ".join(map(str, ids)), "" if self.byte_decoder else decode(self, ids)
 
+    def word(self, word: str) -> tuple[str, str]:
+        """What is told of a whole word; ids are merged in a plain loop where it is short."""
+        spelled = word.encode("utf-8", "surrogatepass")
+        if not 0 < len(spelled) <= SHORT_BYTES:
+            return self.told(self.merge(self.symbols_of(word, True)))
+        inner = self.inner_ids
+        ids = [inner[b] for b in spelled]
+        ids[-1] = self.last_ids[spelled[-1]]
+        if None in ids:
+            return self.told(self.merge(self.symbols_of(word, True)))
+        right_of, made, none = self.right_of, self.made, len(self.made)
+        near = [right_of[a].get(b, none) for a, b in zip(ids, ids[1:])]
+        while near:
+            best = min(near)
+            if best == none:
+                break
+            i = near.index(best)
+            ids[i] = own = made[best]
+            del ids[i + 1], near[i]
+            if i < len(near):
+                near[i] = right_of[own].get(ids[i + 1], none)
+            if i:
+                near[i - 1] = right_of[ids[i - 1]].get(own, none)
+        text = "" if self.byte_decoder else " ".join([self.token_of[i] for i in ids])
+        return " ".join([self.decimal[i] for i in ids]), text
+
     def symbols_of(self, word: str, ended: bool) -> list[str]:
         letters = self.letters
         symbols = [letters[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -194,26 +232,11 @@ class Model:
         return symbols
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Apply the merges by rank, leftmost first; O(n log n), with a plain loop for short words."""
+        """Apply the merges by rank, leftmost first; O(n log n)."""
         n = len(symbols)
         if n < 2:
             return symbols
         ranks, text = self.ranks, list(symbols)
-        if n <= 24:
-            none = len(ranks)
-            near = [ranks.get(pair, none) for pair in zip(text, text[1:])]
-            while near:
-                best = min(near)
-                if best == none:
-                    break
-                i = near.index(best)
-                text[i : i + 2] = [text[i] + text[i + 1]]
-                del near[i]
-                if i < len(near):
-                    near[i] = ranks.get((text[i], text[i + 1]), none)
-                if i:
-                    near[i - 1] = ranks.get((text[i - 1], text[i]), none)
-            return text
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
@@ -244,7 +267,8 @@ class Model:
 class _Words(dict):
     """Ids of words as decimal numbers joined by spaces, with their decoded form.
 
-    When full, the words so far become the older half; those that are met again move back.
+    Stretches between white space are looked up too, where the model is plain: one is split into its words when
+    it is first met. When full, the words so far become the older half; those that are met again move back.
     """
 
     def __init__(self, model: Model):
@@ -255,7 +279,13 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[str, str]:
         found = self.older.get(word)
         if found is None:
-            found = self.model.told(self.model.merge(self.model.symbols_of(word, True)))
+            model = self.model
+            words = [word] if model.exact else model.pattern.findall(word)
+            if words == [word]:
+                found = model.word(word)
+            else:
+                ids, texts = zip(*[self[w] for w in words]) if words else ((), ())
+                found = " ".join(ids), "" if model.byte_decoder else " ".join(texts)
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
                 self.older = dict(self)
@@ -343,7 +373,11 @@ class Encoder:
         text = self.open + text
         closed = self.model.last_space(text)
         self.open = text[closed:]
-        out += map(self.words.__getitem__, self.model.pattern.findall(text, 0, closed))
+        if self.model.exact or any(c in text for c in SEPARATORS):
+            found = self.model.pattern.findall(text, 0, closed)
+        else:
+            found = text[:closed].split()
+        out += map(self.words.__getitem__, found)
         return out + self._enter() if len(self.open) > CACHED_CHARS else out
 
     def _enter(self) -> list[tuple[str, str]]:
@@ -459,7 +493,8 @@ def digests(source: str, known: code_points.Tables, text: str | None) -> tuple[i
 
     def take(parts: list[tuple[str, str]]) -> None:
         nonlocal count, gap
-        parts = [p for p in parts if p[0]]
+        if ("", "") in parts:
+            parts = [p for p in parts if p[0]]
         if not parts:
             return
         ids, texts = zip(*parts)

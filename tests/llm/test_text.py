@@ -89,6 +89,31 @@ def test_lookahead_of_a_chain():
     assert bpe_stream.sufficient_lookahead(merges) == 4
 
 
+def test_a_stretch_is_split_when_it_is_first_met(model, monkeypatch):
+    plain, split = model.plain(), []
+
+    class Counted:
+        def findall(self, text, *span):
+            split.append(text)
+            return model.split_pattern.findall(text, *span)
+
+    library = tokenizers.Tokenizer.from_file(WORD)
+    monkeypatch.setattr(model, "split_pattern", plain.pattern, raising=False)
+    plain.pattern = Counted()
+    text = "don't stop, (stop) don't, stop, don't \x1c stop,\x1f don't straße\u2003stop, x" + " stop, don't" * 500 + "'s ''re "
+    for given_text in (text.replace("\x1c", "").replace("\x1f", ""), text):
+        assert bpe_stream.encode(plain, given_text) == library.encode(given_text, add_special_tokens=False).ids
+    splits = [s for s in split if s]
+    assert len([s for s in splits if s == "stop,"]) <= 2 and len(splits) < 60
+
+
+@given(st.text(st.sampled_from("theanorßé'srv.,-2 "), max_size=80))
+@settings(max_examples=150, deadline=None)
+def test_short_words_merge_like_long_ones(model, text):
+    for word in model.pattern.findall(text):
+        assert model.word(word) == model.told(model.merge(model.symbols_of(word, True)))
+
+
 def test_rows_round_trip(docs):
     ids = bpe_stream.encode_rows(docs.withColumn("TOKEN_IDS", F.lit(1)), WORD)
     back = {r["doc_id"]: r["decoded"] for r in bpe_stream.decode_rows(ids, WORD).collect()}
