@@ -233,6 +233,23 @@ def test_ids_are_those_of_the_library(text):
         assert packing._tokenizer(file.read()).of(text, 2).tolist() == library.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_small_words_skip_the_steps_before_the_model():
+    with open(queries.tokenizer("word_bpe_49k.json"), encoding="utf-8") as file:
+        ids = packing._Ids(file.read())
+    library, asked = ids.library, []
+
+    class Counted:
+        def encode(self, text, **options):
+            asked.append(text)
+            return library.encode(text, **options)
+
+    ids.library = Counted()
+    text = "straße entionedé Größe, naïve. ÿþ don't x² ﬁn"
+    wanted = library.encode(text, add_special_tokens=False).ids + [2]
+    assert ids.of(text, 2).tolist() == wanted
+    assert not set(asked) & {"straße", "entionedé", "naïve", "ÿþ"} and {"don't", "x²", "ﬁn"} <= set(asked)
+
+
 def test_other_vocabularies_are_refused():
     with open(queries.tokenizer("byte_bpe_50k.json"), encoding="utf-8") as file, pytest.raises(ValueError):
         packing._Ids(file.read())
