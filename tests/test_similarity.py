@@ -3,10 +3,12 @@
 import math
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark import session
 from shelfmark.operators import heavy, similarity, tfidf, tiles
 
 
@@ -364,3 +366,16 @@ def test_pairs_of_distinct_vectors_take_no_join_by_shuffle(case, monkeypatch):
     pairs = similarity.similar_pairs(case[1].vectors, 0.15)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1 and "Join" not in plan  # the deal of tiles to cells
+
+
+@pytest.mark.parametrize("most", [None, 5])
+def test_a_fit_leaves_its_vectors_and_terms_alone(spark, most):
+    docs = spark.createDataFrame([(1, "ab cd ab"), (2, "cd ef"), (3, None)], "id bigint, text string")
+    terms = tfidf.Vocabulary(max_features=most, stop_words=())
+    with session.staging(spark):
+        with session.passing(spark):
+            session.stage(docs, "gone")
+        model = tfidf.fit(docs, "id", F.col("text"), terms, "left-alone")
+        left = {p for paths in session._watched for p in paths if Path(p).exists()}
+        assert left == {model.vectors.staged_path, model.terms.staged_path}
+        assert {r.term for r in tfidf.weights(model).collect()} == {"ab", "cd", "ef"}
