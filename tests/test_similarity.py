@@ -258,6 +258,25 @@ def test_rows_that_meet_grow_with_the_documents(spark):
     assert met[4000] < 25 * met[400]  # all pairs would be 100 times as many
 
 
+def test_band_keys_do_not_depend_on_how_many_bands_are_taken_at_a_time(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, idx := sorted(rng.sample(range(60), i % 7)), [1 / max(len(idx), 1) ** 0.5] * len(idx)) for i in range(80)]
+    vectors = spark.createDataFrame(rows, "id long, idx array<int>, w array<double>").repartition(3, "id")
+    found = []
+    for size in (1, 50_000, 2 << 20):
+        monkeypatch.setattr(similarity, "NORMAL_BYTES", size)
+        found.append(sorted(map(tuple, similarity.band_keys(vectors, 12, 9, 3).collect())))
+    assert found[0] == found[1] == found[2]
+    assert len(found[0]) == 12 * sum(1 for _, idx, _ in rows if idx)
+    # rows with the same positions, here a single one, share all bands; others do not
+    own = defaultdict(set)
+    for i, bucket in found[0]:
+        own[i].add(bucket)
+    same = [(a, b) for a, x, _ in rows for b, y, _ in rows if a < b and x and x == y]
+    assert same and all(own[a] == own[b] for a, b in same)
+    assert len({frozenset(v) for v in own.values()}) > 20
+
+
 def test_bands_reach_the_wanted_chance():
     for rows, threshold in ((1000, 0.8), (10**6, 0.8), (1000, 0.25)):
         bands, bits = similarity.Approximate(0.95).sizes(rows, threshold)
