@@ -52,3 +52,12 @@ def test_every_landed_document_is_a_row_of_its_own(spark, tmp_path):
     found = workload.q45_landed_documents(spark, str(tmp_path)).collect()
     assert sum(r.corrupt for r in found) == 13
     assert sorted(int(r.name) for r in found if not r.corrupt) == [k for k in range(1, 131) if k % 10]
+
+
+def test_the_pair_total_folds_its_vectors_once(spark, tmp_path):
+    texts = ["river stone"] * 3 + ["lamp chair"] * 2 + ["window"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    total = QUERIES["q21d_pair_total"](spark, str(tmp_path))
+    assert total.collect() == [(4,)]
+    assert "keys=[idx" not in physical(total)  # the folded vectors are read
