@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,3 +399,65 @@ def test_a_fit_leaves_its_vectors_and_terms_alone(spark, most):
         left = {p for paths in session._watched for p in paths if Path(p).exists()}
         assert left == {model.vectors.staged_path, model.terms.staged_path}
         assert {r.term for r in tfidf.weights(model).collect()} == {"ab", "cd", "ef"}
+
+
+def tile_vectors(spark, rows=300, positions=60):
+    """Vectors of some common and many rare positions, and their products by brute force."""
+    rng = np.random.default_rng(7)
+    x = rng.random((rows, positions)) * (rng.random((rows, positions)) < np.linspace(0.01, 0.9, positions))
+    x[:, 0] += 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    listed = [(i, [int(p) for p in np.flatnonzero(v)], [float(w) for w in v[v > 0]]) for i, v in enumerate(x)]
+    return spark.createDataFrame(listed, "id bigint, idx array<int>, w array<double>").repartition(4), x @ x.T
+
+
+@pytest.mark.parametrize("share", [0.0, 0.005, 0.2, 2.0])
+def test_best_of_rows_by_positions_written_out_and_single_entries(spark, monkeypatch, share):
+    monkeypatch.setattr(tiles, "BEST_ROWS", 40)
+    monkeypatch.setattr(tiles, "DENSE_SHARE", share)
+    monkeypatch.setattr(tiles, "ENTRIES", 50)
+    vectors, products = tile_vectors(spark)
+    np.fill_diagonal(products, -1)
+    found = tiles.pairs_above(vectors, 60, 300, 0.15, 5).collect()
+    assert len({(r.l_id, r.r_id) for r in found}) == len(found)
+    assert all(r.dot == pytest.approx(products[r.l_id, r.r_id], abs=1e-12) for r in found)
+    for i, row in enumerate(products):
+        best = {int(j) for j in np.argsort(-row)[:5] if row[j] > 0.15}
+        assert best <= {r.r_id for r in found if r.l_id == i}
+
+
+def test_the_best_of_its_own_tile_travel_with_a_row(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BEST_ROWS", 40)
+    vectors, products = tile_vectors(spark)
+    np.fill_diagonal(products, -1)
+    packed, count = tiles._packed(vectors, 60, 300, None, 5)
+    assert count >= 300 // 40
+    for tile in packed.collect():
+        low = np.frombuffer(tile.low).reshape(-1, 5)
+        for i, best in zip(tile.ids, low):
+            assert best == pytest.approx(np.sort(products[i][tile.ids])[-5:], abs=1e-12) or len(tile.ids) <= 5
+
+
+def test_every_cell_has_a_partition_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BEST_ROWS", 20)
+    packed, count = tiles._packed(tile_vectors(spark)[0], 60, 300, None, 5)
+    dealt = tiles._cells(packed, count).select("cell", F.spark_partition_id().alias("part")).distinct().collect()
+    cells = {r.cell for r in dealt}
+    assert len(cells) > 1 and cells == set(range(len(cells)))
+    assert len(dealt) == len({r.part for r in dealt}) == len(cells)
+
+
+def test_rows_that_meet_are_counted_in_place(case):
+    _, model = case
+    least = 0.3 * similarity.DEPTH
+    expected = similarity.postings(model.vectors).filter(F.col("reach") > least).groupBy("idx").count()
+    assert sorted(similarity._joined_rows(model.vectors, 500, least).collect()) == sorted(expected.collect())
+
+
+def test_digests_are_equal_for_equal_vectors_only(spark):
+    rows = [(1, [0, 2], [0.5, 0.25]), (2, [0, 2], [0.5, 0.25]), (3, [0, 2], [0.25, 0.5]), (4, [0], [0.5]), (5, [], [])]
+    frame = spark.createDataFrame(rows, "id bigint, idx array<int>, w array<double>")
+    found = {r.id: bytes(r.digest) for r in frame.select("id", similarity._digest().alias("digest")).collect()}
+    assert found[1] == found[2] and len(set(found.values())) == 4
+    members = similarity.fold_members(frame, similarity.fold_equal(frame))
+    assert sorted(map(tuple, members.collect())) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
