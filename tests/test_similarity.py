@@ -461,3 +461,17 @@ def test_digests_are_equal_for_equal_vectors_only(spark):
     assert found[1] == found[2] and len(set(found.values())) == 4
     members = similarity.fold_members(frame, similarity.fold_equal(frame))
     assert sorted(map(tuple, members.collect())) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
+
+
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_a_position_that_comes_twice_in_a_row_counts_once(monkeypatch, share):
+    monkeypatch.setattr(tiles, "DENSE_SHARE", share)
+    opened, scores_of = tiles._products(4)
+    entries = [[(1, 0.25), (1, 0.5), (3, 0.5)], [(1, 0.5)], [(0, 1.0), (3, 0.125), (3, 0.25)], []]
+    tile = opened({
+        "sizes": np.array([len(row) for row in entries], np.int32),
+        "at": np.array([p for row in entries for p, _ in row], np.int32),
+        "w": np.array([w for row in entries for _, w in row]),
+    })
+    written = np.array([[dict(row).get(p, 0.0) for p in range(4)] for row in entries])
+    assert scores_of(tile, tile).tolist() == (written @ written.T).tolist()
