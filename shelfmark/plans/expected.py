@@ -99,6 +99,20 @@ pairs AS (
   WHERE id <> first AND score > {threshold})"""
 
 
+def near_duplicate_rows(threshold: float = w.NEAR_DUPLICATE) -> str:
+    """Every two documents above the threshold, and how many documents have the text of either."""
+    return f"""
+WITH {model('m', DOCS, tfidf.NEAR_DUPLICATES)},
+sig AS (SELECT id, string_agg(term || ':' || tf, '|' ORDER BY term) AS s FROM m_w GROUP BY id),
+kind AS (SELECT id, count(*) OVER (PARTITION BY s) AS copies FROM sig),
+scored AS (
+  SELECT a.id AS id_a, b.id AS id_b, {rounded('sum(a.w * b.w)', 8)} AS score
+  FROM m_w a JOIN m_w b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
+pairs AS (
+  SELECT id_a, id_b, score, x.copies AS copies_a, y.copies AS copies_b
+  FROM scored JOIN kind x ON x.id = id_a JOIN kind y ON y.id = id_b WHERE score > {threshold})"""
+
+
 def page_graph() -> str:
     address = r"SELECT page_id AS id, regexp_replace(url, '[^\p{L}\p{N}]+', ' ', 'g') AS text FROM pages"
     prose = f"SELECT page_id AS id, {PLAIN % 'html'} AS text FROM pages"
@@ -362,7 +376,7 @@ SELECT id, count(*) AS terms, {rounded('max(w)', 6)} AS heaviest, {rounded('sum(
     out["q20c_without_common"] = f"""
 WITH {model('m', DOCS, w.WITHOUT_COMMON)} SELECT id, term, {rounded('w', 6)} AS weight FROM m_w"""
     out["q21_near_dup"] = f"""
-{near_duplicates()}
+{near_duplicate_rows()}
 SELECT id_a, id_b, {rounded('score', 3)} AS score, copies_a, copies_b, a.n_chars AS chars_a, b.n_chars AS chars_b
 FROM pairs JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b"""
     out["q21e_near_dup_published"] = f"""

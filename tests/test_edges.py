@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import graph, similarity, stats, trends
 from shelfmark.operators.spread import hot_keys, spread_join
+from shelfmark.plans.workload import QUERIES
 from shelfmark.session import fresh_path
 from shelfmark.sources import readers, schemas
 from shelfmark.streaming import landing
@@ -89,6 +90,36 @@ def test_copies_are_near_pairs(spark):
     assert found == {(2, 4, 1.0, 1, 1), (2, 9, 1.0, 1, 1), (2, 5, 0.36, 3, 1)}
 
 
+@pytest.mark.parametrize("piece, broadcast", [(64, similarity.BROADCAST_BYTES), (2, similarity.BROADCAST_BYTES), (2, 0)])
+def test_every_two_similar_rows_are_a_pair(spark, monkeypatch, piece, broadcast):
+    monkeypatch.setattr(similarity, "PIECE_ROWS", piece)
+    monkeypatch.setattr(similarity, "PIECES_PER_BLOCK", piece)
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", broadcast)
+    kinds = [([0, 1], [0.6, 0.8]), ([0, 2], [0.6, 0.8]), ([3], [1.0])]
+    rows = [(i, *kinds[0 if i % 7 else 2]) for i in range(24)] + [(i, *kinds[1]) for i in (30, 28)]
+    shape = "id long, idx array<int>, w array<double>"
+    vectors = spark.createDataFrame([*rows, (None, *kinds[1])], shape)
+    copies = {i: sum(o == own for _, *o in rows) + (own == list(kinds[1])) for i, *own in rows}
+    dot = lambda a, b: round(sum(x * y for p, x in zip(*a) for q, y in zip(*b) if p == q), 8)
+    expected = {
+        (i, j): (score, copies[i], copies[j])
+        for i, *a in rows for j, *b in rows if i < j and (score := dot(a, b)) > 0.3
+    }
+    found = similarity.near_pairs(vectors, 0.3, every=True).collect()
+    assert len(found) == len(expected) > 200
+    assert {(r["id_a"], r["id_b"]): (r["score"], r["copies_a"], r["copies_b"]) for r in found} == expected
+
+
+def test_queries_pair_all_copies(spark, tmp_path):
+    texts = ["river stone lamp"] * 3 + ["river stone lamp chair"] + ["window"] * 2
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    copies = [(a, b) for a in range(3) for b in range(a + 1, 3)] + [(4, 5)]
+    for name in ("q21_near_dup", "q21b_near_dup_top"):
+        found = {(r.id_a, r.id_b) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert found >= set(copies) and found - set(copies) in (set(), {(0, 3), (1, 3), (2, 3)})
+
+
 def test_corrupt_documents_are_kept(spark):
     folder = fresh_path(spark, "corrupt")
     rows = [("a", '{"name": "x", "versions_count": 3}'), ("b", '{"name": '), ("c", '[{"name": "y"}, {"name": "z"}]')]
