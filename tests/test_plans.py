@@ -1,10 +1,14 @@
 """Shapes of physical plans that must hold at any scale."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.operators import tfidf
 from shelfmark.plans import workload
 from shelfmark.plans.workload import QUERIES
+from shelfmark.session import stage
 from shelfmark.streaming import landing
 
 
@@ -61,3 +65,30 @@ def test_the_pair_total_folds_its_vectors_once(spark, tmp_path):
     total = QUERIES["q21d_pair_total"](spark, str(tmp_path))
     assert total.collect() == [(4,)]
     assert "keys=[idx" not in physical(total)  # the folded vectors are read
+
+
+def test_entries_are_shuffled_once_to_meet_an_unbounded_vocabulary(spark):
+    docs = spark.createDataFrame([(i, f"river stone{i % 9} lamp{i}") for i in range(600)], "id bigint, text string")
+    model = tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary())
+    rows = model.vectors.select("id", F.explode("idx").alias("idx"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        joined = tfidf._join_terms(rows, model.terms, "idx", ["term"], False)
+        assert physical(joined).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joined.count() == rows.count() == 1800
+
+
+def test_what_a_write_shuffled_is_deleted(spark):
+    def shuffled():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {name for n in range(blocks.size()) if (name := blocks.apply(n).name()).startswith("shuffle_")}
+
+    before = shuffled()
+    counted = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):  # it is deleted in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and counted.count() == 7
