@@ -475,3 +475,34 @@ def test_a_position_that_comes_twice_in_a_row_counts_once(monkeypatch, share):
     })
     written = np.array([[dict(row).get(p, 0.0) for p in range(4)] for row in entries])
     assert scores_of(tile, tile).tolist() == (written @ written.T).tolist()
+
+
+@pytest.mark.parametrize("gather", [0, 10**9])
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_a_bound_from_the_head_leaves_all_pairs(spark, monkeypatch, threshold, gather):
+    """Positions beyond the head count, and rows are written out only where the bound allows a pair."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(240):
+        if i % 3 and rows:
+            at, w = (list(x) for x in rows[int(rng.integers(len(rows)))][1:])
+            w[int(rng.integers(len(w)))] *= 1.7
+        else:
+            at = sorted(rng.choice(60, 12, replace=False).tolist())
+            w = (rng.random(12) * np.where(np.array(at) < 40, 0.6, 1.0)).tolist()
+        length = math.sqrt(sum(x * x for x in w))
+        rows.append((i, at, [x / length for x in w]))
+    for name, value in (("TILE_BYTES", 1), ("LEAST_ROWS", 17), ("HEAD", 20), ("GATHER", gather)):
+        monkeypatch.setattr(tiles, name, value)
+    vectors = spark.createDataFrame(rows, "id long, idx array<int>, w array<double>")
+    x = np.zeros((len(rows), 60))
+    for i, at, w in rows:
+        x[i, at] = w
+    head = tiles._head(vectors, 60, len(rows), threshold)
+    assert set(head.tolist()) == set(np.argsort(-(x**2).sum(0))[:20].tolist())
+    assert tiles._head(vectors, 60, len(rows), 0.01) is None  # what the head leaves is too much
+    found = {(min(r[:2]), max(r[:2])): r["dot"] for r in tiles.pairs_above(vectors, 60, len(rows), threshold).collect()}
+    scores = x @ x.T
+    expected = {(int(a), int(b)) for a, b in np.argwhere(np.triu(scores > threshold, 1))}
+    assert {pair for pair, dot in found.items() if dot > threshold} == expected and len(expected) > 100
+    assert all(found[pair] == pytest.approx(scores[pair], abs=1e-12) for pair in found)
