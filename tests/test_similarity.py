@@ -506,3 +506,21 @@ def test_a_bound_from_the_head_leaves_all_pairs(spark, monkeypatch, threshold, g
     expected = {(int(a), int(b)) for a, b in np.argwhere(np.triu(scores > threshold, 1))}
     assert {pair for pair, dot in found.items() if dot > threshold} == expected and len(expected) > 100
     assert all(found[pair] == pytest.approx(scores[pair], abs=1e-12) for pair in found)
+
+
+@pytest.mark.parametrize("threshold, bits", [(0.6, None), (0.8, 6), (0.95, 34)])
+def test_candidates_of_bands_meet_in_tiles(spark, monkeypatch, threshold, bits):
+    mode = similarity.Approximate(bits=bits)
+    docs = spark.createDataFrame(families(12, 200) + [(900, ""), (901, "v1 v2"), (902, "v1 v2"), (903, "v1 v2 v1")], "id bigint, text string")
+    vectors = tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary(max_features=4000, stop_words=())).vectors
+    vectors = vectors.unionByName(spark.createDataFrame([(950, [], [])], vectors.schema))
+    for name, value in (("TILE_BYTES", 1), ("LEAST_ROWS", 23), ("TILES_PER_GROUP", 2)):
+        monkeypatch.setattr(tiles, name, value)
+    pairs = similarity.similar_pairs(vectors, threshold, mode)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Join" not in plan  # no candidate is shuffled
+    found = sorted(map(tuple, pairs.collect()))
+    monkeypatch.setattr(similarity, "DENSE_POSITIONS", 0)
+    expected = sorted(map(tuple, similarity.similar_pairs(vectors, threshold, mode).collect()))
+    assert [r[:2] + r[3:] for r in found] == [r[:2] + r[3:] for r in expected] and found
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in expected], abs=1e-7)
