@@ -511,7 +511,9 @@ def test_a_bound_from_the_head_leaves_all_pairs(spark, monkeypatch, threshold, g
 @pytest.mark.parametrize("threshold, bits", [(0.6, None), (0.8, 6), (0.95, 34)])
 def test_candidates_of_bands_meet_in_tiles(spark, monkeypatch, threshold, bits):
     mode = similarity.Approximate(bits=bits)
-    docs = spark.createDataFrame(families(12, 200) + [(900, ""), (901, "v1 v2"), (902, "v1 v2"), (903, "v1 v2 v1")], "id bigint, text string")
+    texts = families(12, 200)
+    again = [(i, texts[i + 1][1]) for i in range(0, 60, 3)] + [(i, texts[i][1]) for i in range(80, 90)] + [(None, texts[7][1])]
+    docs = spark.createDataFrame(texts + again + [(900, ""), (901, "v1 v2"), (902, "v1 v2"), (903, "v1 v2 v1")], "id bigint, text string")
     vectors = tfidf.fit(docs, "id", F.col("text"), tfidf.Vocabulary(max_features=4000, stop_words=())).vectors
     vectors = vectors.unionByName(spark.createDataFrame([(950, [], [])], vectors.schema))
     for name, value in (("TILE_BYTES", 1), ("LEAST_ROWS", 23), ("TILES_PER_GROUP", 2)):
